@@ -1,4 +1,64 @@
-STAGES = []
+"""From documents to packed training sequences: five stages, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents. What a stage decides takes effect: language ID drops texts
+without any letter, the dedup stages keep one document of each group, the PII stage masks what it finds.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import exact_dedup, langid, minhash, packing, pii
+from paperloom.runtime import written
+
+#: A prediction below this is no better than a guess among four languages.
+LEAST_SCORE = 0.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sets lang to the predicted language; documents without a letter, or with a score below LEAST_SCORE, go."""
+    kept = langid.identify(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts (but for the case of A-Z) the one with the smallest id stays."""
+    found = exact_dedup.exact_duplicates(docs, keep="smallest")
+    return _only(docs, found)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links of five-word shingles at a similarity of 0.8 or more, the smallest id stays."""
+    return _only(docs, minhash.near_duplicates(docs, width=5, percent=80))
+
+
+def _only(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents whose row in found isn't dropped; one row per id, and rows without an id all stay."""
+    dropped = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in text and sets n_chars to the new length; no document goes."""
+    return pii.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=1)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", personal_data), ("packing", pack)]
+#: Neither the trained stages nor the tokenizer can be written in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
