@@ -191,16 +191,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     hits = index.compact(index.runs(docs))
     rows = _digested(docs)
-    # One row per hit carries the bytes of the row that stays. By identifier, so a hot digest meets no hot key here.
-    first = (
-        rows.select(F.col("id").alias("stays"), F.col("digest").alias("own"), F.col("body").alias("first_body"))
-        .join(hits, "stays")
-        .where(F.col("own") == F.col("digest"))
-        .dropDuplicates(["digest"])
-        .drop("own")
-    )
-    # A hot digest: a sort-merge join, whose large partitions adaptive execution splits.
-    joined = rows.join(first.hint("merge"), "digest", "left")
+    # Equal digests may be a third of all rows: sort-merge joins, whose large partitions adaptive execution splits. Only
+    # rows with a hit carry their bytes on.
+    hit = F.col("group_size").isNotNull()
+    tagged = written(rows.join(hits.hint("merge"), "digest", "left").select("id", "digest", "stays", "group_size", F.when(hit, F.col("body")).alias("body")), "lsm-tagged")
+    first = tagged.where(F.col("id") == F.col("stays")).select("digest", F.col("body").alias("first_body")).dropDuplicates(["digest"])
+    joined = tagged.join(first.hint("merge"), "digest", "left")
     found = F.col("id").isNotNull() & F.col("first_body").isNotNull() & (F.col("body") == F.col("first_body"))
     return joined.select(
         "id",
