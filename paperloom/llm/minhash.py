@@ -5,10 +5,13 @@ and the largest value are kept, so a signature costs half the hash evaluations o
 agrees between two sets with probability equal to their Jaccard similarity. ``rows`` values make a band; documents that
 share a band are candidates. With 40 bands of 5 rows a pair at similarity 0.8 shares none with probability 1.3e-7.
 
-Hot groups. Documents with equal sets collapse first into one class (partial aggregation on a digest of the set). Within
-a band only links to one leader are tried at first (a star, not all pairs). Bands whose members then lie in several
-components are tried again with other leaders, and at last all pairs *between different components* of such a band are
-tried. So every pair of classes that shares a band ends in one component or has been compared: no cap, no sampling.
+Hot groups. Documents with equal sets collapse first into one class (partial aggregation on a digest of the set). A class
+that shares less than ``percent`` of its shingles with any other candidate can't be linked and leaves; for the others
+that count bounds the similarity of a pair from above, which discards most pairs of a large family of copies that were
+edited too much. Within a band only links to one leader are tried at first (a star, not all pairs), the class with the
+fewest shingles of its own. Bands whose members then lie in several components are tried again with another leader, and
+at last all pairs *between different components* of such a band that pass the bounds are compared. So every pair of
+classes that shares a band ends in one component, or is ruled out or compared: no cap, no sampling.
 
 Comparison: a sketch of one bit per signature value discards pairs whose estimated similarity is over six standard
 deviations below the threshold; the rest are confirmed on their full shingle sets.
@@ -30,7 +33,9 @@ from .exact_dedup import ASCII_LOWER
 
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 192
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: A list of class identifiers is broadcast up to so many rows (8 bytes each), and joined by exchange beyond.
+BROADCAST_ROWS = 1_000_000
 WORD_CACHE = 400_000
 _U = np.uint64
 
@@ -172,54 +177,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     base = written(_hashed(source, width, bands, rows), "minmax")
-    classes = base.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"))  # a hot set is aggregated before the exchange
-    reps = written(classes.where("rep is not null"), "classes")
-    # One row per class carries its bands. By rep, so that a hot set meets no hot key.
-    one = base.join(reps.select(F.col("rep").alias("id"), F.col("key").alias("k")), "id").where("key = k").dropDuplicates(["key"])
-    spread = one.select(F.explode("bands").alias("band"), "key", F.struct("s0", "s1", "s2").alias("s"))
-    shared = written(spread.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("key", "s")).alias("leader")).where("size > 1"), "bands")
-    members = written(spread.join(shared, "band").select("band", "key", "s", F.col("leader.key").alias("lead"), F.col("leader.s").alias("lead_s")), "members")
+    classes = written(base.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")).where("rep is not null"), "classes")  # a hot set is aggregated before the exchange
+    # One row per class carries its bands and sketch. By rep, so that a hot set meets no hot key.
+    one = base.join(classes.select(F.col("rep").alias("id"), F.col("key").alias("k")), "id").where("key = k").dropDuplicates(["key"])
+    one = written(one.select(F.col("id").alias("rep"), "key", "n", "bands", "s0", "s1", "s2"), "candidates")
+    spread = one.select(F.explode("bands").alias("band"), "rep")
+    shared = spread.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band")
+    near = written(spread.join(shared, "band"), "bands")
+    involved = written(near.select("rep").distinct(), "involved")
+    if involved.count() <= BROADCAST_ROWS:
+        involved = F.broadcast(involved)
+    sets = _sets(source.join(involved.withColumnRenamed("rep", "id"), "id").select("id", "text"), width)
+    sets = written(sets.join(classes.select("rep", F.col("key").alias("k")), "rep").where("key = k").dropDuplicates(["key"]).select("rep", "shingles"), "sets")
+    # How many of its shingles a class shares with any other candidate.
+    each = sets.select("rep", F.explode("shingles").alias("h"))
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    counts = each.join(common, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
+    fit = one.drop("bands", "key").join(counts, "rep").where(100 * F.col("common") >= percent * F.col("n"))
+    about = F.struct((F.col("common") / F.col("n")).alias("ratio"), "rep", "n", "common", "s0", "s1", "s2")
+    members = written(near.join(fit, "rep").select("band", about.alias("c")), "members")
     need = least_agreement(percent / 100, SKETCH_BITS)
 
-    def agree(x: str, y: str):
-        """Equal sketch bits; nested field names keep this inside generated code."""
-        return F.lit(SKETCH_BITS) - sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(3)), F.lit(0))
+    def may_link(x: str, y: str):
+        """Neither the shared shingles nor the sketches rule the pair out."""
+        least = F.least(f"{x}.common", f"{y}.common")
+        return (100 * least >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - least)) & (agreement(x, y) >= need)
 
-    involved = members.select("key").distinct().join(reps, "key").select(F.col("rep").alias("id"), F.col("key").alias("k"))
-    text = source.join(involved, "id")
-    sets = _sets(text.select("id", "text"), width)
-    sets = written(sets.join(involved.select(F.col("id").alias("rep"), "k"), "rep").where("key = k").drop("k").dropDuplicates(["key"]), "sets")
+    def agreement(x: str, y: str):
+        return F.lit(SKETCH_BITS) - sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(3)), F.lit(0))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs of class keys (x, y), the links (a, b) of representatives, on full sets."""
-        left = sets.select(F.col("key").alias("x"), F.col("rep").alias("a"), F.col("shingles").alias("p"))
-        right = sets.select(F.col("key").alias("y"), F.col("rep").alias("b"), F.col("shingles").alias("q"))
+        """Of candidate pairs of classes (a, b), the links, on full sets."""
+        left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("p"))
+        right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("q"))
         both = F.size(F.array_intersect("p", "q"))
-        return pairs.join(left, "x").join(right, "y").where(100 * both >= percent * (F.size("p") + F.size("q") - both)).select("a", "b")
-
-    links = None
-    where = sets.select("key", F.col("rep").alias("component"))
-    stars = members.where(F.col("key") != F.col("lead")).select(F.col("key").alias("x"), F.col("lead").alias("y"), agree("s", "lead_s").alias("bits"))
-    for _ in range(STAR_ROUNDS):
-        best = stars.where(F.col("bits") >= need).groupBy("x").agg(F.max(F.struct("bits", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+        return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("p") + F.size("q") - both)).select("a", "b")
+
+    links, found, open_ = None, None, members.withColumn("component", F.col("c.rep"))
+    for turn in range(STAR_ROUNDS):
+        # The first leader is the class with the fewest shingles of its own, later ones are drawn by a hash.
+        order = F.struct(F.col("c.ratio") if turn == 0 else F.xxhash64(F.lit(turn), "c.rep"), "c.rep")
+        leaders = open_.groupBy("band").agg(F.max_by(F.struct("c", "component"), order).alias("lead")).select("band", F.col("lead.c").alias("lead"), F.col("lead.component").alias("lead_component"))
+        stars = open_.join(leaders, "band").where((F.col("component") != F.col("lead_component")) & may_link("c", "lead"))
+        best = stars.groupBy(F.col("c.rep").alias("a")).agg(F.max_by(F.col("lead.rep"), F.struct(agreement("c", "lead"), "lead.rep")).alias("b"))
         new = written(confirmed(best), "links")
         links = new if links is None else links.union(new)
         found = components(links)
-        where = written(sets.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component")), "where")
-        placed = members.select("band", "key", "s").join(where, "key")
-        open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("key", "s", "component")).alias("lead")).where("low <> high").select("band", "lead")
-        placed = written(placed.join(open_bands, "band"), "open")
-        # Next round: another leader, and only members of other components.
-        stars = placed.where(F.col("component") != F.col("lead.component")).select(F.col("key").alias("x"), F.col("lead.key").alias("y"), agree("s", "lead.s").alias("bits"))
-        if placed.limit(1).count() == 0:
-            break
-    else:
-        p = placed.select("band", F.col("key").alias("x"), F.col("s").alias("xs"), F.col("component").alias("xc"))
-        q = placed.select("band", F.col("key").alias("y"), F.col("s").alias("ys"), F.col("component").alias("yc"))
-        rest = p.join(q, "band").where((F.col("xc") < F.col("yc")) & (agree("xs", "ys") >= need)).select("x", "y").distinct()
-        links = links.union(written(confirmed(rest), "links"))
-        found = components(links)
-    placed = reps.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+        placed = members.join(found, F.col("c.rep") == F.col("node"), "left").select("band", "c", F.coalesce("component", "c.rep").alias("component"))
+        several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+        open_ = written(placed.join(several, "band"), "open")
+    p, q = open_.select("band", F.col("c").alias("x"), F.col("component").alias("xc")), open_.select("band", F.col("c").alias("y"), F.col("component").alias("yc"))
+    rest = p.join(q, "band").where((F.col("xc") < F.col("yc")) & may_link("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    last = written(confirmed(rest), "links")
+    if last.limit(1).count():
+        found = components(links.union(last))
+    placed = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     # Equal sets may be a third of all rows: a sort-merge join, whose large partitions adaptive execution splits.
     out = base.select("id", "n", "key").join(placed.hint("merge"), "key", "left")
     component = F.coalesce("component_id", "id")
