@@ -10,8 +10,9 @@ that shares less than ``percent`` of its shingles with any other candidate can't
 that count bounds the similarity of a pair from above, which discards most pairs of a large family of copies that were
 edited too much. Within a band only links to one leader are tried at first (a star, not all pairs), the class with the
 fewest shingles of its own. Bands whose members then lie in several components are tried again with another leader, and
-at last all pairs *between different components* of such a band that pass the bounds are compared. So every pair of
-classes that shares a band ends in one component, or is ruled out or compared: no cap, no sampling.
+at last an exact prefix join compares all pairs *between different components* of the classes left in such bands that
+pass the bounds. So every pair of classes that shares a band ends in one component, or is ruled out or compared: no cap,
+no sampling.
 
 Comparison: a sketch of one bit per signature value discards pairs whose estimated similarity is over six standard
 deviations below the threshold; the rest are confirmed on their full shingle sets.
@@ -165,6 +166,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int, may_link) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may be linked, complete among the classes in open_.
+
+    Shingles are ordered by how many of these classes hold them, rarest first. If x and y are linked and h is the first
+    shingle that they share, at the places i of x and j of y, then they share at most the shingles from there on, which
+    must be enough for a link; so h lies in the first part of both. Members of a large family of copies differ in their
+    rare shingles and so seldom meet.
+    """
+    reps = written(open_.select("c", "component").distinct(), "open-classes")
+    each = sets.join(reps.select(F.col("c.rep").alias("rep")), "rep").select("rep", F.explode("shingles").alias("h"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    placed = each.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("o"))  # one document's shingles
+    n = F.size("o")
+    first = F.slice("o", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    posted = placed.select("rep", F.posexplode(first).alias("i", "t")).where("t.often > 1").join(reps.withColumn("rep", F.col("c.rep")), "rep")
+    posted = written(posted.select(F.col("t.h").alias("h"), "i", "c", "component"), "postings")
+    several = posted.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    posted = posted.join(several, "h")
+    x = posted.select("h", F.col("i").alias("xi"), F.col("c").alias("x"), F.col("component").alias("xc"))
+    y = posted.select("h", F.col("i").alias("yi"), F.col("c").alias("y"), F.col("component").alias("yc"))
+    most = F.least(F.col("x.n") - F.col("xi"), F.col("y.n") - F.col("yi"))
+    enough = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
+    return x.join(y, "h").where((F.col("xc") < F.col("yc")) & enough & may_link("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
@@ -226,9 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = members.join(found, F.col("c.rep") == F.col("node"), "left").select("band", "c", F.coalesce("component", "c.rep").alias("component"))
         several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
         open_ = written(placed.join(several, "band"), "open")
-    p, q = open_.select("band", F.col("c").alias("x"), F.col("component").alias("xc")), open_.select("band", F.col("c").alias("y"), F.col("component").alias("yc"))
-    rest = p.join(q, "band").where((F.col("xc") < F.col("yc")) & may_link("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    last = written(confirmed(rest), "links")
+    last = written(confirmed(_prefix_pairs(open_, sets, percent, may_link)), "links")
     if last.limit(1).count():
         found = components(links.union(last))
     placed = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
