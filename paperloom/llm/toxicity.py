@@ -34,6 +34,8 @@ MOST_VOTERS = 400
 STEM = 4
 #: A learned voter's documents: at least so many toxic ones, and so many times as often toxic as others.
 LEAST_TOXIC, LEAST_LIFT = 3, 8.0
+#: Of a sample row with a posterior of 0.5 or more, since toxic rows are rare and few voters fire on each.
+RARE_WEIGHT = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -145,7 +147,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, bound
     votes = np.unpackbits(np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), -1), axis=1)[:, : len(voters)].astype(np.float64)
     one, zero, groups, p = label_model(votes, toxic / (toxic + clean))
     x = np.hstack([votes, np.log1p(votes.sum(axis=1))[:, None]])
-    w, bias = fit_logistic(x, p, np.ones(len(p)), reg=1e-4)
+    w, bias = fit_logistic(x, p, np.where(p >= 0.5, RARE_WEIGHT, 1.0), reg=1e-4)
     return ToxicityModel(voters, w, bias, {v: float(a / (a + z)) for v, a, z in zip(voters, one, zero)}, [[voters[j] for j in g] for g in groups if len(g) > 1])
 
 
