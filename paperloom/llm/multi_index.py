@@ -7,8 +7,9 @@ Euclidean distance in double precision.
 
 The codebooks, and the share that finds ``recall`` of the true neighbours, are fitted on a bounded sample; every vector is
 indexed. Equal vectors are one entry with its smallest identifiers (k + 1 are enough for any query), so that a vector
-that a third of the rows share is one entry. Cells are cut into blocks of about ``block_rows`` entries and queries into
-blocks of about ``block_queries``, so no task meets more than one block of either at once.
+that a third of the rows share is one entry. Neighbouring cells are joined, and large ones cut, into blocks of about
+BLOCK_ROWS entries, and queries into blocks of about BLOCK_QUERIES; a group of work is one block of either, and keeps no
+more than k results of a query.
 """
 
 from __future__ import annotations
@@ -100,6 +101,23 @@ def fit(sample: np.ndarray, n: int, k: int, recall: float = RECALL, probes: int
     return books
 
 
+def blocks_of(held: np.ndarray, most: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cell: runs of cells share a block of up to ``most`` entries, a larger cell
+    has blocks of its own."""
+    first, pieces = np.zeros(len(held), np.int64), np.ones(len(held), np.int64)
+    block, room = 0, most
+    for c, n in enumerate(held.tolist()):
+        if n > most:
+            block += room < most
+            first[c], pieces[c] = block, -(-n // most)
+            block, room = block + int(pieces[c]), most
+        else:
+            if n > room:
+                block, room = block + 1, most
+            first[c], room = block, room - n
+    return first, pieces
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -143,43 +161,49 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         held[r["cell"]] = r["count"]
     m = asked.count()
     query_blocks = max(1, -(-m // BLOCK_QUERIES))
-    blocks = np.maximum(1, -(-held // BLOCK_ROWS))
-    layout = spark.sparkContext.broadcast((held, blocks))
+    first, pieces = blocks_of(held)
+    layout = spark.sparkContext.broadcast((held, first, pieces))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ = shared.value
-        size, own = layout.value
+        size, start, own = layout.value
         for b in batches:
             if not b.num_rows:
                 continue
             a, c = b_.distances(_matrix(b.column("v"), dim))
-            cell, block, at = [], [], []
+            block, cells, at = [], [], []
             for q in range(b.num_rows):
+                by_block: dict[int, list[int]] = {}
                 for x in b_.walk(a[q], c[q], size, b_.share * size.sum()):
                     for s in range(int(own[x])):
-                        cell.append(x), block.append(s), at.append(q)
+                        by_block.setdefault(int(start[x]) + s, []).append(x)
+                block += by_block.keys()
+                cells += by_block.values()
+                at += [q] * len(by_block)
             take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(block, pa.int32()), b.column("part").take(take), b.column("id").take(take), b.column("v").take(take)], names=["cell", "block", "part", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cells, pa.list_(pa.int32())), b.column("part").take(take), b.column("id").take(take), b.column("v").take(take)], names=["block", "cells", "part", "id", "v"])
 
     parted = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
-    probes = parted.select("part", "id", "v").mapInArrow(probe, "cell int, block int, part int, id long, v array<double>")
-    by_cell = spark.createDataFrame([(int(c), int(blocks[c])) for c in np.flatnonzero(held)], "cell int, blocks int")
-    dealt = index.join(by_cell, "cell").select("cell", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "ids", "v")
+    probes = parted.select("part", "id", "v").mapInArrow(probe, "block int, cells array<int>, part int, id long, v array<double>")
+    by_cell = spark.createDataFrame([(int(c), int(first[c]), int(pieces[c])) for c in np.flatnonzero(held)], "cell int, first int, pieces int")
+    block = (F.col("first") + F.pmod(F.xxhash64("v"), F.col("pieces"))).cast("int")
+    dealt = index.join(by_cell, "cell").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "ids", "v")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if left.num_rows and right.num_rows:
             x, ids = _matrix(left.column("v").combine_chunks(), dim), left.column("ids").to_pylist()
-            qs, qv = right.column("id").to_pylist(), _matrix(right.column("v").combine_chunks(), dim)
-            for q, y in zip(qs, qv):
-                d = np.sqrt(((x - y) ** 2).sum(axis=1))
-                near = np.argsort(d, kind="stable") if len(d) <= k + 1 else np.flatnonzero(d <= np.partition(d, k)[k])
-                got = sorted((d[e], i) for e in near.tolist() for i in ids[e] if i != q)[:k]
-                for s, i in got:
+            cells, cell_at = np.unique(left.column("cell").to_numpy(), return_inverse=True)
+            asked_ = zip(right.column("id").to_pylist(), right.column("cells").to_pylist(), _matrix(right.column("v").combine_chunks(), dim))
+            for q, walked, y in asked_:
+                rows_ = np.flatnonzero(np.isin(cells, walked)[cell_at])
+                d = np.sqrt(((x[rows_] - y) ** 2).sum(axis=1))
+                near = np.arange(len(d)) if len(d) <= k + 1 else np.flatnonzero(d <= np.partition(d, k)[k])
+                for s, i in sorted((d[e], i) for e in near.tolist() for i in ids[rows_[e]] if i != q)[:k]:
                     out_q.append(q), out_v.append(i), out_s.append(float(s))
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    keys = ["cell", "block", "part"]
+    keys = ["block", "part"]
     found = dealt.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
