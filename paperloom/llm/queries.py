@@ -44,8 +44,7 @@ def op5_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
     return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import ship, written
 from .learning import bounded_sample, fit_logistic, held_out
 
 #: Words that insult in most contexts.
@@ -114,11 +114,16 @@ def _groups(linked: np.ndarray) -> list[list[int]]:
     return out
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, bound: int = SAMPLE_BOUND, most_voters: int = MOST_VOTERS) -> ToxicityModel:
-    """A model from at most about ``bound`` labelled rows. Only the counts of at most ``most_voters`` voters and the
-    sample's votes reach the driver."""
-    ship(labelled.sparkSession)
-    known = bounded_sample(labelled.where(F.col(label_col).isNotNull()), id_col, bound).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("t"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE_BOUND, most_voters: int = MOST_VOTERS) -> ToxicityModel:
+    """A model from at most about ``bound`` rows of labels and their texts, which are written once to the shared folder.
+
+    Only the counts of at most ``most_voters`` voters and the sample's votes reach the driver. Labels that are null or
+    have a null id take no part; without labels of both classes the model scores every text alike, near 0.
+    """
+    ship(docs.sparkSession)
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
+    sample = F.broadcast(bounded_sample(marked, id_col, bound))  # bounded: ids and labels of the sample
+    known = written(docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(sample, id_col).select("y", "t"), "labelled")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
