@@ -42,6 +42,9 @@ class Font:
         for code, name in self._differences(pdf, encoding):
             if len(name) == 1:
                 self.unicode.setdefault(code, name)
+        if not self.two:  # one byte a character: both tables are looked up at C speed
+            self.table = {c: self.char(c) for c in range(256)}
+            self.advances = [self.widths.get(c, self.missing) for c in range(256)]
 
     @staticmethod
     def _differences(pdf: Pdf, encoding) -> list[tuple[int, str]]:
@@ -93,15 +96,19 @@ def interpret(pdf: Pdf, page: dict, most: int = MAX_OPERATORS) -> tuple[list[dic
         if font is None or not raw:
             return
         start = concat((size * state["tz"], 0, 0, size, 0, state["rise"]), concat(tm, state["ctm"]))
-        x0, advance, text = tm, 0.0, []
-        for code in font.codes(raw):
-            text.append(font.char(code))
-            w = font.widths.get(code, font.missing) / 1000 * size + state["tc"] + (state["tw"] if code == 32 and not font.two else 0)
-            advance += w * state["tz"]
+        x0 = tm
+        if font.two:
+            codes = font.codes(raw)
+            text = "".join(map(font.char, codes))
+            total, gaps = sum(font.widths.get(c, font.missing) for c in codes), 0
+        else:
+            codes, text = raw, raw.decode("latin-1").translate(font.table)
+            total, gaps = sum(map(font.advances.__getitem__, raw)), raw.count(b" ")
+        advance = (total / 1000 * size + state["tc"] * len(codes) + state["tw"] * gaps) * state["tz"]
         tm = concat((1, 0, 0, 1, advance, 0), x0)
         end = concat(tm, state["ctm"])
         mcid = next((m for m in reversed(marks) if m is not None), None)
-        spans.append({"seq": len(spans), "text": "".join(text), "x": start[4], "y": start[5], "size": (start[2] ** 2 + start[3] ** 2) ** 0.5, "advance": end[4] - concat(x0, state["ctm"])[4], "mcid": mcid})
+        spans.append({"seq": len(spans), "text": text, "x": start[4], "y": start[5], "size": (start[2] ** 2 + start[3] ** 2) ** 0.5, "advance": end[4] - concat(x0, state["ctm"])[4], "mcid": mcid})
 
     def line_to(dx: float, dy: float) -> None:
         nonlocal tm, tlm

@@ -38,6 +38,8 @@ class Stream:
 
 _SPACE = b"\x00\t\n\x0c\r "
 _TOKEN = re.compile(rb"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*)*([^\x00\t\n\x0c\r ()<>\[\]{}/%]+|<<|>>|.)?", re.S)
+_REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]*")
+_PLAIN_STRING = re.compile(rb"([^\\()]*)\)")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)")
 _REF = re.compile(rb"[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\x0c"}
@@ -59,9 +61,9 @@ class Parser:
         if t is None:
             return END
         if t == b"/":
-            m = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]*").match(self.data, self.pos)
+            m = _REGULAR.match(self.data, self.pos)
             self.pos = m.end()
-            raw = re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), m[0])
+            raw = re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), m[0]) if b"#" in m[0] else m[0]
             return Name(raw.decode("utf-8", "replace"))
         if t == b"(":
             return self._string()
@@ -97,6 +99,9 @@ class Parser:
         return {b"true": True, b"false": False, b"null": None}.get(t, Keyword(t.decode("latin-1")))
 
     def _string(self) -> bytes:
+        if m := _PLAIN_STRING.match(self.data, self.pos):  # neither escapes nor parentheses
+            self.pos = m.end()
+            return m[1]
         out, depth, data, i = bytearray(), 1, self.data, self.pos
         while i < len(data):
             c = data[i : i + 1]

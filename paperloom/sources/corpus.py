@@ -29,7 +29,9 @@ def lay_out(lines: list[str], per_page: int = LINES_PER_PAGE) -> list[list[tuple
 def make(rows: DataFrame, id_col: str, describe: Callable[[dict], dict]) -> DataFrame:
     """(doc_id, content): a file per row, from what describe() says of it (the arguments of build())."""
     ship(rows.sparkSession)
-    names = rows.columns
+    names, cores = rows.columns, rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a table of few row groups; making files is far dearer than this exchange
+        rows = rows.repartition(cores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
