@@ -196,6 +196,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hit = F.col("group_size").isNotNull()
     tagged = written(rows.join(hits.hint("merge"), "digest", "left").select("id", "digest", "stays", "group_size", F.when(hit, F.col("body")).alias("body")), "lsm-tagged")
     first = tagged.where(F.col("id") == F.col("stays")).select("digest", F.col("body").alias("first_body")).dropDuplicates(["digest"])
+    first = written(first, "lsm-first")  # so that the join stands between two exchanges, and a hot digest can be split
     joined = tagged.join(first.hint("merge"), "digest", "left")
     found = F.col("id").isNotNull() & F.col("first_body").isNotNull() & (F.col("body") == F.col("first_body"))
     return joined.select(
