@@ -176,14 +176,14 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int, may_link) ->
     """
     reps = written(open_.select("c", "component").distinct(), "open-classes")
     each = sets.join(reps.select(F.col("c.rep").alias("rep")), "rep").select("rep", F.explode("shingles").alias("h"))
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("often")), "often")  # written: so the join below can split a hot shingle
     placed = each.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("o"))  # one document's shingles
     n = F.size("o")
     first = F.slice("o", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
     posted = placed.select("rep", F.posexplode(first).alias("i", "t")).where("t.often > 1").join(reps.withColumn("rep", F.col("c.rep")), "rep")
     posted = written(posted.select(F.col("t.h").alias("h"), "i", "c", "component"), "postings")
     several = posted.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    posted = posted.join(several, "h")
+    posted = posted.join(written(several, "met"), "h")
     x = posted.select("h", F.col("i").alias("xi"), F.col("c").alias("x"), F.col("component").alias("xc"))
     y = posted.select("h", F.col("i").alias("yi"), F.col("c").alias("y"), F.col("component").alias("yc"))
     most = F.least(F.col("x.n") - F.col("xi"), F.col("y.n") - F.col("yi"))
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(sets.join(classes.select("rep", F.col("key").alias("k")), "rep").where("key = k").dropDuplicates(["key"]).select("rep", "shingles"), "sets")
     # How many of its shingles a class shares with any other candidate.
     each = sets.select("rep", F.explode("shingles").alias("h"))
-    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    common = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "common")  # written: so the join below can split a hot shingle
     counts = each.join(common, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
     fit = one.drop("bands", "key").join(counts, "rep").where(100 * F.col("common") >= percent * F.col("n"))
     about = F.struct((F.col("common") / F.col("n")).alias("ratio"), "rep", "n", "common", "s0", "s1", "s2")
