@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = base.join(classes.select(F.col("rep").alias("id"), F.col("key").alias("k")), "id").where("key = k").dropDuplicates(["key"])
     one = written(one.select(F.col("id").alias("rep"), "key", "n", "bands", "s0", "s1", "s2"), "candidates")
     spread = one.select(F.explode("bands").alias("band"), "rep")
-    shared = spread.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band")
+    # Groups are written before they meet their rows again, here and below: an aggregate in the same stage as a join keeps it from splitting a hot band.
+    shared = written(spread.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band"), "shared")
     near = written(spread.join(shared, "band"), "bands")
     involved = written(near.select("rep").distinct(), "involved")
     if involved.count() <= BROADCAST_ROWS:
@@ -244,14 +245,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # The first leader is the class with the fewest shingles of its own, later ones are drawn by a hash.
         order = F.struct(F.col("c.ratio") if turn == 0 else F.xxhash64(F.lit(turn), "c.rep"), "c.rep")
         leaders = open_.groupBy("band").agg(F.max_by(F.struct("c", "component"), order).alias("lead")).select("band", F.col("lead.c").alias("lead"), F.col("lead.component").alias("lead_component"))
+        leaders = written(leaders, "leaders")
         stars = open_.join(leaders, "band").where((F.col("component") != F.col("lead_component")) & may_link("c", "lead"))
         best = stars.groupBy(F.col("c.rep").alias("a")).agg(F.max_by(F.col("lead.rep"), F.struct(agreement("c", "lead"), "lead.rep")).alias("b"))
         new = written(confirmed(best), "links")
         links = new if links is None else links.union(new)
         found = components(links)
         placed = members.join(found, F.col("c.rep") == F.col("node"), "left").select("band", "c", F.coalesce("component", "c.rep").alias("component"))
+        placed = written(placed, "placed")
         several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        open_ = written(placed.join(several, "band"), "open")
+        open_ = written(placed.join(written(several, "several"), "band"), "open")
     last = written(confirmed(_prefix_pairs(open_, sets, percent, may_link)), "links")
     if last.limit(1).count():
         found = components(links.union(last))
