@@ -5,25 +5,26 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
+from .crypt import Handler
 from .objects import Keyword, Parser, PdfError, Ref, Stream, decode_stream
 
 MAX_OBJECTS, MAX_PAGES, MAX_TREE_DEPTH = 5_000_000, 1_000_000, 64
 
 
 def text_of(raw) -> str | None:
-    """A text string: UTF-16 or UTF-8 by its mark, else Latin-1."""
+    """A text string: UTF-16 by its mark, else Latin-1."""
     if not isinstance(raw, bytes):
         return None
     if raw[:2] == b"\xfe\xff":
         return raw[2:].decode("utf-16-be", "replace")
-    if raw[:3] == b"\xef\xbb\xbf":
-        return raw[3:].decode("utf-8", "replace")
     return raw.decode("latin-1")
 
 
 class Pdf:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: bytes | str = b""):
         self.data = data
+        self._password = password.encode() if isinstance(password, str) else password
+        self._handler: Handler | None = None
         m = re.search(rb"%PDF-(\d)\.(\d)", data[:1024])
         self.version = (int(m[1]), int(m[2])) if m else (1, 7)
         self.xref: dict[int, tuple] = {}
@@ -34,12 +35,31 @@ class Pdf:
         try:
             at = data.rfind(b"startxref")
             self._sections(Parser(data, at + 9).next() if at >= 0 else -1)
+            self._unlock()
             if not self.pages:
                 raise PdfError("no pages")
         except (PdfError, ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError):
             self._recover()
-        if "Encrypt" in self.trailer:
-            raise PdfError("encrypted")
+            self._unlock()
+
+    def _unlock(self) -> None:
+        """Sets the handler of an encrypted file. Without a password, or with another handler, what can't be decrypted stays as it is."""
+        d = self.dict(self.trailer.get("Encrypt"))
+        if not d or d.get("Filter", "Standard") != "Standard":
+            return
+        d = {k: self.get(v) for k, v in d.items()}
+        if "CF" in d:
+            d["CF"] = {k: self.dict(v) for k, v in d["CF"].items()}
+        ids = self.list(self.trailer.get("ID"))
+        first = self.get(ids[0]) if ids else b""
+        try:
+            self._handler = Handler(d, first if isinstance(first, bytes) else b"", self._password)
+        except (PdfError, KeyError, TypeError, AttributeError) as e:
+            if self._password:
+                raise PdfError(f"not opened by this password ({type(e).__name__})") from e
+            return
+        self._cache, self._members = {}, {}
+        self.__dict__.pop("pages", None)
 
     # Cross references: the newest section comes first, and the first entry of an object wins.
 
@@ -157,6 +177,8 @@ class Pdf:
                 if entry[0] == "at":
                     try:
                         found = self._object_at(entry[1])
+                        if self._handler and self.trailer.get("Encrypt") != o:
+                            found = self._handler.decrypt(found, o.num, entry[2])
                     except (PdfError, ValueError):
                         found = None
                 elif entry[0] == "in":
@@ -303,6 +325,46 @@ class Pdf:
             walk(f, "", None, None, 0)
         return out
 
+    def structure(self, most: int = 200_000) -> list[dict]:
+        """Elements of the structure tree before their kids: node, parent, depth, role, alt, actual_text, and kids in order.
+
+        A kid is ("element", node) or ("content", page index, mcid). A role is looked up in the role map. Content directly
+        under the root is left out; an element met twice counts once.
+        """
+        top = self.dict(self.root.get("StructTreeRoot"))
+        names, out, seen = self.dict(top.get("RoleMap")), [], set()
+
+        def role(name) -> str:
+            for _ in range(32):
+                to = self.get(names.get(str(name)))
+                if not isinstance(to, str) or to == name:
+                    break
+                name = to
+            return str(name or "")
+
+        def walk(ref, parent: int | None, page, depth: int) -> None:
+            found = self.get(ref)
+            if isinstance(found, list):
+                for k in found:
+                    walk(k, parent, page, depth)
+            elif isinstance(found, int):
+                if parent is not None and page is not None:
+                    out[parent]["kids"].append(("content", page, found))
+            elif isinstance(found, dict):
+                own = self.page_index(found["Pg"]) if isinstance(found.get("Pg"), Ref) else page
+                if found.get("Type") == "MCR" or "MCID" in found:
+                    walk(found.get("MCID"), parent, own, depth)
+                elif "S" in found and depth < MAX_TREE_DEPTH and len(out) < most and id(found) not in seen:
+                    seen.add(id(found))
+                    node = len(out)
+                    if parent is not None:
+                        out[parent]["kids"].append(("element", node))
+                    out.append({"node": node, "parent": parent, "depth": depth, "role": role(self.get(found["S"])), "alt": text_of(self.get(found.get("Alt"))), "actual_text": text_of(self.get(found.get("ActualText"))), "page": own, "kids": []})
+                    walk(found.get("K"), node, own, depth + 1)
+
+        walk(top.get("K"), None, None, 0)
+        return out
+
     def attachments(self) -> list[dict]:
         """Files of the name tree and then of the associated files; the first of a name stays."""
         found = [v for _, v in self._tree(self.dict(self.root.get("Names")).get("EmbeddedFiles"), "Names")] + self.list(self.root.get("AF"))
@@ -316,11 +378,13 @@ class Pdf:
         return list(out.values())
 
 
-def page_label(index: int, ranges: list[dict]) -> str:
-    """The label of a page; its number from 1 where no range holds it."""
+def page_label(index: int, ranges: list[dict]) -> str | None:
+    """The label of a page: its number from 1 without any ranges, null before the first range."""
+    if not ranges:
+        return str(index + 1)
     own = [r for r in ranges if r["start"] <= index]
     if not own:
-        return str(index + 1)
+        return None
     r = own[-1]
     n = index - r["start"] + r["first"]
     style = r["style"]

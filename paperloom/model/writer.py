@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 from .content import HELVETICA
+from .crypt import PAD, Handler, aes_cbc_encrypt, hash_r6, rc4
 from .document import Pdf
 from .objects import Keyword, Name, Ref, Stream
 
@@ -59,28 +61,37 @@ class Objects:
         self.all[ref.num - 1] = o
         return ref
 
-    def file(self, root: Ref, info: Ref | None = None) -> bytes:
+    def file(self, root: Ref, info: Ref | None = None, more: dict | None = None) -> bytes:
         out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []
         for i, o in enumerate(self.all, 1):
             at.append(len(out))
             out += b"%d 0 obj\n" % i + serialise(o) + b"\nendobj\n"
         start = len(out)
         out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(at) + 1) + b"".join(b"%010d 00000 n \n" % a for a in at)
-        trailer = {"Size": len(at) + 1, "Root": root} | ({"Info": info} if info else {})
+        trailer = {"Size": len(at) + 1, "Root": root} | ({"Info": info} if info else {}) | (more or {})
         return bytes(out + b"trailer\n" + serialise(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
-def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict] | None = None, links: list[dict] | None = None, labels: list[dict] | None = None, fields: list[dict] | None = None, files: list[dict] | None = None, compress: bool = True) -> bytes:
+def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict] | None = None, links: list[dict] | None = None, labels: list[dict] | None = None, fields: list[dict] | None = None, files: list[dict] | None = None, compress: bool = True, tags: list[dict] | None = None) -> bytes:
     """A PDF in Helvetica.
 
     pages: per page (text, x, y, size); outline: {title, page, parent (index or None)}; links: {page, rect, uri or
-    dest_page}; labels: {start, style, prefix, first}; fields: {name, value}; files: {name, data, description}.
+    dest_page}; labels: {start, style, prefix, first}; fields: {name, value}; files: {name, data, description};
+    tags: {role, page, spans (indices)} in reading order, each a marked content and a structure element.
     """
     o = Objects()
+    tagged = {(t["page"], k): (n, t["role"]) for n, t in enumerate(tags or []) for k in t["spans"]}
+
+    def mark(page: int, k: int, shown: bytes) -> bytes:
+        if (page, k) not in tagged:
+            return shown
+        n, role = tagged[page, k]
+        return serialise(Name(role)) + b" <</MCID %d>> BDC\n" % n + shown + b"EMC\n"
+
     root, tree, font = o.add(), o.add(), o.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")})
     refs = [o.add() for _ in pages]
     for i, (ref, spans) in enumerate(zip(refs, pages)):
-        body = b"BT\n" + b"".join(b"/F0 %s Tf 1 0 0 1 %s %s Tm %s Tj\n" % (serialise(float(s)), serialise(float(x)), serialise(float(y)), serialise(t.encode("cp1252", "replace"))) for t, x, y, s in spans) + b"ET"
+        body = b"BT\n" + b"".join(mark(i, k, b"/F0 %s Tf 1 0 0 1 %s %s Tm %s Tj\n" % (serialise(float(s)), serialise(float(x)), serialise(float(y)), serialise(t.encode("cp1252", "replace")))) for k, (t, x, y, s) in enumerate(spans)) + b"ET"
         stream = Stream({"Filter": Name("FlateDecode")}, zlib.compress(body)) if compress else Stream({}, body)
         page = {"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, *MEDIA], "Resources": {"Font": {"F0": font}}, "Contents": o.add(stream)}
         own = [x for x in links or [] if x["page"] == i]
@@ -110,6 +121,10 @@ def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict
         catalog["PageLabels"] = {"Nums": nums}
     if fields:
         catalog["AcroForm"] = {"Fields": [o.add({"FT": Name("Tx"), "T": f["name"], "V": f["value"]}) for f in fields]}
+    if tags:
+        top = o.add()
+        kids = [o.add({"Type": Name("StructElem"), "S": Name(t["role"]), "P": top, "Pg": refs[t["page"]], "K": n}) for n, t in enumerate(tags)]
+        catalog |= {"StructTreeRoot": o.set(top, {"Type": Name("StructTreeRoot"), "K": kids}), "MarkInfo": {"Marked": True}}
     if files:
         names = []
         for f in sorted(files, key=lambda f: f["name"]):
@@ -153,3 +168,64 @@ def assemble(parts: list[tuple[bytes, list[int]]]) -> bytes:
     o.set(tree, {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)})
     o.set(root, {"Type": Name("Catalog"), "Pages": tree})
     return o.file(root)
+
+
+def encrypt(data: bytes, user: bytes = b"", owner: bytes = b"", aes: bool = True, permissions: int = -4) -> bytes:
+    """The file encrypted with AES-256 (revision 6) or RC4 of 128 bits (revision 3). Salts and vectors are digests of the file, so bytes repeat."""
+    pdf, salt = Pdf(data), lambda *x: hashlib.sha256(repr(x).encode() + data).digest()
+    d = {"Filter": Name("Standard"), "P": permissions}
+    file_id = salt("id")[:16]
+    if aes:
+        key = salt("key", user, owner)
+        u, o = salt("u")[:16], salt("o")[:16]
+        d |= {"V": 5, "R": 6, "Length": 256, "CF": {"StdCF": {"CFM": Name("AESV3"), "Length": 32}}, "StmF": Name("StdCF"), "StrF": Name("StdCF")}
+        d["U"] = hash_r6(user, u[:8]) + u
+        d["UE"] = aes_cbc_encrypt(hash_r6(user, u[8:]), bytes(16), key)
+        d["O"] = hash_r6(owner or user, o[:8], d["U"]) + o
+        d["OE"] = aes_cbc_encrypt(hash_r6(owner or user, o[8:], d["U"]), bytes(16), key)
+        plain = (permissions & 0xFFFFFFFF).to_bytes(4, "little") + b"\xff\xff\xff\xffTadb" + salt("perms")[:4]
+        d["Perms"] = aes_cbc_encrypt(key, bytes(16), plain)
+    else:
+        d |= {"V": 2, "R": 3, "Length": 128}
+        h = Handler.__new__(Handler)
+        h.revision, h.bytes, h.metadata, h.d, h.file_id = 3, 16, True, d, file_id
+        wrapped, key = (user + PAD)[:32], h.owner_key(owner or user)
+        for i in range(20):
+            wrapped = rc4(bytes(c ^ i for c in key), wrapped)
+        d["O"] = wrapped
+        d["U"] = h.proof(h._from_user(user)) + bytes(16)
+    handler = Handler(d, file_id, user)
+
+    def seal(x, num: int, n: list[int]):
+        if isinstance(x, str) and not isinstance(x, (Name, Keyword)):
+            x = x.encode("latin-1") if all(ord(c) < 256 for c in x) else b"\xfe\xff" + x.encode("utf-16-be")
+        if isinstance(x, bytes):
+            if not aes:
+                return rc4(handler.object_key(num, 0, "V2"), x)
+            n[0] += 1
+            iv, pad = salt(num, n[0])[:16], 16 - len(x) % 16
+            return iv + aes_cbc_encrypt(handler.key, iv, x + bytes([pad]) * pad)
+        if isinstance(x, dict):
+            return {k: seal(v, num, n) for k, v in x.items()}
+        if isinstance(x, list):
+            return [seal(v, num, n) for v in x]
+        if isinstance(x, Stream):
+            return Stream({k: seal(v, num, n) for k, v in x.dict.items() if k != "Length"}, seal(x.raw, num, n))
+        return x
+
+    out = Objects()
+    kept = {num: out.add() for num in sorted(pdf.xref) if pdf.xref[num][0] != "free" and not (isinstance(o := pdf.get(Ref(num, 0)), Stream) and o.dict.get("Type") in ("XRef", "ObjStm"))}
+
+    def moved(x):
+        if isinstance(x, Ref):
+            return kept.get(x.num)
+        if isinstance(x, dict):
+            return {k: moved(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [moved(v) for v in x]
+        return Stream(moved(x.dict), x.raw) if isinstance(x, Stream) else x
+
+    for num, ref in kept.items():
+        out.set(ref, seal(moved(pdf.get(Ref(num, 0))), ref.num, [0]))
+    info = moved(pdf.trailer.get("Info"))
+    return out.file(moved(pdf.trailer["Root"]), info if isinstance(info, Ref) else None, {"Encrypt": d, "ID": [file_id, file_id]})

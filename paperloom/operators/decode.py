@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..model import content as content_model
-from ..model import layout
+from ..model import layout, reading
 from ..model.document import Pdf, page_label
 from ..model.objects import PdfError
 from ..runtime import ship
@@ -22,7 +22,7 @@ from ..runtime import ship
 ERRORS = (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError)
 
 
-def _stage(files: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[dict]], id_col: str, content_col: str) -> DataFrame:
+def _stage(files: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[dict]], id_col: str = "doc_id", content_col: str = "content", password: str = "") -> DataFrame:
     ship(files.sparkSession)
     own = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).alias("content"))
     arrow = to_arrow_schema(StructType.fromDDL(f"doc_id long, {schema}"))
@@ -31,7 +31,7 @@ def _stage(files: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[dict]],
         for b in batches:
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    out = [{"doc_id": i, **r} for r in rows(Pdf(data or b""))]
+                    out = [{"doc_id": i, **r} for r in rows(Pdf(data or b"", password))]
                 except ERRORS:
                     out = []
                 if out:
@@ -40,7 +40,7 @@ def _stage(files: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[dict]],
     return own.mapInArrow(run, f"doc_id long, {schema}")
 
 
-def files(df: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+def files(df: DataFrame, id_col: str = "doc_id", content_col: str = "content", password: str = "") -> DataFrame:
     """A row per file: version, page count, recovered, open_error."""
     ship(df.sparkSession)
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).alias("content"))
@@ -53,7 +53,7 @@ def files(df: DataFrame, id_col: str = "doc_id", content_col: str = "content") -
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 row = dict.fromkeys(arrow.names) | {"doc_id": i}
                 try:
-                    p = Pdf(data or b"")
+                    p = Pdf(data or b"", password)
                     row |= {"major": p.version[0], "minor": p.version[1], "page_count": len(p.pages), "recovered": p.recovered}
                 except ERRORS as e:
                     row["open_error"] = f"{type(e).__name__}: {e}"[:200]
@@ -70,7 +70,7 @@ def pages(df: DataFrame, **names) -> DataFrame:
             x0, y0, x1, y1 = p.box(page)
             yield {"page": i, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "rotate": (p.get(page.get("Rotate")) or 0) % 360, "label": page_label(i, ranges), "n_annots": len(p.list(page.get("Annots")))}
 
-    return _stage(df, "page int, x0 double, y0 double, x1 double, y1 double, rotate int, label string, n_annots int", rows, names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "page int, x0 double, y0 double, x1 double, y1 double, rotate int, label string, n_annots int", rows, **names)
 
 
 def spans(df: DataFrame, **names) -> DataFrame:
@@ -80,7 +80,7 @@ def spans(df: DataFrame, **names) -> DataFrame:
             for s in found:
                 yield {"page": i, **s, "truncated": cut}
 
-    return _stage(df, "page int, seq int, text string, x double, y double, size double, advance double, mcid int, truncated boolean", rows, names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "page int, seq int, text string, x double, y double, size double, advance double, mcid int, truncated boolean", rows, **names)
 
 
 def lines(df: DataFrame, **names) -> DataFrame:
@@ -89,7 +89,30 @@ def lines(df: DataFrame, **names) -> DataFrame:
             for ln in layout.lines(content_model.interpret(p, page)[0]):
                 yield {"page": i, "line": ln["line"], "text": ln["text"], "y": ln["y"], "size": ln["size"]}
 
-    return _stage(df, "page int, line int, text string, y double, size double", rows, names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "page int, line int, text string, y double, size double", rows, **names)
+
+
+def text(df: DataFrame, structured: bool = False, dehyphenated: bool = True, **names) -> DataFrame:
+    """A row per page: its text in reading order, or in the order of the structure tree."""
+
+    def rows(p: Pdf):
+        tree = p.structure() if structured else []
+        for i, page in enumerate(p.pages):
+            found = content_model.interpret(p, page)[0]
+            own = reading.structured(found, tree, i) if tree else reading.text(found)
+            yield {"page": i, "text": layout.dehyphenate(own) if dehyphenated else own}
+
+    return _stage(df, "page int, text string", rows, **names)
+
+
+def structure(df: DataFrame, **names) -> DataFrame:
+    """A row per element of the structure tree, parents first; mcids are its own content."""
+
+    def rows(p: Pdf):
+        for e in p.structure():
+            yield {**{k: v for k, v in e.items() if k != "kids"}, "mcids": [k[2] for k in e["kids"] if k[0] == "content"]}
+
+    return _stage(df, "node int, parent int, depth int, role string, alt string, actual_text string, page int, mcids array<int>", rows, **names)
 
 
 def search(df: DataFrame, query: str, ignore_case: bool = True, **names) -> DataFrame:
@@ -99,7 +122,7 @@ def search(df: DataFrame, query: str, ignore_case: bool = True, **names) -> Data
                 x0, y0, x1, y1 = h["rect"] or (None,) * 4
                 yield {"page": i, "line": h["line"], "start": h["start"], "length": h["length"], "x0": x0, "y0": y0, "x1": x1, "y1": y1}
 
-    return _stage(df, "page int, line int, start int, length int, x0 double, y0 double, x1 double, y1 double", rows, names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "page int, line int, start int, length int, x0 double, y0 double, x1 double, y1 double", rows, **names)
 
 
 def tables(df: DataFrame, **names) -> DataFrame:
@@ -109,7 +132,7 @@ def tables(df: DataFrame, **names) -> DataFrame:
             for k, t in enumerate(layout.tables(found, rules)):
                 yield {"page": i, "table": k, "cells": t["cells"], "col_x": t["col_x"], "row_y": t["row_y"]}
 
-    return _stage(df, "page int, table int, cells array<array<string>>, col_x array<double>, row_y array<double>", rows, names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "page int, table int, cells array<array<string>>, col_x array<double>, row_y array<double>", rows, **names)
 
 
 def table_cells(found: DataFrame) -> DataFrame:
@@ -123,11 +146,11 @@ def info(df: DataFrame, **names) -> DataFrame:
         d = p.info()
         yield {"title": d["Title"], "author": d["Author"], "subject": d["Subject"], "keywords": d["Keywords"], "creator": d["Creator"], "producer": d["Producer"], "creation_date": d["CreationDate"], "mod_date": d["ModDate"], "trapped": d["Trapped"]}
 
-    return _stage(df, "title string, author string, subject string, keywords string, creator string, producer string, creation_date string, mod_date string, trapped string", rows, names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "title string, author string, subject string, keywords string, creator string, producer string, creation_date string, mod_date string, trapped string", rows, **names)
 
 
 def outline(df: DataFrame, **names) -> DataFrame:
-    return _stage(df, "node int, parent int, ordinal int, depth int, title string, page int, uri string", lambda p: iter(p.outline()), names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "node int, parent int, ordinal int, depth int, title string, page int, uri string", lambda p: iter(p.outline()), **names)
 
 
 def annotations(df: DataFrame, **names) -> DataFrame:
@@ -136,12 +159,12 @@ def annotations(df: DataFrame, **names) -> DataFrame:
             for k, a in enumerate(p.annotations(page)):
                 yield {"page": i, "ordinal": k, **a}
 
-    return _stage(df, "page int, ordinal int, subtype string, rect array<double>, contents string, dest_page int, uri string", rows, names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "page int, ordinal int, subtype string, rect array<double>, contents string, dest_page int, uri string", rows, **names)
 
 
 def form_fields(df: DataFrame, **names) -> DataFrame:
-    return _stage(df, "name string, kind string, value array<string>", lambda p: iter(p.fields()), names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "name string, kind string, value array<string>", lambda p: iter(p.fields()), **names)
 
 
 def attachments(df: DataFrame, **names) -> DataFrame:
-    return _stage(df, "name string, description string, data binary", lambda p: iter(p.attachments()), names.get("id_col", "doc_id"), names.get("content_col", "content"))
+    return _stage(df, "name string, description string, data binary", lambda p: iter(p.attachments()), **names)

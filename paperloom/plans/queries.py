@@ -140,9 +140,40 @@ def sessionize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("longest"))
 
 
+def _columns(d: DataFrame) -> DataFrame:
+    """A file per customer: a title over two columns of three lines, drawn row by row and tagged from right to left."""
+
+    def describe(r: dict) -> dict:
+        left, right = ([f"{r['c_name']} {side} {k}" for k in range(3)] for side in ("left", "right"))
+        cells = [(t, x, 700.0 - 14 * k, 10.0) for k in range(3) for t, x in ((left[k], 40.0), (right[k], 320.0))]
+        return {"pages": [[(r["c_mktsegment"], 40.0, 760.0, 10.0), *cells]], "tags": [{"role": "P", "page": 0, "spans": [2, 4, 6]}, {"role": "P", "page": 0, "spans": [1, 3, 5]}]}
+
+    return corpus.make(d.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", describe)
+
+
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.text(_columns(table(spark, sf_dir, "customer"))).select(F.col("doc_id").alias("c_custkey"), "page", F.col("text").alias("page_text"))
+
+
+def structure_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.text(_columns(table(spark, sf_dir, "customer")), structured=True).select(F.col("doc_id").alias("c_custkey"), "page", F.col("text").alias("page_text"))
+
+
+def structure_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.structure(_columns(table(spark, sf_dir, "customer"))).select(F.col("doc_id").alias("c_custkey"), "node", "role", F.element_at("mcids", 1).alias("mcid"))
+
+
+def encrypted_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files encrypted by a password (RC4), opened with it again."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    sealed = corpus.encrypted(corpus.make(s, "s_suppkey", lambda r: {"pages": [[]], "info": {"Title": r["s_name"]}}), "secret", aes=False)
+    return decode.info(sealed, password="secret").select(F.col("doc_id").alias("s_suppkey"), "title")
+
+
 QUERIES = {f.__name__: f for f in (
     extract_text_lines, page_count, search_count, span_boxes, recovered_text, detect_table_cells, table_csv, document_info, outline_flatten, links_by_target,
-    form_fields, attachments, page_labels, merge_pages, reverse_pages, line_gaps, dehyphenated, sessionize_events,
+    form_fields, attachments, page_labels, merge_pages, reverse_pages, line_gaps, dehyphenated, sessionize_events, reading_order,
+    structure_order, structure_roles, encrypted_info,
 )}
 
 ORACLE = {
@@ -170,6 +201,12 @@ ORACLE = {
         join (select doc_id, ceil(len(string_split(text, chr(10))) / 50) as n from documents where {PLAIN_SQL}) p using (doc_id) group by all""",
     "line_gaps": f"""select doc_id, page::int as page, (sum(new) + 1)::bigint as bands, count(*) as lines
         from (select doc_id, page, (coalesce(14 * (pos - lag(pos) over (partition by doc_id, page order by pos)), 0) > 22)::int as new from {LINES_SQL}) group by all""",
+    "reading_order": """select c_custkey, 0::int as page, concat_ws(chr(10), c_mktsegment, c_name || ' left 0', c_name || ' left 1', c_name || ' left 2',
+        c_name || ' right 0', c_name || ' right 1', c_name || ' right 2') as page_text from customer""",
+    "structure_order": """select c_custkey, 0::int as page, concat_ws(chr(10), c_name || ' right 0', c_name || ' right 1', c_name || ' right 2',
+        c_name || ' left 0', c_name || ' left 1', c_name || ' left 2', c_mktsegment) as page_text from customer""",
+    "structure_roles": "select c_custkey, k::int as node, 'P' as role, k::int as mcid from customer, (select unnest([0, 1]) as k)",
+    "encrypted_info": "select s_suppkey, s_name as title from supplier",
     "dehyphenated": "select doc_id, md5(text) as text_md5 from documents",
     "sessionize_events": """with e as (select user_id, ts, (coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 30 minutes, true))::int as new from events),
              s as (select user_id, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from e),

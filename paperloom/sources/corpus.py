@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model.writer import assemble, build
+from ..model.writer import assemble, build, encrypt
 from ..runtime import ship
 
 LINES_PER_PAGE = 50
@@ -73,3 +73,15 @@ def rearranged(files: DataFrame, choose: Callable[[int], list[int]]) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
     return files.select("doc_id", "content").mapInArrow(run, "doc_id long, content binary")
+
+
+def encrypted(files: DataFrame, user: str = "", owner: str = "", aes: bool = True) -> DataFrame:
+    """(doc_id, content) of the files encrypted with these passwords."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [encrypt(c, user.encode(), owner.encode(), aes) for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, content binary")

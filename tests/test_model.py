@@ -4,11 +4,11 @@ import zlib
 
 import pytest
 
-from paperloom.model import layout
+from paperloom.model import crypt, layout, reading
 from paperloom.model.content import interpret
 from paperloom.model.document import Pdf, page_label, roman
 from paperloom.model.objects import Name, Parser, PdfError, Ref, Stream, decode_stream
-from paperloom.model.writer import assemble, build, serialise
+from paperloom.model.writer import assemble, build, encrypt, serialise
 
 
 @pytest.mark.parametrize(
@@ -112,3 +112,42 @@ def test_tables_and_prose():
     assert len(found) == 1 and found[0]["cells"][4] == ["r4c0", "r4c1", "r4c2"]
     prose = Pdf(build([[("one long line of plain text " * 2, 50, 700 - 14 * i, 10) for i in range(8)]]))
     assert layout.tables(interpret(prose, prose.pages[0])[0]) == []
+
+
+def test_aes_and_rc4_known_answers():
+    block = bytes(range(0, 256, 17))
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        sealed = crypt.aes_cbc_encrypt(bytes(range(size)), bytes(16), block)
+        assert sealed.hex() == want and crypt.aes_cbc_decrypt(bytes(range(size)), bytes(16), sealed) == block
+    assert crypt.rc4(b"Key", b"Plaintext").hex().upper() == "BBF316E8D940AF0AD3"
+
+
+@pytest.mark.parametrize("aes", [True, False])
+def test_encrypted_files(aes):
+    data = encrypt(_sample(info={"Title": "a title"}), b"user", b"owner", aes)
+    for password in ("user", "owner"):
+        pdf = Pdf(data, password)
+        assert _lines(pdf) == ["Hello world", "second line"] and pdf.info()["Title"] == "a title"
+    with pytest.raises(PdfError):
+        Pdf(data, "other")
+    assert len(Pdf(data).pages) == 2 and Pdf(data).info()["Title"] != "a title"
+    assert _lines(Pdf(encrypt(_sample(), aes=aes))) == ["Hello world", "second line"]
+
+
+def test_reading_order():
+    span = lambda t, x, y, w, mcid=None, size=10.0: {"seq": 0, "text": t, "x": x, "y": y, "size": size, "advance": w, "mcid": mcid}
+    columns = [span(f"{side}{k}", x, 700 - 14 * k, 195) for k in range(4) for side, x in (("L", 50), ("R", 300))]
+    assert reading.text([span("Title", 50, 760, 445), *columns]) == "Title\nL0\nL1\nL2\nL3\nR0\nR1\nR2\nR3"
+    assert reading.text([span("wide", 50, 700, 100), span("gap", 160, 700, 30)]) == "wide gap" and reading.text([]) == ""
+    assert reading.text([span("x", float("nan"), 1, 1), span("", 0, 0, 0)]) == ""
+    assert reading.in_logical_order("a גב 1 א z") == "a א 1 בג z"
+
+
+def test_structure_order():
+    tags = [{"role": "P", "page": 0, "spans": [1]}, {"role": "H1", "page": 0, "spans": [0]}]
+    pdf = Pdf(build([[("first", 72, 700, 12), ("second", 72, 680, 12), ("loose", 72, 660, 12)], []], tags=tags))
+    tree, spans = pdf.structure(), interpret(pdf, pdf.pages[0])[0]
+    assert [(e["role"], e["parent"], e["page"]) for e in tree] == [("P", None, 0), ("H1", None, 0)]
+    assert reading.structured(spans, tree, 0) == "second\nfirst\nloose" and reading.structured([], tree, 1) == ""
+    tree[0]["actual_text"], tree[1]["alt"] = "said", "unused"
+    assert reading.structured(spans, tree, 0) == "said\nfirst\nloose"
