@@ -9,7 +9,7 @@ from .layout import rows_of, upper_median
 
 MAX_CUTS = 24
 #: Unicode ranges that are written from right to left.
-RTL = "֐-ࣿיִ-﷿ﹰ-﻿"
+RTL = "\u0590-\u08ff\ufb1d-\ufdff\ufe70-\ufeff"
 _RTL_CHAR = re.compile(f"[{RTL}]")
 
 

@@ -72,12 +72,13 @@ class Objects:
         return bytes(out + b"trailer\n" + serialise(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
-def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict] | None = None, links: list[dict] | None = None, labels: list[dict] | None = None, fields: list[dict] | None = None, files: list[dict] | None = None, compress: bool = True, tags: list[dict] | None = None) -> bytes:
+def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict] | None = None, links: list[dict] | None = None, labels: list[dict] | None = None, fields: list[dict] | None = None, files: list[dict] | None = None, compress: bool = True, tags: list[dict] | None = None, xmp: str | None = None, layers: list[dict] | None = None) -> bytes:
     """A PDF in Helvetica.
 
     pages: per page (text, x, y, size); outline: {title, page, parent (index or None)}; links: {page, rect, uri or
     dest_page}; labels: {start, style, prefix, first}; fields: {name, value}; files: {name, data, description};
-    tags: {role, page, spans (indices)} in reading order, each a marked content and a structure element.
+    tags: {role, page, spans (indices)} in reading order, each a marked content and a structure element;
+    xmp: a metadata packet; layers: {name, visible}.
     """
     o = Objects()
     tagged = {(t["page"], k): (n, t["role"]) for n, t in enumerate(tags or []) for k in t["spans"]}
@@ -121,6 +122,11 @@ def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict
         catalog["PageLabels"] = {"Nums": nums}
     if fields:
         catalog["AcroForm"] = {"Fields": [o.add({"FT": Name("Tx"), "T": f["name"], "V": f["value"]}) for f in fields]}
+    if xmp is not None:
+        catalog["Metadata"] = o.add(Stream({"Type": Name("Metadata"), "Subtype": Name("XML")}, xmp.encode()))
+    if layers:
+        groups = [o.add({"Type": Name("OCG"), "Name": x["name"]}) for x in layers]
+        catalog["OCProperties"] = {"OCGs": groups, "D": {"OFF": [g for g, x in zip(groups, layers) if not x["visible"]]}}
     if tags:
         top = o.add()
         kids = [o.add({"Type": Name("StructElem"), "S": Name(t["role"]), "P": top, "Pg": refs[t["page"]], "K": n}) for n, t in enumerate(tags)]

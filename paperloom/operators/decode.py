@@ -168,3 +168,11 @@ def form_fields(df: DataFrame, **names) -> DataFrame:
 
 def attachments(df: DataFrame, **names) -> DataFrame:
     return _stage(df, "name string, description string, data binary", lambda p: iter(p.attachments()), **names)
+
+
+def xmp(df: DataFrame, **names) -> DataFrame:
+    return _stage(df, "name string, ordinal int, value string", lambda p: iter(p.xmp()), **names)
+
+
+def layers(df: DataFrame, **names) -> DataFrame:
+    return _stage(df, "layer int, name string, visible boolean", lambda p: iter(p.layers()), **names)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tf
+from ..model import edit
 from ..operators import decode
 from ..runtime import table
 from ..sources import corpus
@@ -170,10 +171,41 @@ def encrypted_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.info(sealed, password="secret").select(F.col("doc_id").alias("s_suppkey"), "title")
 
 
+def filled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A blank form per supplier, filled from its row by an appended update and read again."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    blank = corpus.make(s, "s_suppkey", lambda r: {"pages": [[]], "fields": [{"name": "name", "value": ""}, {"name": "kept", "value": "as is"}]})
+    done = corpus.edited(blank.join(s, F.col("doc_id") == F.col("s_suppkey")), lambda c, r: edit.fill(c, {"name": r["s_name"]}))
+    return decode.form_fields(done).select(F.col("doc_id").alias("s_suppkey"), "name", F.element_at("value", 1).alias("value"))
+
+
+def annotated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit of the search gets a highlight in its file; the highlights of each page are counted after."""
+    files = _files(spark, sf_dir)
+    hits = decode.search(files, QUERY).where("x0 is not null").groupBy("doc_id").agg(F.collect_list(F.struct("page", "x0", "y0", "x1", "y1")).alias("hits"))  # one file's hits
+    marked = corpus.edited(files.join(hits, "doc_id"), lambda c, r: edit.annotate(c, [{"page": h["page"], "subtype": "Highlight", "rect": (h["x0"], h["y0"], h["x1"], h["y1"])} for h in r["hits"]]))
+    return decode.annotations(marked).where("subtype = 'Highlight'").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("highlights"))
+
+
+def xmp_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def describe(r: dict) -> dict:
+        packet = f"<x:xmpmeta><rdf:RDF><rdf:Description pdf:Producer='loom'><dc:title><rdf:Alt><rdf:li xml:lang='x-default'>{r['p_name']} &amp; more</rdf:li></rdf:Alt></dc:title></rdf:Description></rdf:RDF></x:xmpmeta>"
+        return {"pages": [[]], "xmp": packet}
+
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return decode.xmp(corpus.make(p, "p_partkey", describe)).select(F.col("doc_id").alias("p_partkey"), "name", "ordinal", "value")
+
+
+def layer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    made = corpus.make(n, "n_nationkey", lambda r: {"pages": [[]], "layers": [{"name": r["n_name"], "visible": r["n_regionkey"] > 1}, {"name": "base", "visible": True}]})
+    return decode.layers(made).select(F.col("doc_id").alias("n_nationkey"), "layer", "name", "visible")
+
+
 QUERIES = {f.__name__: f for f in (
     extract_text_lines, page_count, search_count, span_boxes, recovered_text, detect_table_cells, table_csv, document_info, outline_flatten, links_by_target,
     form_fields, attachments, page_labels, merge_pages, reverse_pages, line_gaps, dehyphenated, sessionize_events, reading_order,
-    structure_order, structure_roles, encrypted_info,
+    structure_order, structure_roles, encrypted_info, filled_forms, annotated_hits, xmp_properties, layer_states,
 )}
 
 ORACLE = {
@@ -206,6 +238,11 @@ ORACLE = {
     "structure_order": """select c_custkey, 0::int as page, concat_ws(chr(10), c_name || ' right 0', c_name || ' right 1', c_name || ' right 2',
         c_name || ' left 0', c_name || ' left 1', c_name || ' left 2', c_mktsegment) as page_text from customer""",
     "structure_roles": "select c_custkey, k::int as node, 'P' as role, k::int as mcid from customer, (select unnest([0, 1]) as k)",
+    "filled_forms": "select s_suppkey, unnest(['name', 'kept']) as name, unnest([s_name, 'as is']) as value from supplier",
+    "annotated_hits": f"""select doc_id, page::int as page, sum((length(line) - length(replace(lower(line), '{QUERY}', ''))) // {len(QUERY)})::bigint as highlights
+        from {LINES_SQL} where contains(lower(line), '{QUERY}') group by all""",
+    "xmp_properties": "select p_partkey, unnest(['pdf:Producer', 'dc:title']) as name, 0::int as ordinal, unnest(['loom', p_name || ' & more']) as value from part",
+    "layer_states": "select n_nationkey::bigint as n_nationkey, unnest([0, 1])::int as layer, unnest([n_name, 'base']) as name, unnest([n_regionkey > 1, true]) as visible from nation",
     "encrypted_info": "select s_suppkey, s_name as title from supplier",
     "dehyphenated": "select doc_id, md5(text) as text_md5 from documents",
     "sessionize_events": """with e as (select user_id, ts, (coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 30 minutes, true))::int as new from events),

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model.objects import PdfError
 from ..model.writer import assemble, build, encrypt
 from ..runtime import ship
 
@@ -85,3 +86,27 @@ def encrypted(files: DataFrame, user: str = "", owner: str = "", aes: bool = Tru
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
     return files.select("doc_id", "content").mapInArrow(run, "doc_id long, content binary")
+
+
+def edited(files: DataFrame, change: Callable[[bytes, dict], bytes], id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """(doc_id, content, error): change(content, row) for every file, as with the functions of model.edit.
+
+    A file that can't be changed has null content and the error; no file fails the job.
+    """
+    ship(files.sparkSession)
+    names = files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, errors = [], []
+            for values in zip(*(c.to_pylist() for c in b.columns)):
+                row = dict(zip(names, values))
+                try:
+                    made.append(change(row[content_col] or b"", row))
+                    errors.append(None)
+                except (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as e:
+                    made.append(None)
+                    errors.append(f"{type(e).__name__}: {e}"[:200])
+            yield pa.RecordBatch.from_arrays([b.column(names.index(id_col)).cast(pa.int64()), pa.array(made, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "content", "error"])
+
+    return files.mapInArrow(run, "doc_id long, content binary, error string")

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from paperloom.model import crypt, layout, reading
+from paperloom.model import crypt, edit, layout, reading
 from paperloom.model.content import interpret
 from paperloom.model.document import Pdf, page_label, roman
 from paperloom.model.objects import Name, Parser, PdfError, Ref, Stream, decode_stream
@@ -151,3 +151,16 @@ def test_structure_order():
     assert reading.structured(spans, tree, 0) == "second\nfirst\nloose" and reading.structured([], tree, 1) == ""
     tree[0]["actual_text"], tree[1]["alt"] = "said", "unused"
     assert reading.structured(spans, tree, 0) == "said\nfirst\nloose"
+
+
+def test_updates_keep_the_old_bytes():
+    data = _sample(fields=[{"name": "a", "value": "old"}])
+    out = edit.rotate(edit.annotate(edit.fill(edit.set_info(data, {"Title": "new", "Author": None}), {"a": "ünï"}), [{"page": 1, "subtype": "Highlight", "rect": (1, 2, 3, 4), "contents": "note"}]), {0: 5})
+    pdf = Pdf(out)
+    assert out.startswith(data) and not pdf.recovered and edit.set_info(data, {}) != b"" and edit.rotate(data, {}) == data
+    assert pdf.info()["Title"] == "new" and pdf.fields()[0]["value"] == ["ünï"] and _lines(pdf) == ["Hello world", "second line"]
+    assert [a["contents"] for a in pdf.annotations(pdf.pages[1])] == ["note"] and pdf.pages[0]["Rotate"] == 90
+    with pytest.raises(PdfError):
+        edit.fill(data, {"b": "x"})
+    with pytest.raises(PdfError):
+        edit.set_info(encrypt(data), {"Title": "x"})

@@ -14,7 +14,7 @@ from paperloom.plans import queries
 from paperloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "orders", "events", "documents")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "events", "documents")
 
 
 def _norm(v):
