@@ -244,16 +244,16 @@ class Pdf:
         d = self.dict(self.trailer.get("Info"))
         return {k: text_of(self.get(d.get(k))) for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate", "Trapped")}
 
-    def xmp(self, most: int = 1024, longest: int = 8192) -> list[dict]:
-        """(name, ordinal, value) of the dc, xmp and pdf properties of the metadata stream; entities other than the five of XML stay as they are."""
+    def xmp(self, most: int = 1024, longest: int = 8192, prefixes: str = "dc|xmp|pdf") -> list[dict]:
+        """(name, ordinal, value) of the properties with these prefixes in the metadata stream; entities other than the five of XML stay as they are."""
         s = self.get(self.root.get("Metadata"))
         if not isinstance(s, Stream):
             return []
         raw = decode_stream(s, self.get)[: 8 << 20]
         packet, out = raw.decode("utf-16" if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else "utf-8", "replace"), []
         plain = lambda v: html.unescape(re.sub(r"&(?!(?:amp|lt|gt|quot|apos);)", "&amp;", v)).strip()[:longest]
-        found = [(m.start(), m[1], [m[3]]) for m in re.finditer(r"""[\s<]((?:dc|xmp|pdf):\w+)=(["'])(.*?)\2""", packet, re.S)]
-        for m in re.finditer(r"<((?:dc|xmp|pdf):\w+)(?:\s[^>]*)?(?<!/)>(.*?)</\1\s*>", packet, re.S):
+        found = [(m.start(), m[1], [m[3]]) for m in re.finditer(rf"""[\s<]((?:{prefixes}):\w+)=(["'])(.*?)\2""", packet, re.S)]
+        for m in re.finditer(rf"<((?:{prefixes}):\w+)(?:\s[^>]*)?(?<!/)>(.*?)</\1\s*>", packet, re.S):
             found.append((m.start(), m[1], re.findall(r"<rdf:li(?:\s[^>]*)?(?<!/)>(.*?)</rdf:li\s*>", m[2], re.S) or [m[2]]))
         for _, name, values in sorted(found):
             out += [{"name": name, "ordinal": i, "value": plain(v)} for i, v in enumerate(values) if "<" not in v]

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..model import content as content_model
-from ..model import layout, reading
+from ..model import conformance, layout, reading
 from ..model.document import Pdf, page_label
 from ..model.objects import PdfError
 from ..runtime import ship
@@ -176,3 +176,11 @@ def xmp(df: DataFrame, **names) -> DataFrame:
 
 def layers(df: DataFrame, **names) -> DataFrame:
     return _stage(df, "layer int, name string, visible boolean", lambda p: iter(p.layers()), **names)
+
+
+def violations(df: DataFrame, profile: str = "pdfa-2b", **names) -> DataFrame:
+    """A row per broken rule of pdfa-1b, pdfa-2b, pdfa-3b or pdfua-1, with a count; none for a file that conforms."""
+    if profile not in ("pdfa-1b", "pdfa-2b", "pdfa-3b", "pdfua-1"):
+        raise ValueError(f"no profile {profile}")
+    check = conformance.accessible if profile == "pdfua-1" else lambda p: conformance.archive(p, int(profile[5]))
+    return _stage(df, "rule string, count int", lambda p: iter(check(p)), **names)

@@ -202,10 +202,22 @@ def layer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.layers(made).select(F.col("doc_id").alias("n_nationkey"), "layer", "name", "visible")
 
 
+def archive_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of PDF/A-1b that files of suppliers break; those of even keys have metadata, those of keys divisible by 3 an attachment."""
+
+    def describe(r: dict) -> dict:
+        k = r["s_suppkey"]
+        claim = "<rdf:Description pdfaid:part='1' pdfaid:conformance='B'/>" if k % 2 == 0 else None
+        return {"pages": [[]], "xmp": claim, "files": [{"name": "a.txt", "data": b"a"}] if k % 3 == 0 else None}
+
+    found = decode.violations(corpus.make(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", describe), "pdfa-1b")
+    return found.select(F.col("doc_id").alias("s_suppkey"), "rule", F.col("count").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     extract_text_lines, page_count, search_count, span_boxes, recovered_text, detect_table_cells, table_csv, document_info, outline_flatten, links_by_target,
     form_fields, attachments, page_labels, merge_pages, reverse_pages, line_gaps, dehyphenated, sessionize_events, reading_order,
-    structure_order, structure_roles, encrypted_info, filled_forms, annotated_hits, xmp_properties, layer_states,
+    structure_order, structure_roles, encrypted_info, filled_forms, annotated_hits, xmp_properties, layer_states, archive_violations,
 )}
 
 ORACLE = {
@@ -243,6 +255,8 @@ ORACLE = {
         from {LINES_SQL} where contains(lower(line), '{QUERY}') group by all""",
     "xmp_properties": "select p_partkey, unnest(['pdf:Producer', 'dc:title']) as name, 0::int as ordinal, unnest(['loom', p_name || ' & more']) as value from part",
     "layer_states": "select n_nationkey::bigint as n_nationkey, unnest([0, 1])::int as layer, unnest([n_name, 'base']) as name, unnest([n_regionkey > 1, true]) as visible from nation",
+    "archive_violations": """select s_suppkey, rule, 1::int as n from supplier, (select unnest(['file-id', 'header-version', 'output-intent', 'font-not-embedded', 'xmp-missing', 'embedded-files']) as rule)
+        where (rule <> 'xmp-missing' or s_suppkey % 2 = 1) and (rule <> 'embedded-files' or s_suppkey % 3 = 0)""",
     "encrypted_info": "select s_suppkey, s_name as title from supplier",
     "dehyphenated": "select doc_id, md5(text) as text_md5 from documents",
     "sessionize_events": """with e as (select user_id, ts, (coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 30 minutes, true))::int as new from events),

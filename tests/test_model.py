@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from paperloom.model import crypt, edit, layout, reading
+from paperloom.model import conformance, crypt, edit, layout, reading
 from paperloom.model.content import interpret
 from paperloom.model.document import Pdf, page_label, roman
 from paperloom.model.objects import Name, Parser, PdfError, Ref, Stream, decode_stream
@@ -164,3 +164,12 @@ def test_updates_keep_the_old_bytes():
         edit.fill(data, {"b": "x"})
     with pytest.raises(PdfError):
         edit.set_info(encrypt(data), {"Title": "x"})
+
+
+def test_conformance():
+    tags = [{"role": "H2", "page": 0, "spans": [0]}, {"role": "Figure", "page": 0, "spans": [1]}, {"role": "Odd", "page": 1, "spans": [0]}]
+    rules = lambda found: {r["rule"]: r["count"] for r in found}
+    assert rules(conformance.accessible(Pdf(_sample(tags=tags)))) == {"lang": 1, "figure-alt": 1, "headings": 1, "role-unmapped": 1}
+    assert {"tagged", "struct-tree"} <= set(rules(conformance.accessible(Pdf(_sample()))))
+    assert "encryption" in rules(conformance.archive(Pdf(encrypt(_sample()))))
+    assert conformance.claimed(Pdf(_sample(xmp="<pdfaid:part>2</pdfaid:part><pdfaid:conformance>B</pdfaid:conformance>"))) == ("2", "B")
