@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from .document import Pdf
+from .glyphs import character
 from .objects import END, Keyword, Name, Parser, Stream, decode_stream
 
 MAX_OPERATORS = 1_000_000
@@ -40,8 +41,8 @@ class Font:
             self._read(decode_stream(cmap, pdf.get))
         encoding = pdf.get(d.get("Encoding"))
         for code, name in self._differences(pdf, encoding):
-            if len(name) == 1:
-                self.unicode.setdefault(code, name)
+            if found := character(name):
+                self.unicode.setdefault(code, found)
         if not self.two:  # one byte a character: both tables are looked up at C speed
             self.table = {c: self.char(c) for c in range(256)}
             self.advances = [self.widths.get(c, self.missing) for c in range(256)]
@@ -84,7 +85,7 @@ def interpret(pdf: Pdf, page: dict, most: int = MAX_OPERATORS) -> tuple[list[dic
     resources = pdf.dict(page.get("Resources"))
     state = {"ctm": (1, 0, 0, 1, 0, 0), "font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "rise": 0.0}
     stack: list[dict] = []
-    marks: list[int | None] = []
+    marks: list[tuple[int | None, bool]] = []  # identifier, hidden
     fonts: dict[str, Font] = {}
     tm = tlm = (1, 0, 0, 1, 0, 0)
     path: list[tuple] = []
@@ -107,7 +108,9 @@ def interpret(pdf: Pdf, page: dict, most: int = MAX_OPERATORS) -> tuple[list[dic
         advance = (total / 1000 * size + state["tc"] * len(codes) + state["tw"] * gaps) * state["tz"]
         tm = concat((1, 0, 0, 1, advance, 0), x0)
         end = concat(tm, state["ctm"])
-        mcid = next((m for m in reversed(marks) if m is not None), None)
+        if any(h for _, h in marks):
+            return
+        mcid = next((m for m, _ in reversed(marks) if m is not None), None)
         spans.append({"seq": len(spans), "text": text, "x": start[4], "y": start[5], "size": (start[2] ** 2 + start[3] ** 2) ** 0.5, "advance": end[4] - concat(x0, state["ctm"])[4], "mcid": mcid})
 
     def line_to(dx: float, dy: float) -> None:
@@ -167,9 +170,10 @@ def interpret(pdf: Pdf, page: dict, most: int = MAX_OPERATORS) -> tuple[list[dic
                         tm = concat((1, 0, 0, 1, -x / 1000 * state["size"] * state["tz"], 0), tm)
             elif op in ("BDC", "BMC") and len(marks) < 128:
                 props = a[1] if len(a) > 1 else None
-                props = pdf.dict(pdf.dict(resources.get("Properties")).get(str(props))) if isinstance(props, Name) else props
+                named = pdf.dict(resources.get("Properties")).get(str(props)) if isinstance(props, Name) else None
+                props = pdf.dict(named) if isinstance(props, Name) else props
                 m = props.get("MCID") if isinstance(props, dict) else None
-                marks.append(m if isinstance(m, int) else None)
+                marks.append((m if isinstance(m, int) else None, str(a[0]) == "OC" and pdf.hidden(named) if a else False))
             elif op == "EMC" and marks:
                 marks.pop()
             elif op == "m" and len(n) == 2:
@@ -185,7 +189,7 @@ def interpret(pdf: Pdf, page: dict, most: int = MAX_OPERATORS) -> tuple[list[dic
                 path = []
             elif op == "Do" and a and depth < 16:
                 x = pdf.get(pdf.dict(resources.get("XObject")).get(str(a[0])))
-                if isinstance(x, Stream) and x.dict.get("Subtype") == "Form":
+                if isinstance(x, Stream) and x.dict.get("Subtype") == "Form" and not pdf.hidden(x.dict.get("OC")):
                     saved = dict(state)
                     m = [pdf.get(v) for v in pdf.list(x.dict.get("Matrix"))]
                     if len(m) == 6:

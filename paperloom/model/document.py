@@ -267,6 +267,23 @@ class Pdf:
         base = self.get(c.get("BaseState")) != "OFF"
         return [{"layer": i, "name": text_of(self.get(self.dict(g).get("Name"))), "visible": g not in off and (g in on or base)} for i, g in enumerate(self.list(d.get("OCGs")))]
 
+    @cached_property
+    def _shown(self) -> dict:
+        return {g: x["visible"] for g, x in zip(self.list(self.dict(self.root.get("OCProperties")).get("OCGs")), self.layers()) if isinstance(g, Ref)}
+
+    def hidden(self, layer) -> bool:
+        """Whether a group, or a membership by its policy over groups, is off in the default configuration."""
+        d = self.dict(layer)
+        if d.get("Type") != "OCMD":
+            return isinstance(layer, Ref) and not self._shown.get(layer, True)
+        own = d.get("OCGs")
+        several = self.get(own)
+        states = [self._shown.get(g, True) for g in (several if isinstance(several, list) else [own]) if isinstance(g, Ref)]
+        if not states:
+            return False
+        policy = self.get(d.get("P")) or "AnyOn"
+        return not {"AllOn": all(states), "AnyOff": not all(states), "AllOff": not any(states)}.get(str(policy), any(states))
+
     def _tree(self, o, leaf: str, depth: int = 0) -> list:
         """(key, value) of a name or number tree."""
         d = self.dict(o)

@@ -4,11 +4,11 @@ import zlib
 
 import pytest
 
-from paperloom.model import conformance, crypt, edit, layout, reading
+from paperloom.model import conformance, crypt, edit, glyphs, layout, reading
 from paperloom.model.content import interpret
 from paperloom.model.document import Pdf, page_label, roman
 from paperloom.model.objects import Name, Parser, PdfError, Ref, Stream, decode_stream
-from paperloom.model.writer import assemble, build, encrypt, serialise
+from paperloom.model.writer import Objects, assemble, build, encrypt, serialise
 
 
 @pytest.mark.parametrize(
@@ -173,3 +173,23 @@ def test_conformance():
     assert {"tagged", "struct-tree"} <= set(rules(conformance.accessible(Pdf(_sample()))))
     assert "encryption" in rules(conformance.archive(Pdf(encrypt(_sample()))))
     assert conformance.claimed(Pdf(_sample(xmp="<pdfaid:part>2</pdfaid:part><pdfaid:conformance>B</pdfaid:conformance>"))) == ("2", "B")
+
+
+def test_glyph_names():
+    names = {"A": "A", "bullet": "•", "emdash": "—", "eacute": "é", "Scaron": "Š", "alpha": "α", "Omega": "Ω", "seven": "7", "uni20AC": "€", "u1F600": "😀", "f_i": "fi", "a.alt": "a", "equal": "=", "nothing": None, "qring": None}
+    assert {n: glyphs.character(n) for n in names} == names
+
+
+def test_hidden_layers_are_left_out():
+    o = Objects()
+    root, tree = o.add(), o.add()
+    on, off = (o.add({"Type": Name("OCG"), "Name": n}) for n in ("on", "off"))
+    either, both = (o.add({"Type": Name("OCMD"), "OCGs": [on, off], "P": Name(p)}) for p in ("AnyOn", "AllOn"))
+    font = o.add({"Type": Name("Font"), "Subtype": Name("Type1"), "Encoding": {"Differences": [65, Name("bullet")]}})
+    show = lambda layer, text, y: b"/OC /%s BDC BT /F 10 Tf 10 %d Td (%s) Tj ET EMC\n" % (layer, y, text)
+    body = show(b"On", b"on", 90) + show(b"Off", b"off", 70) + show(b"Either", b"either", 50) + show(b"Both", b"both", 30) + b"BT /F 10 Tf 10 10 Td (A) Tj ET"
+    form = {"Font": {"F": font}, "Properties": {"On": on, "Off": off, "Either": either, "Both": both}}
+    page = o.add({"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, 100, 100], "Resources": form, "Contents": o.add(Stream({}, body))})
+    o.set(tree, {"Type": Name("Pages"), "Kids": [page], "Count": 1})
+    o.set(root, {"Type": Name("Catalog"), "Pages": tree, "OCProperties": {"OCGs": [on, off], "D": {"OFF": [off]}}})
+    assert _lines(Pdf(o.file(root))) == ["on", "either", "•"]
