@@ -64,6 +64,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Marks that no span holds but an edge; words end after them, as at white space.
+MARKS = ":=,;|"
+_WORD = re.compile(rf"[^\s{MARKS}]*[{MARKS}]|[^\s{MARKS}]+")
+
+
+def spaced(text: str) -> str:
+    """text with a space after every mark, so that split() gives the words."""
+    for c in MARKS:
+        text = text.replace(c, c + " ")
+    return text
+
+
 # The labelled table.
 
 #: Words beside personal data.
@@ -92,7 +104,7 @@ def labelled_table(n: int = 500, seed: int = 5) -> list[tuple[list[str], list[st
     out = []
     for _ in range(n):
         words, states = [], []
-        put = lambda s, k: (words.extend(s.split()), states.extend([k] * len(s.split())))
+        put = lambda s, k: (words.extend(_WORD.findall(s)), states.extend([k] * len(_WORD.findall(s))))
         for _ in range(r.randint(1, 3)):
             for _ in range(r.randint(0, 4)):
                 put(word(), "O")
@@ -308,10 +320,58 @@ def plausible(kind: str, s: str) -> bool:
     return False
 
 
-_WORD = re.compile(r"\S+")
 TEXT_AT_ONCE = 2_000_000
 
 
+#: Digits (letters too in an IBAN) of the longest span of a kind.
+LONGEST = {"ip": 12, "card": 19, "phone": 15, "ssn": 9, "iban": 34}
+_ALNUM = re.compile(r"[^\W_]")
+_WRITTEN_IN = re.compile(rf"(?<!{EMAIL_LOCAL}){_WRITTEN_AT.pattern.replace(']+', ']++', 1)}")
+
+
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    s = text[a:b]
+    lead = len(s) - len(s.lstrip(_EDGES + "[]"))
+    return a + lead, a + lead + len(s.strip(_EDGES + "[]"))
+
+
+def parts(kind: str, text: str, places: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of kind in a run of neighbouring words of one state: the whole if it is plausible, else the plausible parts.
+
+    The field has no state for a beginning, so a run may hold several items. Marks part them; between marks the parts are
+    those whole words that cover most letters and digits, with the fewest spans, and brackets or plus signs at their start.
+    """
+    a, b = trimmed(text, places[0][0], places[-1][1])
+    if plausible(kind, text[a:b]):
+        return [(kind, a, b)]
+    if kind == "email":
+        found = (trimmed(text, *(x + a for x in m.span())) for m in _WRITTEN_IN.finditer(text[a:b]))
+        return [(kind, i, j) for i, j in found if plausible(kind, text[i:j])]
+    out = []
+    cuts = [0, *(n + 1 for n, p in enumerate(places) if text[p[1] - 1] in MARKS), len(places)]
+    for own in (places[x:y] for x, y in zip(cuts, cuts[1:])):
+        size = [len(_ALNUM.findall(text[i:j])) for i, j in own]
+        best: list[tuple[tuple[int, int, int], list]] = [((0, 0, 0), [])]  # of the first n words: score; last span and what is before it
+        for n in range(1, len(own) + 1):
+            best.append(best[n - 1])
+            total = 0
+            for m in range(n - 1, max(-1, n - 1 - 2 * LONGEST[kind]), -1):
+                total += size[m]
+                if total > LONGEST[kind]:
+                    break
+                i, j = trimmed(text, own[m][0], own[n - 1][1])
+                covered, spans, inner = best[m][0]
+                score = (covered + total, spans - 1, inner - sum(c in "+(" for c in text[i + 1 : j]))
+                if size[m] and size[n - 1] and score > best[n][0] and plausible(kind, text[i:j]):
+                    best[n] = (score, [(kind, i, j), best[m][1]])
+        last, found = best[-1][1], []
+        while last:
+            found.append(last[0])
+            last = last[1]
+        out += found[::-1]
+    return out
+
+
 def field_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Per text, the spans that the field finds and that pass their check; lines are the field's sequences."""
     words: list[str] = []
@@ -319,7 +379,7 @@ def field_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     first, lines = [], []
     for t in texts:
         first.append(len(words))
-        lines.append(own := [line.split() for line in t.split("\n")])
+        lines.append(own := [line.split() for line in spaced(t).split("\n")])
         for w in own:
             words += w
             lengths.append(len(w))
@@ -337,13 +397,7 @@ def field_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
             if own[i]:
                 while j < len(own) and own[j] == own[i] and line_of[j] == line_of[i]:
                     j += 1
-                a, b = places[i][0], places[j - 1][1]
-                s = texts[k][a:b]
-                lead = len(s) - len(s.lstrip(_EDGES + "[]"))
-                s = s.strip(_EDGES + "[]")
-                kind = STATES[own[i]]
-                if plausible(kind, s):
-                    out[k].append((kind, a + lead, a + lead + len(s)))
+                out[k] += parts(STATES[own[i]], texts[k], places[i:j])
             i = j
     return out
 

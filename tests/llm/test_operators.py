@@ -79,6 +79,29 @@ def test_pii_adds_spans_and_masks(spark):
     assert m[1]["text"] == "Call [PHONE] or [EMAIL]. plain words [EMAIL] [PHONE]" and m[1]["n_chars"] == len(m[1]["text"])
 
 
+def test_pii_parts_of_one_run():
+    crf = pii.default_model()
+    for text, want in [
+        ("555-123-4567, 555-987-6543", "[PHONE], [PHONE]"), ("(555) 123-4567 (555) 987-6543", "[PHONE] [PHONE]"), ("SSN:219-09-9999", "SSN:[SSN]"), ("ssn 219-09-9999 457-55-5462", "ssn [SSN] [SSN]"),
+        ("7536784127813050 4845168114407329", "[CARD] [CARD]"), ("here 4111 1111 1111 1111 5500 0000 0000 0004 there", "here [CARD] [CARD] there"),
+        ("iban DE89370400440532013000 FR1420041010050500013M02606", "iban [IBAN] [IBAN]"), ("john at example dot com mary at sample dot org", "[EMAIL] [EMAIL]"),
+    ]:
+        assert pii.masked(text, pii.scan(crf, [text])[0][1]) == want
+    r = random.Random(3)
+    for _ in range(300):  # all words of one state: the parts cover as much as any choice of whole words
+        kind = r.choice(["card", "phone", "ssn"])
+        words = [r.choice(["4111111111111111", "5500000000000004", "123", "555-123-4567", "219-09-9999", "1234567890123456", "(555)", "-"]) + r.choice(["", "", ","]) for _ in range(r.randint(1, 6))]
+        text = " ".join(words)
+        places = [m.span() for m in pii._WORD.finditer(text)]
+        found = pii.parts(kind, text, places)
+        most = [0]
+        for n in range(1, len(places) + 1):
+            each = [(m, *pii.trimmed(text, places[m][0], places[n - 1][1])) for m in range(n)]
+            most.append(max([most[-1], *(most[m] + sum(c.isalnum() for c in text[i:j]) for m, i, j in each if pii.plausible(kind, text[i:j]))]))
+        assert sum(c.isalnum() for _, i, j in found for c in text[i:j]) == most[-1], (kind, text)
+        assert all(pii.plausible(k, text[i:j]) for k, i, j in found) and all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+
+
 # Nearest neighbours
 
 
