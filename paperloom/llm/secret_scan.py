@@ -25,8 +25,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 #: What a text must hold, lower-cased, before ASSIGN or CONTEXT can match.
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_HINTS = (*ASSIGN_HINTS, "passphrase", "passcode", "pwd", "api-key", "api key", "access key", "access-key", "access_key", "private key", "private_key", "bearer", "credential")
+_CREDENTIAL = r"(?:password|passwd|passphrase|passcode|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?)"
+#: Before a sign the credential word may stand anywhere in a name; before "is" it must end one.
+#: What follows in the name holds no other such word, so that a long name is read once.
 CONTEXT = re.compile(
-    r"(?ai:\b(?:password|passwd|passphrase|passcode|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?)[\"']?\x20{0,3}(?:=>|:=|[:=]|\bis\b)|\bbearer)\x20{0,3}[\"'`]?"
+    rf"(?ai:{_CREDENTIAL}(?:(?:(?!{_CREDENTIAL})[A-Z0-9_-])*+[\"'`]?\x20{{0,3}}(?:=>|:=|[:=])|[\"']?\x20{{0,3}}\bis\b)|\bbearer)\x20{{0,3}}[\"'`]?"
     r"([^\s\"'`<>,;]{6,}+)",
     re.A,
 )

@@ -162,6 +162,16 @@ def test_guess_cost():
     assert base == [] and [s[0] for s in every] == ["guess"]
 
 
+def test_guess_cost_reaches_values_of_joined_names():
+    for text, value in [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"), ('db_pwd = "x7Kp29!vQz"', "x7Kp29!vQz"), ("MY_PASSPHRASE: x7Kp29!vQz", "x7Kp29!vQz"), ('DB_PASSWORD="!x7Kp29vQz"', "!x7Kp29vQz"),
+        ('client_secret: "$x7Kp29!vQz"', "$x7Kp29!vQz"), ("secret_key = x7Kp29!vQzzz", "x7Kp29!vQzzz"), ("clientPwdOld => x7Kp29!vQz", "x7Kp29!vQz"), ("my_passcode is x7Kp29!vQz", "x7Kp29!vQz"),
+    ]:
+        assert [text[i:j] for _, i, j in secret_scan.scan(text)[1]] == [value], text
+    assert secret_scan.scan("db_pwd = letmein1, MY_PASSPHRASE: password, the secretary is well-organised")[1] == []
+    assert secret_scan.scan("secret" * 20_000) == ([], [])  # linear time
+
+
 # Near and exact duplicates
 
 
