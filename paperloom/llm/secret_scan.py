@@ -2,7 +2,8 @@
 
 The cost of a value is the base-10 logarithm of the guesses of an attacker who knows how people choose passwords: the
 cheapest way, by dynamic programming over the value, to cut it into common words, dates, repeats, keyboard walks and
-brute-force spans. A value after a credential word is a secret if its cost reaches a threshold and it isn't letters alone.
+brute-force spans. A value after a credential word is a secret if its cost reaches a threshold;
+letters alone only after a sign, since "is" and "bearer" also stand before words of prose.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ _CREDENTIAL = r"(?:password|passwd|passphrase|passcode|pwd|secret|token|api[ _-]
 #: Before a sign the credential word may stand anywhere in a name; before "is" it must end one.
 #: What follows in the name holds no other such word, so that a long name is read once.
 CONTEXT = re.compile(
-    rf"(?ai:{_CREDENTIAL}(?:(?:(?!{_CREDENTIAL})[A-Z0-9_-])*+[\"'`]?\x20{{0,3}}(?:=>|:=|[:=])|[\"']?\x20{{0,3}}\bis\b)|\bbearer)\x20{{0,3}}[\"'`]?"
-    r"([^\s\"'`<>,;]{6,}+)",
+    rf"(?ai:{_CREDENTIAL}(?:(?:(?!{_CREDENTIAL})[A-Z0-9_-])*+[\"'`]?\x20{{0,3}}(?P<sign>=>|:=|[:=])|[\"']?\x20{{0,3}}\bis\b)|\bbearer)\x20{{0,3}}[\"'`]?"
+    r"(?P<value>[^\s\"'`<>,;]{6,}+)",
     re.A,
 )
 #: Words that people use in passwords, commonest first.
@@ -115,9 +116,9 @@ def costly_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".!?)]}*#$%&|")
-        if len(value) >= 6 and not value.isalpha() and any(c.isascii() and c.isalnum() for c in value) and guess_cost(value) >= threshold:
-            out.append(("guess", m.start(1), m.start(1) + len(value)))
+        value = m["value"].rstrip(".!?)]}*#$%&|")
+        if len(value) >= 6 and (m["sign"] or not value.isalpha()) and any(c.isascii() and c.isalnum() for c in value) and guess_cost(value) >= threshold:
+            out.append(("guess", m.start("value"), m.start("value") + len(value)))
     return out
 
 

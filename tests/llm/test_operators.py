@@ -172,6 +172,12 @@ def test_guess_cost_reaches_values_of_joined_names():
     assert secret_scan.scan("secret" * 20_000) == ([], [])  # linear time
 
 
+def test_guess_cost_alone_decides_after_a_sign():
+    found = lambda t: [t[i:j] for _, i, j in secret_scan.scan(t)[1]]
+    assert found("passphrase: kqzvXwPtRbnLmYdG") == found("the pwd = kqzvXwPtRbnLmYdG") == ["kqzvXwPtRbnLmYdG"]
+    assert found("passphrase: letmein, the passphrase is overwhelming, bearer instruments") == []
+
+
 # Near and exact duplicates
 
 
