@@ -1,19 +1,27 @@
 """Byte-level BPE encoding and decoding by recursive SQL in an embedded DuckDB, once per partition.
 
-Words (matches of the tokenizer's pattern) become rows (word, position, token), a row per byte. Each step of a recursive
-query joins neighbouring tokens with the merge table, and contracts the leftmost pair of the lowest rank in every word;
-a word without such a pair leaves the recursion. Ordered aggregation gives each word's identifiers, and again, over the
-vocabulary's bytes, decodes them.
+Words (matches of the tokenizer's pattern) become rows (word, position, token), a row per byte, unless the vocabulary
+holds the whole word. Each step of a recursive query joins neighbouring tokens with the merge table, and contracts the
+leftmost pair of the lowest rank in every word; a word without such a pair leaves the recursion. Ordered aggregation gives
+each word's identifiers. Decoding sees identifiers alone: each distinct sequence of them is joined with the vocabulary and
+its bytes are put together by an ordered aggregation.
 
 A partition's distinct words are looked up once: texts are cut before single spaces and line ends, where no match of the
 pattern can cross, and the pieces' results are kept in a bounded table. Texts with longer runs of white space are cut
-by the pattern alone. Words of over ``LONG`` bytes are contracted step by step in a table, which holds one state instead
-of all of them.
+by the pattern alone.
+
+Words of over ``LONG`` bytes would make the recursion keep every state of a long list. Their steps are run on a table that
+holds one state, and a step contracts all occurrences of the word's lowest pair, every other one where they overlap. That
+gives the same identifiers if every token of the vocabulary, cut into bytes, is contracted to itself: tokens x, a, b that
+stand side by side are then what the string xab alone has come to, and had xab a lower rank than ab it would be one token
+by now; so no pair that a contraction makes ranks below it, and the other occurrences come next, leftmost first. The
+vocabulary is checked for this when the first long word comes; where it fails, one pair is contracted at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import gc
 import hashlib
 import itertools
@@ -29,6 +37,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 LONG = 64
+LONG_AT_ONCE = 1_000_000
 WORDS_AT_ONCE = 40_000
 CACHE = 1_000_000
 TEXT_AT_ONCE = 4_000_000
@@ -45,15 +54,22 @@ ENCODE = """
             from (select w, i, (ts[i]::bigint << 32) + ts[i + 1] as pair from (select w, ts, unnest(range(1, len(ts))) as i from st)) join merges m using (pair)
             group by w) b using (w))
     select w, unnest(range(len(ts))) as p, unnest(ts) as t from (select w, arg_min(ts, len(ts)) as ts from st group by w)"""
-#: The same for one long word, but all occurrences of its lowest pair at once, every other one where they overlap.
-CONTRACT_ALL = """
-    with pairs as (select p, t, (t::bigint << 32) + lead(t) over (order by p) as pair from state),
-         ranked as (select p, t, id, min(id) over () as low from pairs left join merges using (pair)),
-         hits as (select p, p - row_number() over (order by p) as run from ranked where id = low),
-         chosen as (select p, row_number() over (partition by run order by p) % 2 = 1 as first from hits)
-    select row_number() over (order by r.p) as p, case when a.first then r.low else r.t end as t
-    from ranked r left join chosen a on a.p = r.p left join chosen b on b.p + 1 = r.p and b.first
+#: The same for long words, one state of each in a table; {chosen} picks the occurrences of the lowest pair.
+CONTRACT = """
+    with pairs as (select w, p, t, (t::bigint << 32) + lead(t) over (partition by w order by p) as pair from state),
+         ranked as (select w, p, t, id, min(id) over (partition by w) as low from pairs left join merges using (pair)),
+         hits as (select w, p from ranked where id = low),
+         chosen as ({chosen})
+    select r.w, row_number() over (partition by r.w order by r.p) as p, case when a.p is not null then r.low else r.t end as t
+    from ranked r left join chosen a on a.w = r.w and a.p = r.p left join chosen b on b.w = r.w and b.p + 1 = r.p
     where b.p is null"""
+LEFTMOST = "select w, min(p) as p from hits group by w"
+ALL = """select w, p from (select w, p, row_number() over (partition by w, run order by p) as k
+    from (select w, p, p - row_number() over (partition by w order by p) as run from hits)) where k % 2 = 1"""
+DECODE = """
+    select k, string_agg(coalesce(hex, error('unknown identifier')), '' order by p) as hex
+    from (select k, unnest(ids) as t, generate_subscripts(ids, 1) as p from (select k, string_split(s, ',')::integer[] as ids from sequences)) left join vocab on vocab.id = t
+    group by k"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,67 +81,92 @@ class SqlBpe:
     """Encodes and decodes words with a vocabulary of ranks; needs all 256 single bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.pattern = regex.compile(pattern)
         self.edge = regex.compile(r"^\s|\s$")
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.byte_id = [ranks[bytes([b])] for b in range(256)]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})  # never spills
         pairs = [((ranks[k[:i]] << 32) + ranks[k[i:]], v) for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
-        merges = pa.table({"pair": pa.array([p[0] for p in pairs], pa.int64()), "id": pa.array([p[1] for p in pairs], pa.int32())})
-        vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([k.hex() for k in ranks])})
-        for name, t in (("merges", merges), ("vocab", vocab)):
-            self.db.register("arriving", t)
-            self.db.execute(f"create table {name} as select * from arriving")
-            self.db.unregister("arriving")
-        # Per piece: identifiers in decimal joined by commas; None: see texts(). Pieces have a space before them unless
-        # they begin with a line end; heads are pieces at the start of a text. What identifiers decode to is only kept
-        # where it isn't the piece itself.
+        self._table("merges", {"pair": pa.array([p[0] for p in pairs], pa.int64()), "id": pa.array([p[1] for p in pairs], pa.int32())})
+        self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "raw": pa.array(list(ranks), pa.binary()), "hex": pa.array([k.hex() for k in ranks])})
+        # Per piece: identifiers in decimal joined by commas; None: see encoded(). Pieces have a space before them unless
+        # they begin with a line end; heads are pieces at the start of a text. And per sequence of identifiers: its bytes.
         self.ids: dict[str, str | None] = {}
-        self.raw: dict[str, bytes] = {}
         self.head_ids: dict[str, str | None] = {}
-        self.head_raw: dict[str, bytes] = {}
-
-    def _contract(self, words: list[bytes]) -> None:
-        """Fills the table tokens (w, p, t): the tokens of words by their number."""
+        self.back: dict[str, bytes] = {}
+
+    def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
+        self.db.register("arriving", pa.table(columns))
+        self.db.execute(f"create or replace table {name} as select * from arriving")
+        self.db.unregister("arriving")
+
+    @functools.cached_property
+    def steps(self) -> str:
+        """How long words are contracted: all pairs of a step if every token, cut into bytes, is contracted to itself."""
+        got = self.db.execute("select raw, id from vocab order by id").fetchall()
+        own = [r for r in got if len(r[0]) <= LONG]
+        ids = [self._contracted([w for w, _ in own[i : i + WORDS_AT_ONCE]]) for i in range(0, len(own), WORDS_AT_ONCE)]
+        same = all(x == str(i) for x, (_, i) in zip(itertools.chain.from_iterable(ids), own))
+        long = [r for r in got if len(r[0]) > LONG]
+        same = same and all(x == str(i) for (w, i) in long for x in self._stepped([w], LEFTMOST))
+        return ALL if same else LEFTMOST
+
+    def _rows(self, words: list[bytes]) -> pa.Table:
+        """(w, p, t): a row per byte, numbered from 0."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         which = np.repeat(np.arange(len(words), dtype=np.int32), length)
         at = np.arange(len(which), dtype=np.int64) - np.repeat(np.cumsum(length) - length, length)
-        first = np.array(self.byte_id, dtype=np.int32)[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        self.db.register("init", pa.table({"w": which, "p": at, "t": first}))
+        return pa.table({"w": which, "p": at, "t": self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]})
+
+    def _contracted(self, words: list[bytes]) -> list[str]:
+        """Identifiers of short words, in decimal joined by commas."""
+        return self._joined(words, "init", ENCODE)
+
+    def _stepped(self, words: list[bytes], chosen: str) -> list[str]:
+        """The same for words of any length, step by step in a table."""
+        rows = self._rows(words)
+        self._table("state", {c: rows.column(c) for c in rows.column_names})
+        left = rows.num_rows + 1
+        while (n := self.db.execute("select count(*) from state").fetchall()[0][0]) < left:
+            left = n
+            self.db.execute(f"create or replace table stepped as {CONTRACT.format(chosen=chosen)}")
+            self.db.execute("drop table state; alter table stepped rename to state")
+        got = self.db.execute("select w, string_agg(t::varchar, ',' order by p) from state group by w order by w").fetchall()
+        self.db.execute("drop table state")
+        return [x for _, x in got]
+
+    def _joined(self, words: list[bytes], name: str, query: str) -> list[str]:
+        self.db.register(name, self._rows(words))
         try:
-            if length.max() <= LONG:
-                self.db.execute(f"create or replace temp table tokens as {ENCODE}")
-                return
-            self.db.execute("create or replace temp table state as select p, t from init")  # one word
-            left = length[0] + 1
-            while (n := self.db.execute("select count(*) from state").fetchall()[0][0]) < left:
-                left = n
-                self.db.execute(f"create or replace temp table next as {CONTRACT_ALL}")
-                self.db.execute("drop table state; alter table next rename to state")
-            self.db.execute("create or replace temp table tokens as select 0 as w, p, t from state")
+            got = self.db.execute(f"select w, string_agg(t::varchar, ',' order by p) from ({query}) group by w order by w").fetchall()
         finally:
-            self.db.unregister("init")
-
-    def words(self, words: Iterable[str]) -> tuple[dict[str, str], dict[str, bytes]]:
-        """Identifiers of each word, in decimal joined by commas, and the bytes that they decode to."""
-        ids, out = {}, {}
-        short, long = [], []
-        for w in words:
-            b = w.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(b)
-            if whole is not None:
-                ids[w], out[w] = str(whole), self.bytes_of[whole]
-            else:
-                (short if len(b) <= LONG else long).append((w, b))
-        for batch in [*(short[i : i + WORDS_AT_ONCE] for i in range(0, len(short), WORDS_AT_ONCE)), *([x] for x in long)]:
-            self._contract([b for _, b in batch])
-            got = self.db.sql("select w, string_agg(t::varchar, ',' order by p) as ids, string_agg(hex, '' order by p) as hex from tokens join vocab on vocab.id = tokens.t group by w").to_arrow_table()
-            for k, i, h in zip(*(got.column(c).to_pylist() for c in ("w", "ids", "hex"))):
-                w = batch[k][0]
-                ids[w], out[w] = i, bytes.fromhex(h)
-        return ids, out
-
-    def _learn(self, pieces: set[str], ids: dict[str, str | None], raw: dict[str, bytes], before: str) -> None:
+            self.db.unregister(name)
+        return [x for _, x in got]
+
+    def words(self, words: Iterable[str]) -> dict[str, str]:
+        """Identifiers of each word, in decimal joined by commas; a word that the vocabulary holds is its own token."""
+        out: dict[str, str] = {}
+        all_ = [(w, w.encode("utf-8", "surrogatepass")) for w in words if w]
+        for i in range(0, len(all_), WORDS_AT_ONCE):
+            batch = all_[i : i + WORDS_AT_ONCE]
+            self.db.register("asked", pa.table({"k": pa.array(range(len(batch)), pa.int32()), "raw": pa.array([b for _, b in batch], pa.binary())}))
+            whole = dict(self.db.execute("select k, id::varchar from asked join vocab using (raw)").fetchall())
+            self.db.unregister("asked")
+            out |= {batch[k][0]: x for k, x in whole.items()}
+            rest = [x for k, x in enumerate(batch) if k not in whole]
+            short = [x for x in rest if len(x[1]) <= LONG]
+            if short:
+                out |= zip([w for w, _ in short], self._contracted([b for _, b in short]))
+            now, size = [], 0
+            for x in [*(x for x in rest if len(x[1]) > LONG), None]:
+                if now and (x is None or size + len(x[1]) > LONG_AT_ONCE):
+                    out |= zip([w for w, _ in now], self._stepped([b for _, b in now], self.steps))
+                    now, size = [], 0
+                if x is not None:
+                    now.append(x)
+                    size += len(x[1])
+        return out
+
+    def _learn(self, pieces: set[str], ids: dict[str, str | None], before: str) -> None:
         new = pieces - ids.keys()
         if not new:
             return
@@ -137,48 +178,44 @@ class SqlBpe:
                 ids[p] = None  # white space meets white space: only the whole text tells
             else:
                 cut[p] = self.pattern.findall(p if p[0] == "\n" else before + p)
-        word_ids, word_raw = self.words({*single.values(), *itertools.chain.from_iterable(cut.values())})
+        word_ids = self.words({*single.values(), *itertools.chain.from_iterable(cut.values())})
         for p, w in single.items():
             ids[p] = word_ids[w]
-            if word_raw[w] != w.encode():
-                raw[p] = word_raw[w]
         for p, ws in cut.items():
             ids[p] = ",".join([word_ids[w] for w in ws])
-            back = b"".join([word_raw[w] for w in ws])
-            if back != (p if p[0] == "\n" else before + p).encode("utf-8", "surrogatepass"):
-                raw[p] = back
-
-    def texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """Per text: identifiers in decimal joined by commas, and the bytes they decode to."""
-        for own in ((self.ids, self.raw), (self.head_ids, self.head_raw)):
-            if len(own[0]) > CACHE:
-                own[0].clear(), own[1].clear()
+
+    def encoded(self, texts: list[str]) -> list[list[str]]:
+        """Per text its pieces' identifiers, in decimal joined by commas."""
+        for own in (self.ids, self.head_ids):
+            if len(own) > CACHE:
+                own.clear()
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
-        self._learn(set().union(*cut), self.ids, self.raw, " ")
-        self._learn(set(heads), self.head_ids, self.head_raw, "")
-        out: list = []
-        odd = []
-        for k, (h, c) in enumerate(zip(heads, cut)):
-            ids = [self.head_ids[h], *map(self.ids.__getitem__, c)]
-            if None in ids:
-                odd.append(k)
-                out.append(None)
-            else:
-                text = texts[k].encode("utf-8", "surrogatepass")
-                if self.raw or self.head_raw:
-                    own = [(self.head_raw.get(h), h)] + [(self.raw.get(p), p if p[:1] == "\n" else " " + p) for p in c]
-                    text = b"".join([r if r is not None else p.encode("utf-8", "surrogatepass") for r, p in own])
-                out.append((",".join(ids), text))
+        self._learn(set().union(*cut), self.ids, " ")
+        self._learn(set(heads), self.head_ids, "")
+        out = [[self.head_ids[h], *map(self.ids.__getitem__, c)] for h, c in zip(heads, cut)]
+        odd = {k: self.pattern.findall(texts[k]) for k, ids in enumerate(out) if None in ids}
         if odd:
-            words = {k: self.pattern.findall(texts[k]) for k in odd}
-            ids, raw = self.words({w for ws in words.values() for w in ws})
-            for k, ws in words.items():
-                out[k] = (",".join([ids[w] for w in ws]), b"".join([raw[w] for w in ws]))
+            ids = self.words({w for ws in odd.values() for w in ws})
+            for k, ws in odd.items():
+                out[k] = [ids[w] for w in ws]
         return out
 
-    def all_texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """texts() in portions of bounded size."""
+    def decoded(self, pieces: list[list[str]]) -> list[bytes]:
+        """The bytes of each list of pieces, from their identifiers alone."""
+        if len(self.back) > CACHE:
+            self.back.clear()
+        new = list(set().union(*pieces) - self.back.keys())
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            batch = new[i : i + WORDS_AT_ONCE]
+            self.db.register("sequences", pa.table({"k": pa.array(range(len(batch)), pa.int32()), "s": pa.array(batch, pa.string())}))
+            for k, h in self.db.execute(DECODE).fetchall():
+                self.back[batch[k]] = bytes.fromhex(h)
+            self.db.unregister("sequences")
+        return [b"".join(map(self.back.__getitem__, p)) for p in pieces]
+
+    def portions(self, texts: list[str]) -> Iterator[list[list[str]]]:
+        """encoded() of portions of bounded size, in order."""
         now, size = [], 0
         for i, t in enumerate(texts):
             now.append(t)
@@ -186,10 +223,10 @@ class SqlBpe:
             if size >= TEXT_AT_ONCE or i + 1 == len(texts):
                 gc.disable()  # many short lists, no cycles
                 try:
-                    got = self.texts(now)
+                    got = self.encoded(now)
                 finally:
                     gc.enable()
-                yield from got
+                yield got
                 now, size = [], 0
 
 
@@ -211,7 +248,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = engine(path, pattern)
         for b in batches:
-            ids = [[int(i) for i in s.split(",")] if s else [] for s, _ in e.all_texts([t or "" for t in b.column(1).to_pylist()])]
+            ids = [[int(i) for s in pieces for i in s.split(",")] for got in e.portions([t or "" for t in b.column(1).to_pylist()]) for pieces in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -239,15 +276,17 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "id", ids_
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the identifiers, in decimal joined by commas, and of the
-    bytes they decode to. Cases as in encode()."""
+    bytes that decoding these identifiers gives. Cases as in encode()."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = engine(path, pattern)
         for b in batches:
             n, x, y = [], [], []
-            for ids, raw in e.all_texts([t or "" for t in b.column(1).to_pylist()]):
-                n.append(ids.count(",") + 1 if ids else 0), x.append(hashlib.sha256(ids.encode()).hexdigest()), y.append(hashlib.sha256(raw).hexdigest())
+            for got in e.portions([t or "" for t in b.column(1).to_pylist()]):
+                for pieces, raw in zip(got, e.decoded(got)):
+                    ids = ",".join(pieces)
+                    n.append(ids.count(",") + 1 if ids else 0), x.append(hashlib.sha256(ids.encode()).hexdigest()), y.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -6,13 +6,15 @@ the whole capacity, then, while the rest is in a class below ``fine``, into the
 tokens that it holds. Only the last piece of a document is shorter than its class's share, and by less than 1 / fine.
 
 Each task fills bins from its own documents. What its classes have left open (fewer than k pieces each) is dealt out by
-class and filled once more the same way; what is then still open, fewer than k pieces a class over all data and so a
-bounded number, is packed best-fit by one task.
+class and a salt, so that a group has about GROUP_ROWS pieces however hot its class is, and filled again the same way. A
+group leaves at most the sum of k - 1 over its classes (10,000 or so at 2048), so each round leaves a small share, until
+one task can fill what is left; what is then still open, fewer than k pieces a class over all data, it packs best-fit.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +29,11 @@ from ..runtime import ship, written
 
 CAPACITY = 2048
 FINE = 16
+GROUP_ROWS = 50_000
+#: Fixed value: the words of a byte-level pre-tokenizer that uses its own pattern.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of this length exhausts the stack of the fast library's pattern engine, which looks ahead.
+LONG_SPACE = 10_000
 PIECES = "id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -42,8 +49,9 @@ def byte_alphabet() -> dict[str, int]:
 class DocumentTokenizer:
     """The ids that the tokenizers library gives for a byte-level BPE file, without special tokens added.
 
-    tiktoken runs the same vocabulary several times as fast. It is used where the file's merges are in the order of
-    their ids, as its ranks must be; ``slow`` (the tokenizers library itself) serves all other files.
+    tiktoken runs the same vocabulary several times as fast. It is used where the file's words are those of ``pattern`` and
+    its merges are in the order of their ids, as ranks must be; ``slow`` (the tokenizers library itself) serves all other
+    files, texts that hold a special token's string, and texts with a run of LONG_SPACE white space characters or more.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -56,12 +64,15 @@ class DocumentTokenizer:
         made = [vocab[a + b] for a, b in pairs]
         self.fast = None
         self.special = list(special)
-        if made == sorted(set(made)) and not model.get("normalizer") and all(c in alphabet for t in vocab if t not in special for c in t):
+        before = model.get("pre_tokenizer") or {}
+        same_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and pattern == BYTE_LEVEL_PATTERN
+        if same_words and made == sorted(set(made)) and not model.get("normalizer") and all(c in alphabet for t in vocab if t not in special for c in t):
             ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
             self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.long_space = re.compile(rf"\s{{{LONG_SPACE}}}")
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or len(text) >= LONG_SPACE and self.long_space.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
@@ -92,10 +103,10 @@ def cut(n: int, capacity: int = CAPACITY, fine: int = FINE) -> list[tuple[int, i
 
 
 class Bins:
-    """One open bin per class."""
+    """One open bin per class. Numbers of sequences: 5 bits for the round, 24 for the task, 34 for its bins."""
 
-    def __init__(self, stage: int, part: int):
-        self.first, self.made, self.open = (stage << 60) + (part << 36), 0, {}
+    def __init__(self, turn: int, part: int):
+        self.first, self.made, self.open = (turn << 58) + (part << 34), 0, {}
 
     def add(self, k: int, piece: list) -> list[list]:
         """The pieces of the bin that this piece closes, with sequence and offset; else none."""
@@ -139,7 +150,7 @@ def _batch(rows: list[list], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(7)], names=FIELDS)
 
 
-def pack(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, fine: int = FINE) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, fine: int = FINE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids and then end_id; null counts as empty, so every row gives at least one piece. Null ids
@@ -166,30 +177,36 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "d
         if kind is not None:
             yield _batch(bins.rest(), kind)
 
-    def refill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def refill(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
 
-        bins, kind = Bins(1, TaskContext.get().partitionId()), None
-        for b in batches:
-            kind, out = b.schema.field(0).type, []
-            for p in zip(*(c.to_pylist() for c in b.columns[:7])):
-                out += bins.add(capacity // p[2], list(p))
-            yield _batch(out, kind)
-        if kind is not None:
-            yield _batch(bins.rest(), kind)
+            bins, kind = Bins(turn, TaskContext.get().partitionId()), None
+            for b in batches:
+                kind, out = b.schema.field(0).type, []
+                for p in zip(*(c.to_pylist() for c in b.columns[:7])):
+                    out += bins.add(capacity // p[2], list(p))
+                yield _batch(out, kind)
+            if kind is not None:
+                yield _batch(bins.rest(), kind)
+
+        return run
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, bins, kind = [], Bins(2, 0), None
+        bins, kind, out = Bins(31, 0), None, []
         for b in batches:
             kind = b.schema.field(0).type
-            pieces += map(list, zip(*(c.to_pylist() for c in b.columns[:7])))
-        if pieces:
-            yield _batch([p for own in best_fit(pieces, capacity) for p in bins.close(own)], kind)
-
-    one = written(rows.mapInArrow(fill, schema), "packed")
-    left = one.where("sequence_id is null").withColumn("class", F.floor(F.lit(capacity) / F.col("length")).cast("int"))
-    dealt = left.repartition("class").sortWithinPartitions("class", F.col("length").desc(), "id", "start")
-    two = written(dealt.mapInArrow(refill, schema), "packed")
-    three = two.where("sequence_id is null").coalesce(1).mapInArrow(finish, schema)  # fewer than k pieces a class
-    whole = one.where("sequence_id is not null").union(two.where("sequence_id is not null"))
-    return whole.union(three)
+            for p in sorted(map(list, zip(*(c.to_pylist() for c in b.columns[:7]))), key=lambda p: (-p[2], str(p[0]), p[1])):
+                out += bins.add(capacity // p[2], p)
+        if kind is not None:
+            out += [p for own in best_fit(bins.rest(), capacity) for p in bins.close(own)]
+            yield _batch(out, kind)
+
+    done = written(rows.mapInArrow(fill, schema), "packed")
+    whole, left, turn = done.where("sequence_id is not null"), done.where("sequence_id is null"), 1
+    while turn < 31 and (n := left.count()) > group_rows:
+        size = F.floor(F.lit(capacity) / F.col("length")).cast("int")
+        dealt = left.withColumn("class", size).withColumn("salt", F.pmod(F.xxhash64("id", "start", F.monotonically_increasing_id()), F.lit(-(-n // group_rows))))
+        done = written(dealt.repartition("class", "salt").sortWithinPartitions("class", F.col("length").desc(), "id", "start").mapInArrow(refill(turn), schema), "packed")
+        whole, left, turn = whole.union(done.where("sequence_id is not null")), done.where("sequence_id is null"), turn + 1
+    return whole.union(left.coalesce(1).mapInArrow(finish, schema))  # about group_rows at most

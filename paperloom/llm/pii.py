@@ -4,8 +4,12 @@ The field's states are O and the kinds of personal data. Its features are the sh
 (letters, digits and punctuation in collapsed runs, digit runs by length) and a few cue words. It is trained by gradient
 steps on a small labelled table made from templates, and decoded by Viterbi over the lines of many texts at once.
 
-All words of one shape share an emission row, so scoring a word is a table look-up; the tables grow with the number of
-shapes, not of words.
+Words whose shapes have the same features share an emission row, so scoring a word is a table look-up.
+
+The labelled table (``labelled_table``) is made from templates, 500 lines: English cue words, spellings of numbers and
+addresses that the templates know, and look-alikes that are none. Names, postal addresses, dates of birth and other kinds
+are not in it and so not found; a spelling that no template resembles may be missed, and nothing is added that fails the
+exact check of its kind.
 """
 
 from __future__ import annotations
@@ -48,6 +52,11 @@ def digits_of(s: str) -> str:
     return "".join(_DIGIT.findall(s))
 
 
+def octets(s: str) -> bool:
+    """Whether all parts are at most 255, however many digits they have."""
+    return all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in s.split("."))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of the fixed patterns, leftmost and non-overlapping per kind, by kind and then start."""
     out = []
@@ -57,7 +66,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", *m.span()))
             at = m.end()
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if octets(m[0])]
         out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits_of(m[0])) <= 15]
@@ -145,9 +154,7 @@ def shape(word: str) -> str:
     if core.isalpha():
         low = core.lower()
         return f"cue:{low}" if low in CUES else "a"
-    s = core.translate(_TABLE) if len(core) <= 64 else core[:48].translate(_TABLE) + "~"
-    s = _RUNS.sub(lambda m: m[1] if m[1] else str(len(m[0])) if len(m[0]) <= 6 else "8" if len(m[0]) <= 11 else "9", s)
-    return s[:24]
+    return _RUNS.sub(lambda m: m[1] if m[1] else str(len(m[0])) if len(m[0]) <= 6 else "8" if len(m[0]) <= 11 else "9", core.translate(_TABLE))
 
 
 def features_of(shape_: str) -> list[str]:
@@ -162,7 +169,7 @@ class Crf:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
         self.names, self.weights, self.transitions = names, weights, transitions
-        self.shape_id: dict[str, int] = {}
+        self.row_of: dict[tuple[int, ...], int] = {}
         self.rows = [np.zeros((0, len(STATES)), np.float32) for _ in range(3)]
         self.word_id: dict[str, int] = {}
 
@@ -173,22 +180,22 @@ class Crf:
         self.__init__(*state)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        """The shape number of each word."""
+        """The emission row of each word. Words whose shapes have the same known features share a row, so that the rows
+        are bounded by the model and not by the texts; rows of long words aren't remembered by word."""
         known = self.word_id
         if len(known) > 300_000:
             known.clear()
+        long: dict[str, int] = {}
         for w in set(words).difference(known):
-            s = shape(w)
-            if s not in self.shape_id:
-                self.shape_id[s] = len(self.shape_id)
-            known[w] = self.shape_id[s]
-        new = list(self.shape_id)[len(self.rows[0]) :]
+            at = tuple(self.names[f] for f in features_of(shape(w)) if f in self.names)
+            (known if len(w) <= 64 else long)[w] = self.row_of.setdefault(at, len(self.row_of))
+        new = list(self.row_of)[len(self.rows[0]) :]
         if new:
-            at = [[self.names[f] for f in features_of(s) if f in self.names] for s in new]
             for k in range(3):
-                more = np.array([self.weights[k, a].sum(axis=0) for a in at], dtype=np.float32).reshape(-1, len(STATES))
+                more = np.array([self.weights[k, list(at)].sum(axis=0) for at in new], dtype=np.float32).reshape(-1, len(STATES))
                 self.rows[k] = np.vstack([self.rows[k], more])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        find = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
+        return np.fromiter(map(find, words), np.int64, len(words))
 
     def decode(self, words: list[str], lengths: list[int]) -> np.ndarray:
         """The best state of each word; lengths are those of the lines that words holds one after the other."""
@@ -307,7 +314,7 @@ def plausible(kind: str, s: str) -> bool:
     if kind == "email":
         return bool(_WRITTEN_AT.fullmatch(s))
     if kind == "ip":
-        return bool(IP.fullmatch(s)) and all(int(x) <= 255 for x in s.split("."))
+        return bool(IP.fullmatch(s)) and octets(s)
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d) and not re.search(r"[^\d -]", s)
     if kind == "phone":
@@ -316,7 +323,7 @@ def plausible(kind: str, s: str) -> bool:
         return bool(_SSN.fullmatch(s))
     if kind == "iban":
         c = s.replace(" ", "")
-        return bool(_IBAN.fullmatch(s)) and 15 <= len(c) <= 34 and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+        return 15 <= len(c) <= 34 and bool(_IBAN.fullmatch(s)) and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
     return False
 
 

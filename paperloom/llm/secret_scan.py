@@ -2,7 +2,8 @@
 
 The cost of a value is the base-10 logarithm of the guesses of an attacker who knows how people choose passwords: the
 cheapest way, by dynamic programming over the value, to cut it into common words, dates, repeats, keyboard walks and
-brute-force spans. A value after a credential word is a secret if its cost reaches a threshold;
+brute-force spans. Every part of a value that is such a span is a candidate, so the result is the minimum over all ways to
+cut it. A value after a credential word is a secret if its cost reaches a threshold;
 letters alone only after a sign, since "is" and "bearer" also stand before words of prose.
 """
 
@@ -46,8 +47,10 @@ LONGEST = max(map(len, COMMON))
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?\d{1,2}[-/._]?\d{1,2}|\d{1,2}[-/._]\d{1,2}[-/._](?:19|20)?\d\d|(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1{2,}")
+#: Dates, each part of which may be one too (a year in a date), so whole matches at every length are tried.
+DATE = re.compile(r"(?:19|20)\d\d[-/._]?\d{1,2}[-/._]?\d{1,2}|\d{1,2}[-/._]\d{1,2}[-/._](?:(?:19|20)?\d\d)|(?:19|20)\d\d", re.A)
+DATE_LENGTHS = range(4, 11)
+LONGEST_UNIT, LEAST_REPEATS, LEAST_WALK = 8, 3, 3
 SPAN_COST = 0.5  # of one more span
 THRESHOLD = 8.0
 
@@ -56,44 +59,114 @@ def _char_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
+def word_cost(word: str) -> float | None:
+    """Cost of a common word, also with capitals or with digits and signs for letters; null if it is none."""
+    low = word.lower()
+    if len(low) != len(word):
+        return None
+    plain, extra = low.translate(LEET), 0.0
+    rank = RANK.get(low)
+    if rank is None and (rank := RANK.get(plain)) is not None:
+        extra = math.log10(2) * sum(a != b for a, b in zip(low, plain))
+    if rank is None:
+        return None
+    upper = sum(c.isupper() for c in word)
+    return math.log10(rank + 1) + extra + math.log10(2) * min(upper, len(word) - upper + 1)
+
+
+def date_cost(s: str) -> float | None:
+    return None if not DATE.fullmatch(s) else 2.1 if len(s) == 4 else 4.6
+
+
+def step(a: str, b: str) -> tuple[int, int] | None:
+    """The move on the keyboard from a key to a neighbour; null if they aren't neighbours."""
+    if (x := PLACE.get(a.lower())) is None or (y := PLACE.get(b.lower())) is None or x == y:
+        return None
+    return (y[0] - x[0], y[1] - x[1]) if max(abs(y[0] - x[0]), abs(y[1] - x[1])) <= 1 else None
+
+
+class _Starts:
+    """Starts i of spans whose cost is base(i) + log10((j - i) / unit) at the end j, and the cheapest at each j.
+
+    Of two starts the earlier one gets cheaper against the later one as j grows, and once cheaper it stays so. So a stack
+    is enough: the newest start that isn't beaten is on top, and the next below is the first to beat it.
+    """
+
+    def __init__(self, unit: int):
+        self.unit, self.stack = unit, []  # (start, base, end from which the start below is as cheap)
+
+    @staticmethod
+    def _beaten(older: tuple, start: int, base: float) -> float:
+        """The end from which an older start is as cheap as this one: (j - older) / (j - start) <= 10 ** difference."""
+        ratio = 10.0 ** min(300.0, base - older[1])
+        return math.inf if ratio <= 1 else (ratio * start - older[0]) / (ratio - 1)
+
+    def put(self, start: int, base: float, now: int) -> None:
+        while self.stack:
+            end = self._beaten(self.stack[-1], start, base)
+            if end <= now:
+                return
+            if len(self.stack) > 1 and self.stack[-1][2] <= end:
+                self.stack.pop()
+                continue
+            self.stack.append((start, base, end))
+            return
+        self.stack.append((start, base, math.inf))
+
+    def least(self, j: int) -> float:
+        while len(self.stack) > 1 and self.stack[-1][2] <= j:
+            self.stack.pop()
+        if not self.stack:
+            return math.inf
+        start, base, _ = self.stack[-1]
+        return base + math.log10((j - start) / self.unit)
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses for value; 0 for an empty value. Time grows linearly with its length."""
-    n = len(value)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # (start, cost) of the spans that end here
-    low = value.lower()
-    plain = low.translate(LEET)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j])
-            extra = 0.0
-            if rank is None and (rank := RANK.get(plain[i:j])) is not None:
-                extra = math.log10(2) * sum(a != b for a, b in zip(low[i:j], plain[i:j]))
-            if rank is not None:
-                upper = sum(c.isupper() for c in value[i:j])
-                ends[j].append((i, math.log10(rank + 1) + extra + math.log10(2) * min(upper, j - i - upper + 1)))
-    for m in DATE.finditer(value):
-        ends[m.end()].append((m.start(), 2.1 if m.end() - m.start() == 4 else 4.6))
-    for m in REPEAT.finditer(value):
-        unit = m[1]
-        ends[m.end()].append((m.start(), sum(map(_char_cost, unit)) + math.log10((m.end() - m.start()) // len(unit))))
-    i = 0
-    while i < n - 2:
-        j, turns, way = i + 1, 0, None
-        while j < n and low[j - 1] in PLACE and low[j] in PLACE:
-            (r, x), (s, y) = PLACE[low[j - 1]], PLACE[low[j]]
-            if max(abs(r - s), abs(x - y)) > 1 or (r, x) == (s, y):
-                break
-            turns += way is not None and way != (s - r, y - x)
-            way = (s - r, y - x)
-            j += 1
-        if j - i >= 3:
-            ends[j].append((i, math.log10(47 * (j - i)) + turns * math.log10(4)))
-        i = max(i + 1, j - 1)
+    n, turn = len(value), math.log10(4)
     best = [0.0] + [math.inf] * n  # cheapest segmentation of each prefix
-    brute = [math.inf] * (n + 1)  # the same, if it ends in a brute-force span
+    brute = math.inf  # the same, if it ends in a brute-force span
+    chars = [0.0]  # cost of the characters before each place
+    repeats = [[_Starts(u) for _ in range(u)] for u in range(1, LONGEST_UNIT + 1)]  # by unit and by start modulo unit
+    since = [0] * (LONGEST_UNIT + 1)  # by unit: from where the value repeats itself up to here
+    walks, walk_from, before, turns = _Starts(1), 0, None, [0]  # turns[k]: turns up to character k of the walk so far
     for j in range(1, n + 1):
-        brute[j] = min(brute[j - 1], best[j - 1] + SPAN_COST) + _char_cost(value[j - 1])
-        best[j] = min([brute[j], *(best[i] + SPAN_COST + c for i, c in ends[j])])
+        c = value[j - 1]
+        chars.append(chars[-1] + _char_cost(c))
+        brute = min(brute, best[j - 1] + SPAN_COST) + _char_cost(c)
+        least = brute
+        for i in range(max(0, j - LONGEST), j - 2):
+            if (cost := word_cost(value[i:j])) is not None:
+                least = min(least, best[i] + SPAN_COST + cost)
+        if c.isdigit():
+            for k in DATE_LENGTHS:
+                if k <= j and (cost := date_cost(value[j - k : j])) is not None:
+                    least = min(least, best[j - k] + SPAN_COST + cost)
+        for u in range(1, min(LONGEST_UNIT, j - 1) + 1):
+            if c != value[j - 1 - u]:
+                since[u] = j - u
+                for s in repeats[u - 1]:
+                    s.stack.clear()
+                continue
+            own, i = repeats[u - 1][j % u], j - LEAST_REPEATS * u
+            if i >= since[u]:
+                own.put(i, best[i] + chars[i + u] - chars[i], j)
+                least = min(least, own.least(j) + SPAN_COST)
+        if j > 1:
+            way = step(value[j - 2], c)
+            if way is None:
+                walk_from, before = j - 1, None
+                walks.stack.clear()
+                turns.append(0)
+            else:
+                turns.append(turns[-1] + (before is not None and way != before))
+                before = way
+                i = j - LEAST_WALK
+                if i >= walk_from:
+                    walks.put(i, best[i] + math.log10(47) - turn * turns[i + 1], j)
+                    least = min(least, walks.least(j) + turn * turns[j - 1] + SPAN_COST)
+        best[j] = least
     return max(0.0, best[n] - SPAN_COST) if n else 0.0
 
 
