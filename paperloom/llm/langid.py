@@ -121,7 +121,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """docs with the columns held_out, lang_pred and score (replaced if there); all other columns and rows stay.
 
     Without a model, one is trained on the rows of docs that aren't held out. Null, empty or letterless text: ``und``
-    with score 1. Null id: not held out, and in the sample only if all rows are. Empty table: no rows.
+    with score 1. Null id: not held out, and never learned from. Without a row to learn from, texts with a letter are ``und``
+    with score 0. Empty table: no rows. Columns held_out, lang_pred and score of docs are replaced.
     """
     ship(docs.sparkSession)
     if model is None:

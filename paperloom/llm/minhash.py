@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship, written
+from ..runtime import forget, ship, written
 from .exact_dedup import ASCII_LOWER
 
 BANDS, ROWS = 40, 5
@@ -161,6 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
         hop = labels.select(F.col("node").alias("label"), F.col("component").alias("next"))
         nxt = written(lower.join(hop, "label", "left").select("node", F.least("label", "next").alias("component"), "was"), "labels")
         moved = nxt.where("component <> was").limit(1).count()
+        forget(labels)
         labels = nxt.select("node", "component")
         if not moved:
             return labels
@@ -183,7 +184,7 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int, may_link) ->
     posted = placed.select("rep", F.posexplode(first).alias("i", "t")).where("t.often > 1").join(reps.withColumn("rep", F.col("c.rep")), "rep")
     posted = written(posted.select(F.col("t.h").alias("h"), "i", "c", "component"), "postings")
     several = posted.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    posted = posted.join(written(several, "met"), "h")
+    posted = written(posted.join(written(several, "met"), "h"), "met-postings")  # written: so the join below can split a hot shingle
     x = posted.select("h", F.col("i").alias("xi"), F.col("c").alias("x"), F.col("component").alias("xc"))
     y = posted.select("h", F.col("i").alias("yi"), F.col("c").alias("y"), F.col("component").alias("yc"))
     most = F.least(F.col("x.n") - F.col("xi"), F.col("y.n") - F.col("yi"))

@@ -8,8 +8,9 @@ Euclidean distance in double precision.
 The codebooks, and the share that finds ``recall`` of the true neighbours, are fitted on a bounded sample; every vector is
 indexed. Equal vectors are one entry with its smallest identifiers (k + 1 are enough for any query), so that a vector
 that a third of the rows share is one entry. Neighbouring cells are joined, and large ones cut, into blocks of about
-BLOCK_ROWS entries, and queries into blocks of about BLOCK_QUERIES; a group of work is one block of either, and keeps no
-more than k results of a query.
+BLOCK_ROWS entries, and queries into parts of about BLOCK_QUERIES; a group of work is a block and a part of whose queries
+at least one walks through the block, and keeps no more than k results of a query. A block goes only to the parts that ask
+for it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from ..runtime import ship, written
 from .learning import bounded_sample
 
 SAMPLE_BOUND = 4096
-RECALL = 0.97
+RECALL = 0.95
+MOST_CENTROIDS = 256
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 
 
@@ -81,7 +83,7 @@ class Codebooks:
 
 def fit(sample: np.ndarray, n: int, k: int, recall: float = RECALL, probes: int = 128) -> Codebooks:
     """Codebooks for n vectors, and the share of entries to walk that finds ``recall`` of the sample's own neighbours."""
-    size = int(min(256, max(2, round((n / 50) ** 0.5)), max(2, len(sample) // 4)))
+    size = int(min(MOST_CENTROIDS, max(2, round((n / 2) ** 0.5)), max(2, len(sample) // 4)))  # about two entries a cell, as far as codebooks go
     half = max(1, sample.shape[1] // 2)
     books = Codebooks(kmeans(sample[:, :half], size), kmeans(sample[:, half:], size, seed=4) if sample.shape[1] > 1 else np.zeros((1, 0)), 1.0)
     if len(sample) <= k + 1:
@@ -184,10 +186,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cells, pa.list_(pa.int32())), b.column("part").take(take), b.column("id").take(take), b.column("v").take(take)], names=["block", "cells", "part", "id", "v"])
 
     parted = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
-    probes = parted.select("part", "id", "v").mapInArrow(probe, "block int, cells array<int>, part int, id long, v array<double>")
+    probes = written(parted.select("part", "id", "v").mapInArrow(probe, "block int, cells array<int>, part int, id long, v array<double>"), "probes")
+    asked_for = written(probes.select("block", "part").distinct(), "asked-for")
     by_cell = spark.createDataFrame([(int(c), int(first[c]), int(pieces[c])) for c in np.flatnonzero(held)], "cell int, first int, pieces int")
     block = (F.col("first") + F.pmod(F.xxhash64("v"), F.col("pieces"))).cast("int")
-    dealt = index.join(by_cell, "cell").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "ids", "v")
+    placed = written(index.join(F.broadcast(by_cell), "cell").select("cell", block.alias("block"), "ids", "v"), "blocks")  # at most 256 x 256 cells
+    dealt = placed.join(asked_for, "block")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []

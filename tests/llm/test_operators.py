@@ -162,6 +162,41 @@ def test_guess_cost():
     assert base == [] and [s[0] for s in every] == ["guess"]
 
 
+def cheapest(value):
+    """All ways to cut value into spans, each at the least cost of its kinds."""
+    s_ = secret_scan
+
+    def span(s):
+        costs = [sum(map(s_._char_cost, s))]
+        if 3 <= len(s) <= s_.LONGEST and (c := s_.word_cost(s)) is not None:
+            costs.append(c)
+        if (c := s_.date_cost(s)) is not None:
+            costs.append(c)
+        costs += [sum(map(s_._char_cost, s[:u])) + math.log10(len(s) // u) for u in range(1, 9) if len(s) % u == 0 and len(s) // u >= 3 and s == s[:u] * (len(s) // u)]
+        ways = [s_.step(a, b) for a, b in zip(s, s[1:])]
+        if len(s) >= 3 and None not in ways:
+            costs.append(math.log10(47 * len(s)) + math.log10(4) * sum(a != b for a, b in zip(ways, ways[1:])))
+        return min(costs)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + s_.SPAN_COST + span(value[i:j]) for i in range(j)))
+    return max(0.0, best[-1] - s_.SPAN_COST)
+
+
+def test_guess_cost_is_the_minimum():
+    texts = ["".join(x) for k in range(1, 7) for x in itertools.product("asd", repeat=k)] + ["".join(x) for x in itertools.product("12a", repeat=5)]
+    r = random.Random(8)
+    for alphabet in ("ab", "qwertasdf", "0192-", "passwordP@50", "aA1"):
+        for _ in range(60):
+            s = "".join(r.choice(alphabet) for _ in range(r.randint(1, 24)))
+            texts.append(s + s[-r.randint(1, 8) :] * r.choice([0, 0, 3, 5]))
+    texts += ["passwordfghjkl", "passwordfghjklz1", "2001-12-311999", "qwertyqwertyqwerty", "dragon19991231", "a" * 60 + "b" * 60]
+    for t in texts:
+        assert abs(secret_scan.guess_cost(t) - cheapest(t)) < 1e-9, t
+    assert secret_scan.scan("password is passwordfghjklz1")[1] == []
+
+
 def test_guess_cost_reaches_values_of_joined_names():
     for text, value in [
         ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"), ('db_pwd = "x7Kp29!vQz"', "x7Kp29!vQz"), ("MY_PASSPHRASE: x7Kp29!vQz", "x7Kp29!vQz"), ('DB_PASSWORD="!x7Kp29vQz"', "!x7Kp29vQz"),
@@ -235,6 +270,9 @@ def test_near_duplicates_odd(spark, odd):
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_duplicates(spark, odd, keep):
     got = rows(exact_dedup.exact_duplicates(odd, keep=keep, memtable_rows=2, bucket_rows=3))
+    levels = rows(exact_dedup.exact_duplicates(odd, keep=keep, memtable_rows=1, bucket_rows=1, fan_in=2, broadcast_rows=0))  # several levels, all rows by exchange
+    key = lambda r: str(sorted(r.items()))
+    assert sorted(got, key=key) == sorted(levels, key=key)
     by = defaultdict(list)
     for r in got:
         by[r["id"]].append((r["keep_id"], r["group_size"], r["kept"]))
@@ -276,13 +314,35 @@ def test_toxicity_held_out(spark):
     assert wrong <= 0.06 * len(got) and not any(r["predicted"] and not r["toxic"] for r in got)
 
 
-def test_label_model_finds_accurate_voters():
+def test_label_model_recovers_accuracies_and_correlations():
     r = np.random.default_rng(1)
-    y = r.random(4000) < 0.1
-    votes = np.stack([np.where(y, r.random(4000) < 0.6, r.random(4000) < 0.01) for _ in range(6)] + [r.random(4000) < 0.05], axis=1).astype(float)
-    votes = np.hstack([votes, votes[:, :1]])  # a copy of the first voter
-    one, zero, groups, p = toxicity.label_model(votes, 0.1)
-    assert ((p > 0.5) == y).mean() > 0.97 and [0, 7] in groups and one[0] > 0.5 > one[6]
+    n = 8000
+    y = r.random(n) < 0.1
+    fires = [(0.6, 0.02), (0.5, 0.01), (0.7, 0.03), (0.4, 0.02), (0.6, 0.01), (0.5, 0.02), (0.05, 0.05)]
+    votes = np.stack([np.where(y, r.random(n) < a, r.random(n) < b) for a, b in fires], axis=1)
+    echo = np.where(r.random(n) < 0.9, votes[:, 0], np.where(y, r.random(n) < 0.6, r.random(n) < 0.02))  # mostly a copy of the first voter
+    votes = np.hstack([votes, echo[:, None]]).astype(float)
+    m = toxicity.label_model(votes, 0.1)
+    assert ((m.posterior > 0.5) == y).mean() > 0.98 and abs(m.balance - 0.1) < 0.02
+    for j, (a, b) in enumerate(fires):
+        assert abs(m.fires[1, j] - a) < 0.06 and abs(m.fires[0, j] - b) < 0.01
+    assert m.parent.tolist() == [-1] * 7 + [0]
+    for c, got in enumerate(m.correlation(7)):
+        assert abs(got - np.corrcoef(votes[y == c][:, 0], votes[y == c][:, 7])[0, 1]) < 0.05
+    alone = toxicity.label_model(np.delete(votes, 7, axis=1), 0.1)  # the echo adds no evidence
+    assert np.abs(alone.posterior - m.posterior).mean() < 0.01
+
+
+def test_toxicity_repeated_and_conflicting_labels(spark):
+    docs = spark.createDataFrame([(i, "you stupid fool" if i % 4 == 0 else "a plain text") for i in range(80)], "doc_id long, text string")
+    rows_ = [(i, int(i % 4 == 0)) for i in range(80)]
+    once = toxicity.train(docs, spark.createDataFrame(rows_, "doc_id long, toxic int"))
+    again = toxicity.train(docs, spark.createDataFrame(rows_ * 3, "doc_id long, toxic int"))
+    both = toxicity.train(docs, spark.createDataFrame([*rows_, (0, 0), (1, 1)], "doc_id long, toxic int"))
+    assert once.voters == again.voters and np.allclose(once.weights, again.weights)
+    for m in (once, both):
+        assert m.score("what a stupid fool") > 0.5 > m.score("a plain text")
+    assert set(once.accuracy) == set(once.voters) and once.correlations == {}  # the class alone explains these votes
 
 
 def test_toxicity_odd(spark, odd):
@@ -294,23 +354,45 @@ def test_toxicity_odd(spark, odd):
 # Sharding
 
 
-def test_sharding_is_exact_and_repeatable(spark, sample_docs):
-    cols = ["doc_id"]
-    docs = sample_docs.select("doc_id", F.lit("old").alias("slot"), "source")
-    got = rows(sharding.shuffle_into_shards(docs, cols, 7, block_rows=10))
-    again = rows(sharding.shuffle_into_shards(docs.repartition(5), cols, 7, block_rows=10))
-    key = lambda r: r["doc_id"]
-    assert sorted(got, key=key) == sorted(again, key=key) and len(got) == docs.count()
+def check_shards(got, shards):
     slots = defaultdict(list)
     for r in got:
         slots[r["shard"]].append(r["slot"])
-    assert sorted(map(len, slots.values())) == sorted(sharding.shard_sizes(len(got), 7)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = Counter({s: n for s, n in enumerate(sharding.shard_sizes(len(got), shards)) if n})
+    assert sorted(map(len, slots.values())) == sorted(sizes.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_sharding_is_exact_and_repeatable(spark, sample_docs):
+    docs = sample_docs.select("doc_id", F.lit("old").alias("slot"), "source").repartition(6, "doc_id")
+    got = rows(sharding.shuffle_into_shards(docs, ["doc_id"], 7, part_rows=10))
+    again = rows(sharding.shuffle_into_shards(docs, ["doc_id"], 7, part_rows=10))
+    key = lambda r: r["doc_id"]
+    assert sorted(got, key=key) == sorted(again, key=key) and len(got) == docs.count()
+    check_shards(got, 7)
+    other = rows(sharding.shuffle_into_shards(docs, ["doc_id"], 7, seed=1))
+    check_shards(other, 7)
+    assert sum(a["shard"] == b["shard"] for a, b in zip(sorted(got, key=key), sorted(other, key=key))) < len(got) / 3
+
+
+def test_sharding_query_equals_brute_force(spark, sample_docs):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in sample_docs.collect()}
+    got = rows(queries.op7_hypergeometric_sharding(spark, "/root/testdata/sf0.001"))
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+    assert len(got) == len(texts) and {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)} and {r["shard"] for r in got} == set(range(16))
+    check_shards(got, 16)
 
 
 def test_sharding_odd(spark, odd):
-    got = sharding.shuffle_into_shards(odd, ["doc_id", "text"], 3)
-    assert got.count() == odd.count() and got.columns.count("shard") == 1
+    internal = ["row", "first", "place", "source", "ends", "second", "part", "at", "n", "offset", "_block", "_first", "_second", "shard", "slot"]
+    clash = odd.select("doc_id", "text", *[F.col("doc_id").alias(c) for c in internal])
+    got = sharding.shuffle_into_shards(clash, ["doc_id", "text"], 3)
+    assert got.columns == [c for c in clash.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    check_shards(rows(got), 3)
+    assert all(r["place"] == r["_second"] == r["doc_id"] for r in rows(got))
     assert sharding.shuffle_into_shards(odd.limit(0), ["doc_id"], 3).count() == 0
+    same = spark.createDataFrame([(None, "x")] * 300, "doc_id long, text string")  # equal in all keys: still spread over parts
+    out = rows(sharding.shuffle_into_shards(same, ["doc_id"], 3, part_rows=10))
+    check_shards(out, 3)
 
 
 def test_hypergeometric_law():
@@ -319,6 +401,9 @@ def test_hypergeometric_law():
     for k in range(5):
         want = math.comb(5, k) * math.comb(7, 4 - k) / math.comb(12, 4)
         assert abs(n[k] / 20_000 - want) < 0.015
+    draws = [sharding.hypergeometric(r, 10**10, 15 * 10**10, 10**6) for _ in range(400)]  # no digits lost at 1.6 x 10^11 rows
+    mean, sd = 10**6 / 16, (10**6 / 16 * 15 / 16) ** 0.5
+    assert abs(np.mean(draws) - mean) < 5 * sd / 20 and 0.85 < np.std(draws) / sd < 1.15
     m = sharding.communication_matrix([10, 0, 25], [12, 12, 11], 1)
     assert [sum(x) for x in m] == [10, 0, 25] and [sum(c) for c in zip(*m)] == [12, 12, 11]
 
@@ -381,6 +466,64 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, odd, sample_docs):
     assert bpe.round_trip(df.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_bpe_decodes_what_was_encoded():
+    e = bpe.engine(RANKS, PATTERN)
+    pieces = e.encoded(["some words here"])
+    assert e.decoded(pieces) == [b"some words here"]
+    changed = [[*pieces[0][:-1], str(e.byte_id[ord("x")])]]  # another identifier, other bytes
+    assert e.decoded(changed) == [b"some wordsx"]
+    with pytest.raises(Exception, match="unknown identifier"):
+        e.decoded([["999999"]])
+
+
+def test_bpe_steps_of_long_words():
+    ranks = bpe.read_ranks(RANKS)
+    e = bpe.engine(RANKS, PATTERN)
+    assert e.steps == bpe.ALL  # every token of this vocabulary is contracted to itself
+    r = random.Random(6)
+    words = ["".join(r.choice(a) for _ in range(n)).encode() for a in ("ab", "aaab", "etaoinsh", "0") for n in (5, 40, 150)]
+    one = e._stepped(words, bpe.LEFTMOST)
+    assert one == e._stepped(words, bpe.ALL) == e._contracted(words)
+    enc = tiktoken.Encoding("test", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    assert one == [",".join(map(str, enc.encode_ordinary(w.decode()))) for w in words]
+    odd = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"xab": 260, b"xaba": 261}  # xab can only come from x and ab, yet ranks below ab
+    o = bpe.SqlBpe(odd, PATTERN)
+    assert o.steps == bpe.LEFTMOST and o._stepped([b"xabab" * 20], o.steps) == o._contracted([b"xabab" * 20])
+
+
+LONG_RUNS = [c * 1_000_000 for c in (" ", "\n", "7", ".", "a")] + ["ip 1.1.1." + "1" * 5000, "x" + " " * 300_000 + "y", "+1" + "(" * 100_000, "1-" * 100_000]
+
+
+def test_long_runs_fail_nothing(spark):
+    """Texts of a million equal characters go through the scans, the tokenizers and the pipeline."""
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(LONG_RUNS)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert pii.find_pii(df).count() == secret_scan.find_secrets(df).count() == len(LONG_RUNS)
+    back = {r["id"]: r["decoded_sha256"] for r in bpe.round_trip(df, RANKS, PATTERN).collect()}
+    assert back == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(LONG_RUNS)}
+    t = Tokenizer.from_file(JSON)
+    got = {r["id"]: r["doc_tokens"] for r in packing.pack(df, JSON, PATTERN, 1).select("id", "doc_tokens").distinct().collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(LONG_RUNS)}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df, "").count() >= 1
+
+
+def test_packing_deals_hot_classes_in_rounds(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 3000 + [(i, "a " * (i % 50)) for i in range(3000)], "doc_id long, text string").repartition(12)
+    got = rows(packing.pack(docs, JSON, PATTERN, 1, group_rows=500))
+    seq = defaultdict(list)
+    for p in got:
+        seq[p["sequence_id"]].append((p["offset"], p["length"]))
+    for x in seq.values():
+        at = 0
+        for offset, n in sorted(x):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert sum(p["start"] == 0 for p in got) == 6000 and len(seq) < 1.1 * sum(p["length"] for p in got) / 2048 + 2
+
+
 @pytest.mark.parametrize("run", [pii.find_pii, secret_scan.find_secrets], ids=["pii", "secrets"])
 def test_scans_on_odd_tables(odd, run):
     out = rows(run(odd))
