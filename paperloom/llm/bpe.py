@@ -12,10 +12,11 @@ by the pattern alone.
 
 Words of over ``LONG`` bytes would make the recursion keep every state of a long list. Their steps are run on a table that
 holds one state, and a step contracts all occurrences of the word's lowest pair, every other one where they overlap. That
-gives the same identifiers if every token of the vocabulary, cut into bytes, is contracted to itself: tokens x, a, b that
-stand side by side are then what the string xab alone has come to, and had xab a lower rank than ab it would be one token
-by now; so no pair that a contraction makes ranks below it, and the other occurrences come next, leftmost first. The
-vocabulary is checked for this when the first long word comes; where it fails, one pair is contracted at a time.
+gives the same identifiers if every token of the vocabulary, cut into bytes, is contracted to itself by pairs of no higher
+rank than its own: tokens x, a, b that stand side by side are what the steps so far make of the string xab alone, and had
+xab a lower rank than ab, a pair of a lower rank than ab would be left among them; so no pair that a contraction makes
+ranks below it, and the other occurrences come next, leftmost first. The vocabulary is checked for this when the first
+long word comes; where it fails, one pair is contracted at a time.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ ENCODE = """
         select st.w, st.ts[1:(b.key & 4294967295) - 1] || [(b.key >> 32)::integer] || st.ts[(b.key & 4294967295) + 2:]
         from st join (
             select w, min((m.id::bigint << 32) + i) as key
-            from (select w, i, (ts[i]::bigint << 32) + ts[i + 1] as pair from (select w, ts, unnest(range(1, len(ts))) as i from st)) join merges m using (pair)
+            from (select w, i, (ts[i]::bigint << 32) + ts[i + 1] as pair from (select w, ts, unnest(range(1, len(ts))) as i from st)) join merges m using (pair) {where}
             group by w) b using (w))
     select w, unnest(range(len(ts))) as p, unnest(ts) as t from (select w, arg_min(ts, len(ts)) as ts from st group by w)"""
 #: The same for long words, one state of each in a table; {chosen} picks the occurrences of the lowest pair.
@@ -101,14 +102,17 @@ class SqlBpe:
 
     @functools.cached_property
     def steps(self) -> str:
-        """How long words are contracted: all pairs of a step if every token, cut into bytes, is contracted to itself."""
+        """How long words are contracted: all occurrences of a pair, if every token is made of pairs up to its own rank."""
         got = self.db.execute("select raw, id from vocab order by id").fetchall()
-        own = [r for r in got if len(r[0]) <= LONG]
-        ids = [self._contracted([w for w, _ in own[i : i + WORDS_AT_ONCE]]) for i in range(0, len(own), WORDS_AT_ONCE)]
-        same = all(x == str(i) for x, (_, i) in zip(itertools.chain.from_iterable(ids), own))
-        long = [r for r in got if len(r[0]) > LONG]
-        same = same and all(x == str(i) for (w, i) in long for x in self._stepped([w], LEFTMOST))
-        return ALL if same else LEFTMOST
+        if any(len(raw) > 1000 for raw, _ in got):
+            return LEFTMOST  # not checked
+        for i in range(0, len(got), WORDS_AT_ONCE):
+            own = got[i : i + WORDS_AT_ONCE]
+            self._table("caps", {"w": pa.array(range(len(own)), pa.int32()), "cap": pa.array([k for _, k in own], pa.int32())})
+            ids = self._contracted([raw for raw, _ in own], "join caps using (w) where m.id <= cap")
+            if any(x != str(k) for x, (_, k) in zip(ids, own)):
+                return LEFTMOST
+        return ALL
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         """(w, p, t): a row per byte, numbered from 0."""
@@ -117,9 +121,14 @@ class SqlBpe:
         at = np.arange(len(which), dtype=np.int64) - np.repeat(np.cumsum(length) - length, length)
         return pa.table({"w": which, "p": at, "t": self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]})
 
-    def _contracted(self, words: list[bytes]) -> list[str]:
+    def _contracted(self, words: list[bytes], where: str = "") -> list[str]:
         """Identifiers of short words, in decimal joined by commas."""
-        return self._joined(words, "init", ENCODE)
+        self.db.register("init", self._rows(words))
+        try:
+            got = self.db.execute(f"select w, string_agg(t::varchar, ',' order by p) from ({ENCODE.format(where=where)}) group by w order by w").fetchall()
+        finally:
+            self.db.unregister("init")
+        return [x for _, x in got]
 
     def _stepped(self, words: list[bytes], chosen: str) -> list[str]:
         """The same for words of any length, step by step in a table."""
@@ -134,14 +143,6 @@ class SqlBpe:
         self.db.execute("drop table state")
         return [x for _, x in got]
 
-    def _joined(self, words: list[bytes], name: str, query: str) -> list[str]:
-        self.db.register(name, self._rows(words))
-        try:
-            got = self.db.execute(f"select w, string_agg(t::varchar, ',' order by p) from ({query}) group by w order by w").fetchall()
-        finally:
-            self.db.unregister(name)
-        return [x for _, x in got]
-
     def words(self, words: Iterable[str]) -> dict[str, str]:
         """Identifiers of each word, in decimal joined by commas; a word that the vocabulary holds is its own token."""
         out: dict[str, str] = {}
