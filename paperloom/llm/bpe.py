@@ -2,9 +2,9 @@
 
 Words (matches of the tokenizer's pattern) become rows (word, position, token), a row per byte, unless the vocabulary
 holds the whole word. Each step of a recursive query joins neighbouring tokens with the merge table, and contracts the
-leftmost pair of the lowest rank in every word; a word without such a pair leaves the recursion. Ordered aggregation gives
-each word's identifiers. Decoding sees identifiers alone: each distinct sequence of them is joined with the vocabulary and
-its bytes are put together by an ordered aggregation.
+leftmost pair of the lowest rank in every word; a word without such a pair leaves the recursion. Decoding sees identifiers
+alone: the identifiers of each distinct word are joined with the vocabulary and their bytes put together by an ordered
+aggregation; a text's bytes are those of its words.
 
 A partition's distinct words are looked up once: texts are cut before single spaces and line ends, where no match of the
 pattern can cross, and the pieces' results are kept in a bounded table. Texts with longer runs of white space are cut
@@ -54,7 +54,13 @@ ENCODE = """
             select w, min((m.id::bigint << 32) + i) as key
             from (select w, i, (ts[i]::bigint << 32) + ts[i + 1] as pair from (select w, ts, unnest(range(1, len(ts))) as i from st)) join merges m using (pair) {where}
             group by w) b using (w))
-    select w, unnest(range(len(ts))) as p, unnest(ts) as t from (select w, arg_min(ts, len(ts)) as ts from st group by w)"""
+    select w, arg_min(ts, len(ts)) as ts from st group by w"""
+#: Identifiers in decimal joined by commas, and what they decode to in hexadecimal, from (w, ts).
+DECODE = """
+    with coded as materialized ({coded})
+    select w, array_to_string(ts, ',') as ids, hex from coded join (
+        select w, string_agg(coalesce(hex, error('unknown identifier')), '' order by p) as hex
+        from (select w, unnest(ts) as t, generate_subscripts(ts, 1) as p from coded) left join vocab on vocab.id = t group by w) using (w)"""
 #: The same for long words, one state of each in a table; {chosen} picks the occurrences of the lowest pair.
 CONTRACT = """
     with pairs as (select w, p, t, (t::bigint << 32) + lead(t) over (partition by w order by p) as pair from state),
@@ -67,10 +73,10 @@ CONTRACT = """
 LEFTMOST = "select w, min(p) as p from hits group by w"
 ALL = """select w, p from (select w, p, row_number() over (partition by w, run order by p) as k
     from (select w, p, p - row_number() over (partition by w order by p) as run from hits)) where k % 2 = 1"""
-DECODE = """
-    select k, string_agg(coalesce(hex, error('unknown identifier')), '' order by p) as hex
-    from (select k, unnest(ids) as t, generate_subscripts(ids, 1) as p from (select k, string_split(s, ',')::integer[] as ids from sequences)) left join vocab on vocab.id = t
-    group by k"""
+
+
+#: A word's or piece's identifiers, in decimal joined by commas, and the bytes that they decode to.
+Coded = tuple[str, bytes]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,11 +95,10 @@ class SqlBpe:
         pairs = [((ranks[k[:i]] << 32) + ranks[k[i:]], v) for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
         self._table("merges", {"pair": pa.array([p[0] for p in pairs], pa.int64()), "id": pa.array([p[1] for p in pairs], pa.int32())})
         self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "raw": pa.array(list(ranks), pa.binary()), "hex": pa.array([k.hex() for k in ranks])})
-        # Per piece: identifiers in decimal joined by commas; None: see encoded(). Pieces have a space before them unless
-        # they begin with a line end; heads are pieces at the start of a text. And per sequence of identifiers: its bytes.
-        self.ids: dict[str, str | None] = {}
-        self.head_ids: dict[str, str | None] = {}
-        self.back: dict[str, bytes] = {}
+        # Per piece: its identifiers and their bytes; None: see texts(). Pieces have a space before them unless they begin
+        # with a line end; heads are pieces at the start of a text.
+        self.pieces: dict[str, Coded | None] = {}
+        self.heads: dict[str, Coded | None] = {}
 
     def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.db.register("arriving", pa.table(columns))
@@ -109,8 +114,8 @@ class SqlBpe:
         for i in range(0, len(got), WORDS_AT_ONCE):
             own = got[i : i + WORDS_AT_ONCE]
             self._table("caps", {"w": pa.array(range(len(own)), pa.int32()), "cap": pa.array([k for _, k in own], pa.int32())})
-            ids = self._contracted([raw for raw, _ in own], "join caps using (w) where m.id <= cap")
-            if any(x != str(k) for x, (_, k) in zip(ids, own)):
+            coded = self.contracted([raw for raw, _ in own], "join caps using (w) where m.id <= cap")
+            if any(ids != str(k) for (ids, _), (_, k) in zip(coded, own)):
                 return LEFTMOST
         return ALL
 
@@ -121,16 +126,23 @@ class SqlBpe:
         at = np.arange(len(which), dtype=np.int64) - np.repeat(np.cumsum(length) - length, length)
         return pa.table({"w": which, "p": at, "t": self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]})
 
-    def _contracted(self, words: list[bytes], where: str = "") -> list[str]:
-        """Identifiers of short words, in decimal joined by commas."""
+    def _coded(self, coded: str, n: int) -> list[Coded]:
+        """Of n words, from a query of (w, ts)."""
+        got = self.db.sql(DECODE.format(coded=coded)).to_arrow_table()
+        out: list = [None] * n
+        for w, ids, h in zip(*(got.column(c).to_pylist() for c in ("w", "ids", "hex"))):
+            out[w] = ids, bytes.fromhex(h)
+        return out
+
+    def contracted(self, words: list[bytes], where: str = "") -> list[Coded]:
+        """Words by the recursion."""
         self.db.register("init", self._rows(words))
         try:
-            got = self.db.execute(f"select w, string_agg(t::varchar, ',' order by p) from ({ENCODE.format(where=where)}) group by w order by w").fetchall()
+            return self._coded(ENCODE.format(where=where), len(words))
         finally:
             self.db.unregister("init")
-        return [x for _, x in got]
 
-    def _stepped(self, words: list[bytes], chosen: str) -> list[str]:
+    def stepped(self, words: list[bytes], chosen: str) -> list[Coded]:
         """The same for words of any length, step by step in a table."""
         rows = self._rows(words)
         self._table("state", {c: rows.column(c) for c in rows.column_names})
@@ -139,84 +151,78 @@ class SqlBpe:
             left = n
             self.db.execute(f"create or replace table stepped as {CONTRACT.format(chosen=chosen)}")
             self.db.execute("drop table state; alter table stepped rename to state")
-        got = self.db.execute("select w, string_agg(t::varchar, ',' order by p) from state group by w order by w").fetchall()
+        out = self._coded("select w, list(t order by p) as ts from state group by w", len(words))
         self.db.execute("drop table state")
-        return [x for _, x in got]
+        return out
 
-    def words(self, words: Iterable[str]) -> dict[str, str]:
-        """Identifiers of each word, in decimal joined by commas; a word that the vocabulary holds is its own token."""
-        out: dict[str, str] = {}
+    def words(self, words: Iterable[str]) -> dict[str, Coded]:
+        """Identifiers and bytes of each word; a word that the vocabulary holds is its own token."""
+        out: dict[str, Coded] = {}
         all_ = [(w, w.encode("utf-8", "surrogatepass")) for w in words if w]
         for i in range(0, len(all_), WORDS_AT_ONCE):
             batch = all_[i : i + WORDS_AT_ONCE]
             self.db.register("asked", pa.table({"k": pa.array(range(len(batch)), pa.int32()), "raw": pa.array([b for _, b in batch], pa.binary())}))
-            whole = dict(self.db.execute("select k, id::varchar from asked join vocab using (raw)").fetchall())
+            whole = {k: (str(x), bytes.fromhex(h)) for k, x, h in self.db.execute("select k, id, hex from asked join vocab using (raw)").fetchall()}
             self.db.unregister("asked")
             out |= {batch[k][0]: x for k, x in whole.items()}
             rest = [x for k, x in enumerate(batch) if k not in whole]
             short = [x for x in rest if len(x[1]) <= LONG]
             if short:
-                out |= zip([w for w, _ in short], self._contracted([b for _, b in short]))
+                out |= zip([w for w, _ in short], self.contracted([b for _, b in short]))
             now, size = [], 0
             for x in [*(x for x in rest if len(x[1]) > LONG), None]:
                 if now and (x is None or size + len(x[1]) > LONG_AT_ONCE):
-                    out |= zip([w for w, _ in now], self._stepped([b for _, b in now], self.steps))
+                    out |= zip([w for w, _ in now], self.stepped([b for _, b in now], self.steps))
                     now, size = [], 0
                 if x is not None:
                     now.append(x)
                     size += len(x[1])
         return out
 
-    def _learn(self, pieces: set[str], ids: dict[str, str | None], before: str) -> None:
-        new = pieces - ids.keys()
-        if not new:
-            return
+    def _learn(self, new: set[str], known: dict[str, Coded | None], before: str) -> None:
         single, cut = {}, {}
         for p in new:
             if p.isalpha():
                 single[p] = before + p  # letters only: one word
             elif not p or self.edge.search(p[1:] if p[0] == "\n" and before else p) or p == "\n":
-                ids[p] = None  # white space meets white space: only the whole text tells
+                known[p] = None  # white space meets white space: only the whole text tells
             else:
                 cut[p] = self.pattern.findall(p if p[0] == "\n" else before + p)
-        word_ids = self.words({*single.values(), *itertools.chain.from_iterable(cut.values())})
+        words = self.words({*single.values(), *itertools.chain.from_iterable(cut.values())})
         for p, w in single.items():
-            ids[p] = word_ids[w]
+            known[p] = words[w]
         for p, ws in cut.items():
-            ids[p] = ",".join([word_ids[w] for w in ws])
-
-    def encoded(self, texts: list[str]) -> list[list[str]]:
-        """Per text its pieces' identifiers, in decimal joined by commas."""
-        for own in (self.ids, self.head_ids):
-            if len(own) > CACHE:
-                own.clear()
+            own = [words[w] for w in ws]
+            known[p] = ",".join([x for x, _ in own]), b"".join([x for _, x in own])
+
+    def texts(self, texts: list[str]) -> list[list[Coded]]:
+        """Per text its pieces: identifiers in decimal joined by commas, and the bytes that these decode to."""
+        for known in (self.pieces, self.heads):
+            if len(known) > CACHE:
+                known.clear()
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
-        self._learn(set().union(*cut), self.ids, " ")
-        self._learn(set(heads), self.head_ids, "")
-        out = [[self.head_ids[h], *map(self.ids.__getitem__, c)] for h, c in zip(heads, cut)]
-        odd = {k: self.pattern.findall(texts[k]) for k, ids in enumerate(out) if None in ids}
+        for found, known, before in ((set().union(*cut), self.pieces, " "), (set(heads), self.heads, "")):
+            if new := found - known.keys():
+                self._learn(new, known, before)
+        out = [[self.heads[h], *map(self.pieces.__getitem__, c)] for h, c in zip(heads, cut)]
+        odd = {k: self.pattern.findall(texts[k]) for k, pieces in enumerate(out) if None in pieces}
         if odd:
-            ids = self.words({w for ws in odd.values() for w in ws})
+            words = self.words({w for ws in odd.values() for w in ws})
             for k, ws in odd.items():
-                out[k] = [ids[w] for w in ws]
+                out[k] = [words[w] for w in ws]
         return out
 
-    def decoded(self, pieces: list[list[str]]) -> list[bytes]:
-        """The bytes of each list of pieces, from their identifiers alone."""
-        if len(self.back) > CACHE:
-            self.back.clear()
-        new = list(set().union(*pieces) - self.back.keys())
-        for i in range(0, len(new), WORDS_AT_ONCE):
-            batch = new[i : i + WORDS_AT_ONCE]
-            self.db.register("sequences", pa.table({"k": pa.array(range(len(batch)), pa.int32()), "s": pa.array(batch, pa.string())}))
-            for k, h in self.db.execute(DECODE).fetchall():
-                self.back[batch[k]] = bytes.fromhex(h)
+    def decoded(self, sequences: list[str]) -> list[bytes]:
+        """The bytes of sequences of identifiers, each in decimal joined by commas."""
+        self.db.register("sequences", pa.table({"w": pa.array(range(len(sequences)), pa.int32()), "s": pa.array(sequences, pa.string())}))
+        try:
+            return [x[1] if x else b"" for x in self._coded("select w, string_split(s, ',')::integer[] as ts from sequences where s <> ''", len(sequences))]
+        finally:
             self.db.unregister("sequences")
-        return [b"".join(map(self.back.__getitem__, p)) for p in pieces]
 
-    def portions(self, texts: list[str]) -> Iterator[list[list[str]]]:
-        """encoded() of portions of bounded size, in order."""
+    def portions(self, texts: list[str]) -> Iterator[list[list[Coded]]]:
+        """texts() of portions of bounded size, in order."""
         now, size = [], 0
         for i, t in enumerate(texts):
             now.append(t)
@@ -224,7 +230,7 @@ class SqlBpe:
             if size >= TEXT_AT_ONCE or i + 1 == len(texts):
                 gc.disable()  # many short lists, no cycles
                 try:
-                    got = self.encoded(now)
+                    got = self.texts(now)
                 finally:
                     gc.enable()
                 yield got
@@ -249,7 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = engine(path, pattern)
         for b in batches:
-            ids = [[int(i) for s in pieces for i in s.split(",")] for got in e.portions([t or "" for t in b.column(1).to_pylist()]) for pieces in got]
+            ids = [[int(i) for s, _ in pieces for i in s.split(",")] for got in e.portions([t or "" for t in b.column(1).to_pylist()]) for pieces in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -264,12 +270,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "id", ids_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = engine(path, pattern)
         for b in batches:
-            lists = [x or [] for x in b.column(1).to_pylist()]
-            rows = pa.table({"w": pa.array([i for i, x in enumerate(lists) for _ in x], pa.int32()), "p": pa.array([p for x in lists for p in range(len(x))], pa.int64()), "t": pa.array([t for x in lists for t in x], pa.int32())})
-            e.db.register("tokens", rows)
-            got = dict(e.db.execute("select w, string_agg(coalesce(hex, error('unknown identifier')), '' order by p) from tokens left join vocab on vocab.id = tokens.t group by w").fetchall())
-            e.db.unregister("tokens")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bytes.fromhex(got.get(i, "")) for i in range(len(lists))], pa.binary())], names=["id", "bytes"])
+            raw = e.decoded([",".join(map(str, x or [])) for x in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["id", "bytes"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bytes binary")
@@ -285,8 +287,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for b in batches:
             n, x, y = [], [], []
             for got in e.portions([t or "" for t in b.column(1).to_pylist()]):
-                for pieces, raw in zip(got, e.decoded(got)):
-                    ids = ",".join(pieces)
+                for pieces in got:
+                    ids, raw = ",".join([x for x, _ in pieces]), b"".join([x for _, x in pieces])
                     n.append(ids.count(",") + 1 if ids else 0), x.append(hashlib.sha256(ids.encode()).hexdigest()), y.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

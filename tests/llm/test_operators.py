@@ -467,28 +467,33 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, odd, sample_docs):
 
 
 def test_bpe_decodes_what_was_encoded():
-    e = bpe.engine(RANKS, PATTERN)
-    pieces = e.encoded(["some words here"])
-    assert e.decoded(pieces) == [b"some words here"]
-    changed = [[*pieces[0][:-1], str(e.byte_id[ord("x")])]]  # another identifier, other bytes
-    assert e.decoded(changed) == [b"some wordsx"]
+    e = bpe.SqlBpe(bpe.read_ranks(RANKS), PATTERN)
+    (pieces,) = e.texts(["some words here"])
+    ids = ",".join(x for x, _ in pieces)
+    assert b"".join(x for _, x in pieces) == e.decoded([ids])[0] == b"some words here"
+    changed = ",".join([*ids.split(",")[:-1], str(e.byte_id[ord("x")])])  # another identifier, other bytes
+    assert e.decoded([changed, ""]) == [b"some wordsx", b""]
     with pytest.raises(Exception, match="unknown identifier"):
-        e.decoded([["999999"]])
+        e.decoded(["999999"])
+    e.pieces.clear(), e.heads.clear()
+    e.db.execute(f"update vocab set hex = '3f' where id = {ids.split(',')[-1]}")  # the bytes come from the vocabulary, not from the text
+    (pieces,) = e.texts(["some words here"])
+    assert ",".join(x for x, _ in pieces) == ids and b"".join(x for _, x in pieces).endswith(b"?")
 
 
 def test_bpe_steps_of_long_words():
     ranks = bpe.read_ranks(RANKS)
     e = bpe.engine(RANKS, PATTERN)
-    assert e.steps == bpe.ALL  # every token of this vocabulary is contracted to itself
+    assert e.steps == bpe.ALL  # every token of this vocabulary is made of pairs up to its own rank
     r = random.Random(6)
     words = ["".join(r.choice(a) for _ in range(n)).encode() for a in ("ab", "aaab", "etaoinsh", "0") for n in (5, 40, 150)]
-    one = e._stepped(words, bpe.LEFTMOST)
-    assert one == e._stepped(words, bpe.ALL) == e._contracted(words)
+    one = e.stepped(words, bpe.LEFTMOST)
+    assert one == e.stepped(words, bpe.ALL) == e.contracted(words)
     enc = tiktoken.Encoding("test", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-    assert one == [",".join(map(str, enc.encode_ordinary(w.decode()))) for w in words]
+    assert one == [(",".join(map(str, enc.encode_ordinary(w.decode()))), w) for w in words]
     odd = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"xab": 260, b"xaba": 261}  # xab comes from x and ab, yet ranks below ab
     o = bpe.SqlBpe(odd, PATTERN)
-    assert o.steps == bpe.LEFTMOST and o._stepped([b"xabab" * 20], o.steps) == o._contracted([b"xabab" * 20])
+    assert o.steps == bpe.LEFTMOST and o.stepped([b"xabab" * 20], o.steps) == o.contracted([b"xabab" * 20])
 
 
 LONG_RUNS = [c * 1_000_000 for c in (" ", "\n", "7", ".", "a")] + ["ip 1.1.1." + "1" * 5000, "x" + " " * 300_000 + "y", "+1" + "(" * 100_000, "1-" * 100_000]
