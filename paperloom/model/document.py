@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import unicodedata
 from functools import cached_property
 
 from .crypt import Handler
-from .objects import Keyword, Parser, PdfError, Ref, Stream, decode_stream
+from .objects import Keyword, Name, Parser, PdfError, Ref, Stream, decode_stream
 
-MAX_OBJECTS, MAX_PAGES, MAX_TREE_DEPTH = 5_000_000, 1_000_000, 64
+MAX_OBJECTS, MAX_PAGES, MAX_TREE_DEPTH, MAX_FIELD_DEPTH = 5_000_000, 1_000_000, 64, 50
+#: Flags of annotations and fields, and the numbers that each kind of view has.
+HIDDEN, NO_VIEW, PRINT = 1 << 1, 1 << 5, 1 << 2
+MULTILINE, PASSWORD, COMB = 1 << 12, 1 << 13, 1 << 24
+VIEWS = {"XYZ": 3, "Fit": 0, "FitH": 1, "FitV": 1, "FitR": 4, "FitB": 0, "FitBH": 1, "FitBV": 1}
 
 
 def text_of(raw) -> str | None:
@@ -33,6 +39,8 @@ class Pdf:
         self.recovered = False
         self._cache: dict[int, object] = {}
         self._members: dict[int, list] = {}
+        self._fonts: dict = {}
+        self._skipped: set[int] = set()
         try:
             at = data.rfind(b"startxref")
             self._sections(Parser(data, at + 9).next() if at >= 0 else -1)
@@ -222,16 +230,47 @@ class Pdf:
         walk(self.root.get("Pages"), {}, 0, frozenset())
         return out
 
+    def _rect(self, o) -> list[float] | None:
+        b = [self.get(x) for x in self.list(o)]
+        if len(b) != 4 or not all(isinstance(x, (int, float)) and abs(x) < 1e9 for x in b):
+            return None
+        found = [float(min(b[0], b[2])), float(min(b[1], b[3])), float(max(b[0], b[2])), float(max(b[1], b[3]))]
+        return found if found[2] > found[0] and found[3] > found[1] else None
+
     def box(self, page: dict) -> list[float]:
-        b = [self.get(x) for x in self.list(page.get("CropBox") or page.get("MediaBox"))]
-        if len(b) != 4 or not all(isinstance(x, (int, float)) for x in b):
-            b = [0, 0, 612, 792]
-        return [float(min(b[0], b[2])), float(min(b[1], b[3])), float(max(b[0], b[2])), float(max(b[1], b[3]))]
+        """The crop box cut with the media box; the media box if they don't meet; US Letter if it can't be used."""
+        media = self._rect(page.get("MediaBox")) or [0.0, 0.0, 612.0, 792.0]
+        crop = self._rect(page.get("CropBox"))
+        if not crop:
+            return media
+        cut = [max(media[0], crop[0]), max(media[1], crop[1]), min(media[2], crop[2]), min(media[3], crop[3])]
+        return cut if cut[2] > cut[0] and cut[3] > cut[1] else media
 
     def content(self, page: dict) -> bytes:
         c = self.get(page.get("Contents"))
         parts = c if isinstance(c, list) else [c]
-        return b"\n".join(decode_stream(s, self.get) for s in map(self.get, parts) if isinstance(s, Stream))
+        out = []
+        for s in map(self.get, parts):
+            if isinstance(s, Stream):
+                try:
+                    out.append(decode_stream(s, self.get))
+                except (PdfError, ValueError, TypeError):
+                    self._skipped.add(id(page))
+        return b"\n".join(out)
+
+    def skipped(self, page: dict) -> bool:
+        """Whether content() left out a stream of the page that can't be decoded."""
+        return id(page) in self._skipped
+
+    def font(self, ref):
+        """The font of a reference or dictionary, read once per file."""
+        from .fonts import Font
+
+        key = ref if isinstance(ref, Ref) else id(ref)
+        if key not in self._fonts:
+            d = self.get(ref)
+            self._fonts[key] = (Font(self, d), ref) if isinstance(d, dict) else (None, ref)  # holds ref, so that its id stays its own
+        return self._fonts[key][0]
 
     def page_index(self, ref) -> int | None:
         if not hasattr(self, "_page_of"):
@@ -271,11 +310,24 @@ class Pdf:
     def _shown(self) -> dict:
         return {g: x["visible"] for g, x in zip(self.list(self.dict(self.root.get("OCProperties")).get("OCGs")), self.layers()) if isinstance(g, Ref)}
 
+    def _expression(self, o, depth: int = 0) -> bool:
+        """A visibility expression: And, Or or Not over groups and expressions."""
+        e = self.get(o)
+        if not isinstance(e, list):
+            return self._shown.get(o, True)
+        if not e or depth > 32:
+            return True
+        states = [self._expression(x, depth + 1) for x in e[1:]]
+        word = self.get(e[0])
+        return all(states) if word == "And" else any(states) if word == "Or" else not (states and states[0])
+
     def hidden(self, layer) -> bool:
-        """Whether a group, or a membership by its policy over groups, is off in the default configuration."""
+        """Whether a group, or a membership by its expression or its policy over groups, is off in the default configuration."""
         d = self.dict(layer)
         if d.get("Type") != "OCMD":
             return isinstance(layer, Ref) and not self._shown.get(layer, True)
+        if isinstance(self.get(d.get("VE")), list):
+            return not self._expression(d["VE"])
         own = d.get("OCGs")
         several = self.get(own)
         states = [self._shown.get(g, True) for g in (several if isinstance(several, list) else [own]) if isinstance(g, Ref)]
@@ -300,78 +352,138 @@ class Pdf:
             out.append({"start": start, "style": self.get(d.get("S")), "prefix": text_of(self.get(d.get("P"))) or "", "first": self.get(d.get("St")) or 1})
         return out
 
-    def destination(self, dest) -> int | None:
-        """The page index of a destination, named or explicit."""
+    @cached_property
+    def _names(self) -> dict:
+        """Named destinations of the name tree, read once."""
+        return {k: v for k, v in reversed(self._tree(self.dict(self.root.get("Names")).get("Dests"), "Names")) if isinstance(k, bytes)}
+
+    def destination(self, dest) -> tuple[int | None, str | None]:
+        """(page index, view) of a destination, named or explicit; the view is its kind and numbers, null ones as "null"."""
         dest = self.get(dest)
         if isinstance(dest, (str, bytes)):
             key = dest if isinstance(dest, bytes) else str(dest).encode()
-            names = dict(self._tree(self.dict(self.root.get("Names")).get("Dests"), "Names"))
-            dest = self.get(names.get(key, self.dict(self.root.get("Dests")).get(key.decode("latin-1"))))
+            dest = self.get(self._names.get(key, self.dict(self.root.get("Dests")).get(key.decode("latin-1"))))
         if isinstance(dest, dict):
             dest = self.get(dest.get("D"))
-        if isinstance(dest, list) and dest:
-            return dest[0] if isinstance(dest[0], int) else self.page_index(dest[0])
-        return None
-
-    def _target(self, d: dict) -> tuple[int | None, str | None]:
+        if not isinstance(dest, list) or not dest:
+            return None, None
+        page = dest[0] if isinstance(dest[0], int) else self.page_index(dest[0])
+        kind = self.get(dest[1]) if len(dest) > 1 else None
+        if kind not in VIEWS:
+            return page, None
+        numbers = [self.get(x) for x in dest[2 : 2 + VIEWS[kind]]]
+        numbers += [None] * (VIEWS[kind] - len(numbers))
+        if kind == "XYZ" and numbers[2] == 0:
+            numbers[2] = None  # keeps the zoom
+        return page, " ".join([kind, *("null" if not isinstance(x, (int, float)) else f"{x:g}" for x in numbers)])
+
+    def _target(self, d: dict) -> tuple[int | None, str | None, str | None, str | None]:
+        """(page, view, address, file) that a link or bookmark leads to."""
         action = self.dict(d.get("A"))
-        uri = text_of(self.get(action.get("URI"))) if action.get("S") == "URI" else None
-        return self.destination(d.get("Dest") or (action.get("D") if action.get("S") == "GoTo" else None)), uri
+        kind = self.get(action.get("S"))
+        uri = text_of(self.get(action.get("URI"))) if kind == "URI" else None
+        spec = self.get(action.get("F")) if kind == "GoToR" else None
+        if isinstance(spec, dict):
+            spec = self.get(spec.get("UF")) or self.get(spec.get("F"))
+        return *self.destination(d.get("Dest") or (action.get("D") if kind == "GoTo" else None)), uri, text_of(spec)
 
     def outline(self, most: int = 65_536) -> list[dict]:
-        """Bookmarks before their children: node, parent, ordinal, depth, title, page, uri."""
+        """Bookmarks before their children: node, parent, ordinal, depth, title, page, view, uri, file, open; truncated on
+        all rows if there are more."""
         out: list[dict] = []
         seen: set = set()
-        todo = [(self.dict(self.root.get("Outlines")).get("First"), None, 0, 0)]
-        while todo and len(out) < most:
+        todo, cut = [(self.dict(self.root.get("Outlines")).get("First"), None, 0, 0)], False
+        while todo:
             ref, parent, ordinal, depth = todo.pop()
             d = self.dict(ref)
             if not d or ref in seen:
                 continue
+            if len(out) >= most or depth > MAX_TREE_DEPTH:
+                cut = True
+                continue
             seen.add(ref)
-            page, uri = self._target(d)
-            out.append({"node": len(out), "parent": parent, "ordinal": ordinal, "depth": depth, "title": text_of(self.get(d.get("Title"))) or "", "page": page, "uri": uri})
+            page, view, uri, file = self._target(d)
+            count = self.get(d.get("Count"))
+            out.append({"node": len(out), "parent": parent, "ordinal": ordinal, "depth": depth, "title": text_of(self.get(d.get("Title"))) or "", "page": page, "view": view, "uri": uri, "file": file, "open": isinstance(count, int) and count > 0})
             todo.append((d.get("Next"), parent, ordinal + 1, depth))
             todo.append((d.get("First"), out[-1]["node"], 0, depth + 1))
-        return out
+        return [{**x, "truncated": cut} for x in out]
 
     def annotations(self, page: dict) -> list[dict]:
         out = []
         for a in self.list(page.get("Annots")):
             d = self.dict(a)
             if d:
-                dest, uri = self._target(d)
+                dest, _, uri, file = self._target(d)
                 rect = [float(x) for x in map(self.get, self.list(d.get("Rect"))) if isinstance(x, (int, float))]
-                out.append({"subtype": self.get(d.get("Subtype")), "rect": rect, "contents": text_of(self.get(d.get("Contents"))), "dest_page": dest, "uri": uri})
+                flags = self.get(d.get("F"))
+                flags = flags if isinstance(flags, int) else 0
+                look = self.get(self.dict(d.get("AP")).get("N"))
+                if isinstance(look, dict):  # one appearance for each state
+                    look = self.get(look.get(self.get(d.get("AS"))))
+                kind = self.get(d.get("Subtype"))
+                area = len(rect) == 4 and rect[0] != rect[2] and rect[1] != rect[3]
+                out.append({
+                    "subtype": kind, "rect": rect, "contents": text_of(self.get(d.get("Contents"))), "dest_page": dest, "uri": uri, "file": file, "flags": flags, "appearance": isinstance(look, Stream),
+                    "viewable": not flags & (HIDDEN | NO_VIEW) and kind != "Popup" and isinstance(look, Stream) and area and not self.hidden(d.get("OC")), "associated": bool(self.list(d.get("AF"))),
+                })
         return out
 
     def fields(self, most: int = 20_000) -> list[dict]:
-        """Terminal form fields with dotted names; type and value are inherited."""
+        """Terminal form fields with dotted names, their own and inherited values, and the objects that present them;
+        truncated on all rows if there are more."""
         out: list[dict] = []
+        seen: set = set()
+        cut = False
 
-        def walk(ref, name: str, kind, value, depth: int) -> None:
+        def walk(ref, name: str, above: dict, depth: int) -> None:
+            nonlocal cut
             d = self.dict(ref)
+            if not d or ref in seen or depth > MAX_FIELD_DEPTH:
+                return
+            if isinstance(ref, Ref):
+                seen.add(ref)
             own = text_of(self.get(d.get("T")))
             name = f"{name}.{own}" if name and own else own or name
-            kind, value = self.get(d.get("FT", kind)), self.get(d.get("V", value))
-            kids = [k for k in self.list(d.get("Kids")) if "T" in self.dict(k)]
-            if kids and depth < MAX_TREE_DEPTH:
-                for k in kids:
-                    walk(k, name, kind, value, depth + 1)
-            elif d and len(out) < most:
-                values = value if isinstance(value, list) else [value]
-                out.append({"name": name, "kind": kind, "value": [text_of(v) if isinstance(v, bytes) else str(v) for v in map(self.get, values) if v is not None]})
-
-        for f in self.list(self.dict(self.root.get("AcroForm")).get("Fields")):
-            walk(f, "", None, None, 0)
-        return out
-
-    def structure(self, most: int = 200_000) -> list[dict]:
+            held = {k: self.get(d[k]) if k in d else above.get(k) for k in ("FT", "V", "Ff", "DA", "Q", "MaxLen", "Opt")}
+            kids = self.list(d.get("Kids"))
+            named = [k for k in kids if "T" in self.dict(k)]
+            if named:
+                for k in named:
+                    walk(k, name, held, depth + 1)
+            elif len(out) >= most:
+                cut = True
+            else:
+                out.append({"field": len(out), "name": name, **self._field(held), "widgets": [k.num for k in kids or [ref] if isinstance(k, Ref)]})
+
+        form = self.dict(self.root.get("AcroForm"))
+        for f in self.list(form.get("Fields")):
+            walk(f, "", {k: self.get(form.get(k)) for k in ("DA", "Q")}, 0)
+        return [{**x, "truncated": cut} for x in out]
+
+    def _field(self, held: dict) -> dict:
+        kind, value, flags = held["FT"], held["V"], held["Ff"] if isinstance(held["Ff"], int) else 0
+        plain = lambda v: text_of(v) if isinstance(v, bytes) else str(v)
+        values = [plain(v) for v in map(self.get, value if isinstance(value, list) else [value]) if v is not None and not isinstance(v, (dict, Stream))]
+        options = {}
+        for o in map(self.get, held["Opt"] if isinstance(held["Opt"], list) else []):
+            pair = [plain(self.get(x)) for x in o] if isinstance(o, list) and len(o) == 2 else [plain(o)] * 2
+            options.setdefault(*pair)
+        shown = [options.get(v, v) if kind == "Ch" else v for v in values]
+        display = None if isinstance(value, Name) and value == "Off" else "\n".join(shown) or None
+        text, longest = kind == "Tx", held["MaxLen"] if isinstance(held["MaxLen"], int) else None
+        return {
+            "kind": kind, "value": values, "flags": flags, "display": display, "multiline": text and bool(flags & MULTILINE), "password": text and bool(flags & PASSWORD),
+            "comb": text and flags & (COMB | MULTILINE | PASSWORD) == COMB and (longest or 0) > 0, "options": [f"{k}={v}" for k, v in options.items()], "max_length": longest,
+        }
+
+    def structure(self, most: int = 500_000) -> list[dict]:
         """Elements of the structure tree before their kids: node, parent, depth, role, alt, actual_text, and kids in order.
 
         A kid is ("element", node) or ("content", page index, mcid). A role is looked up in the role map. Content directly
-        under the root is left out; an element met twice counts once.
+        under the root is left out; an element met twice counts once. truncated is set on all if there are more.
         """
+        cut = False
         top = self.dict(self.root.get("StructTreeRoot"))
         names, out, seen = self.dict(top.get("RoleMap")), [], set()
 
@@ -384,6 +496,7 @@ class Pdf:
             return str(name or "")
 
         def walk(ref, parent: int | None, page, depth: int) -> None:
+            nonlocal cut
             found = self.get(ref)
             if isinstance(found, list):
                 for k in found:
@@ -395,7 +508,9 @@ class Pdf:
                 own = self.page_index(found["Pg"]) if isinstance(found.get("Pg"), Ref) else page
                 if found.get("Type") == "MCR" or "MCID" in found:
                     walk(found.get("MCID"), parent, own, depth)
-                elif "S" in found and depth < MAX_TREE_DEPTH and len(out) < most and id(found) not in seen:
+                elif "S" in found and (depth >= MAX_TREE_DEPTH or len(out) >= most):
+                    cut = True
+                elif "S" in found and id(found) not in seen:
                     seen.add(id(found))
                     node = len(out)
                     if parent is not None:
@@ -404,19 +519,119 @@ class Pdf:
                     walk(found.get("K"), node, own, depth + 1)
 
         walk(top.get("K"), None, None, 0)
-        return out
+        return [{**e, "truncated": cut} for e in out]
 
     def attachments(self) -> list[dict]:
-        """Files of the name tree and then of the associated files; the first of a name stays."""
+        """Files of the name tree and the associated files of the catalog and the pages: one row for each embedded stream,
+        in the order they are met; what one entry lacks another one of the same stream fills in."""
         found = [v for _, v in self._tree(self.dict(self.root.get("Names")).get("EmbeddedFiles"), "Names")] + self.list(self.root.get("AF"))
-        out: dict[str, dict] = {}
+        for page in self.pages:
+            found += self.list(page.get("AF"))
+        out: dict = {}
         for v in found:
             d = self.dict(v)
-            name = text_of(self.get(d.get("UF"))) or text_of(self.get(d.get("F"))) or ""
-            s = self.get(self.dict(d.get("EF")).get("F"))
-            if isinstance(s, Stream):
-                out.setdefault(name, {"name": name, "description": text_of(self.get(d.get("Desc"))), "data": decode_stream(s, self.get)})
-        return list(out.values())
+            body = self.dict(d.get("EF"))
+            ref = body.get("UF", body.get("F"))
+            s = self.get(ref)
+            if not isinstance(s, Stream):
+                continue
+            kind, relation = self.get(s.dict.get("Subtype")), self.get(d.get("AFRelationship"))
+            row = {"name": text_of(self.get(d.get("UF"))) or text_of(self.get(d.get("F"))) or "", "description": text_of(self.get(d.get("Desc"))), "relationship": str(relation) if relation else None, "mime": str(kind) if kind else None}
+            old = out.setdefault(ref.num if isinstance(ref, Ref) else id(s), {**row, "object": ref.num if isinstance(ref, Ref) else None, "stream": s})
+            for k, x in row.items():
+                old[k] = old[k] or x
+        rows = []
+        for x in out.values():
+            try:
+                data = decode_stream(x["stream"], self.get)
+            except (PdfError, ValueError):
+                data = None
+            rows.append({**{k: v for k, v in x.items() if k != "stream"}, "safe_name": safe_name(x["name"]), "data": data})
+        return rows
+
+    def output_intents(self, most: int = 64) -> list[dict]:
+        """Of the document (page null) and of its pages."""
+        out = []
+        for page, holder in [(None, self.root), *enumerate(self.pages)]:
+            for d in map(self.dict, self.list(holder.get("OutputIntents"))):
+                profile = self.get(d.get("DestOutputProfile"))
+                kind = self.get(d.get("S"))
+                out.append({"page": page, "subtype": str(kind) if kind else None, "identifier": text_of(self.get(d.get("OutputConditionIdentifier"))), "components": self.get(profile.dict.get("N")) if isinstance(profile, Stream) else None})
+        return out[:most]
+
+    def signatures(self, most: int = 1024) -> list[dict]:
+        """Signature fields with a value: what they say, what bytes they cover, and whether the digest of these bytes is
+        the one that was signed: match, mismatch, or null where it can't be told (no detached signature of a known form)."""
+        from .signing import message_digest
+
+        out: list[dict] = []
+        seen: set = set()
+
+        def walk(ref, above: str, kind, depth: int) -> None:
+            d = self.dict(ref)
+            if not d or ref in seen or depth > MAX_FIELD_DEPTH or len(out) >= most:
+                return
+            if isinstance(ref, Ref):
+                seen.add(ref)
+            own = text_of(self.get(d.get("T")))
+            name = f"{above}.{own}" if above and own else own or above
+            kind = self.get(d.get("FT", kind))
+            named = [k for k in self.list(d.get("Kids")) if "T" in self.dict(k)]
+            for k in named:
+                walk(k, name, kind, depth + 1)
+            v = self.dict(d.get("V"))
+            if named or kind != "Sig" or not v:
+                return
+            numbers = [int(x) for x in map(self.get, self.list(v.get("ByteRange"))) if isinstance(x, (int, float))]
+            ranges = [(a, n) for a, n in zip(numbers[::2], numbers[1::2]) if a >= 0 and n >= 0]
+            end = sum(ranges[-1]) if ranges else 0
+            form, signed = self.get(v.get("SubFilter")), self.get(v.get("Contents"))
+            algorithm, wanted = message_digest(signed) if isinstance(signed, bytes) else (None, None)
+            state = None
+            if form in ("adbe.pkcs7.detached", "ETSI.CAdES.detached") and wanted is not None and ranges:
+                state = hashlib.new(algorithm, b"".join(self.data[a : a + n] for a, n in ranges)).digest() == wanted
+            say = lambda k: text_of(self.get(v.get(k)))
+            out.append({
+                "field": name, "sub_filter": str(form) if form else None, "signer": say("Name"), "signed_at": say("M"), "location": say("Location"), "reason": say("Reason"), "contact": say("ContactInfo"),
+                "byte_range": [x for r in ranges for x in r], "whole_document": bool(ranges) and ranges[0][0] == 0 and end == len(self.data), "bytes_after": max(0, len(self.data) - end),
+                "digest_algorithm": algorithm, "digest": None if state is None else "match" if state else "mismatch", "security_store": isinstance(self.get(self.root.get("DSS")), dict),
+            })
+
+        for f in self.list(self.dict(self.root.get("AcroForm")).get("Fields")):
+            walk(f, "", None, 0)
+        return out
+
+    def objects(self) -> list[dict]:
+        """Every object in use: number, generation, type, subtype, kind, and the length of a stream's data."""
+        out = []
+        for num in sorted(self.xref):
+            entry = self.xref[num]
+            if entry[0] == "free":
+                continue
+            o = self.get(Ref(num, 0))
+            d = o.dict if isinstance(o, Stream) else o if isinstance(o, dict) else {}
+            kind, sub = self.get(d.get("Type")), self.get(d.get("Subtype"))
+            form = "stream" if isinstance(o, Stream) else "dictionary" if isinstance(o, dict) else "array" if isinstance(o, list) else "name" if isinstance(o, Name) else "string" if isinstance(o, bytes) else "null" if o is None else "boolean" if isinstance(o, bool) else "number"
+            out.append({"object": num, "generation": entry[2] if entry[0] == "at" else 0, "compressed": entry[0] == "in", "kind": form, "type": str(kind) if isinstance(kind, str) else None, "subtype": str(sub) if isinstance(sub, str) else None, "raw_bytes": len(o.raw) if isinstance(o, Stream) else None})
+        return out
+
+    @property
+    def tagged(self) -> bool:
+        return self.get(self.dict(self.root.get("MarkInfo")).get("Marked")) is True
+
+
+#: Device names that a file can't have on some systems.
+DEVICES = ("CON", "PRN", "AUX", "NUL")
+
+
+def safe_name(name: str) -> str | None:
+    """The last part of a file name, without characters and endings that a system forbids; null if nothing is left."""
+    own = re.split(r"[/\\]", name)[-1].strip()
+    own = "".join("_" if unicodedata.category(c) == "Cc" or c in ':<>"|?*' else c for c in own)[:200].rstrip(" .")
+    if not own.strip(". _"):
+        return None
+    stem = own.split(".")[0].upper()
+    return f"_{own}" if stem in DEVICES or re.fullmatch(r"(?:COM|LPT)[0-9]", stem) else own
 
 
 def page_label(index: int, ranges: list[dict]) -> str | None:
@@ -429,7 +644,7 @@ def page_label(index: int, ranges: list[dict]) -> str | None:
     r = own[-1]
     n = index - r["start"] + r["first"]
     style = r["style"]
-    if style == "D":
+    if style == "D" or style and n > 100_000:  # longer numerals aren't written out
         s = str(n)
     elif style in ("R", "r"):
         s = roman(n) if style == "R" else roman(n).lower()

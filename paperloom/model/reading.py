@@ -8,6 +8,10 @@ import re
 from .layout import rows_of, upper_median
 
 MAX_CUTS = 24
+#: Points that a baseline may be off within a line.
+TOLERANCE = 2.0
+#: Structure types that begin a new line.
+BLOCK_LEVEL = frozenset("Document Part Art Sect Div BlockQuote Caption TOC TOCI Index P H H1 H2 H3 H4 H5 H6 L LI Table TR Note Figure Formula".split())
 #: Unicode ranges that are written from right to left.
 RTL = "\u0590-\u08ff\ufb1d-\ufdff\ufe70-\ufeff"
 _RTL_CHAR = re.compile(f"[{RTL}]")
@@ -73,7 +77,7 @@ def _joined(spans: list[dict], breaks) -> str:
     return out
 
 
-def block_text(block: list[dict], tolerance: float = 1.0) -> str:
+def block_text(block: list[dict], tolerance: float = TOLERANCE) -> str:
     """A new line where the baseline is further from the line's first one than tolerance and half the size."""
     own, breaks, anchor = sorted(block, key=lambda s: (-s["y"], s["x"])), [], None
     for s in own:
@@ -95,7 +99,7 @@ def in_logical_order(line: str) -> str:
     return out
 
 
-def text(spans: list[dict], tolerance: float = 1.0) -> str:
+def text(spans: list[dict], tolerance: float = TOLERANCE) -> str:
     shown = [s for s in spans if s["text"] and all(map(math.isfinite, (s["x"], s["y"], s["size"], s["advance"])))]
     if not shown:
         return ""
@@ -103,14 +107,48 @@ def text(spans: list[dict], tolerance: float = 1.0) -> str:
     return "\n".join(in_logical_order(x) for b in blocks(shown, unit) for x in block_text(b, tolerance).split("\n"))
 
 
+class _Lines:
+    """Text put together from spans and replacements; only block-level elements and lines of the page break it."""
+
+    def __init__(self):
+        self.out, self.last = "", None  # last: end, baseline and size of the span before
+
+    def span(self, s: dict) -> None:
+        if self.last is not None:
+            end, y, size = self.last
+            if abs(y - s["y"]) > 0.5 * max(size, s["size"]):
+                self.out += "\n"
+            elif s["x"] - end > 0.25 * s["size"]:
+                self._space(s["text"])
+        self.out += s["text"]
+        self.last = (s["x"] + s["advance"], s["y"], s["size"])
+
+    def replacement(self, t: str) -> None:
+        """Text of unknown place: a space parts it from what is before."""
+        if self.last is not None:
+            self._space(t)
+        self.out += t
+        self.last = None
+
+    def _space(self, t: str) -> None:
+        if self.out and not self.out[-1].isspace() and not t[:1].isspace():
+            self.out += " "
+
+    def block(self) -> None:
+        if self.out and not self.out.endswith("\n"):
+            self.out += "\n"
+        self.last = None
+
+
 def structured(spans: list[dict], tree: list[dict], page: int) -> str:
-    """Text by the structure tree (Pdf.structure()); ActualText stands for all below it, Alt where nothing else is. What no element holds follows in reading order."""
+    """Text by the structure tree (Pdf.structure()): ActualText stands for all below it, Alt where nothing else is. What no
+    element holds follows in reading order."""
     held: dict[int, list[dict]] = {}
     for s in spans:
         if s["text"] and s["mcid"] is not None:
             held.setdefault(s["mcid"], []).append(s)
     used: set[int] = set()
-    parts: list[str] = []
+    lines = _Lines()
 
     def contents(node: int) -> list[int]:
         found, todo = [], [node]
@@ -123,33 +161,31 @@ def structured(spans: list[dict], tree: list[dict], page: int) -> str:
         return found
 
     def walk(node: int) -> None:
-        e, before = tree[node], len(parts)
-        mine = contents(node)
-        if e["actual_text"] is not None and (mine or e["page"] == page):
-            used.update(mine)
-            if e["actual_text"]:
-                parts.append(e["actual_text"])
-            return
-        run: list[dict] = []
-        for k in e["kids"]:
-            if k[0] == "element":
-                flush(run)
-                walk(k[1])
-            elif k[1] == page and k[2] not in used:
-                used.add(k[2])
-                run += held.get(k[2], [])
-        flush(run)
-        if len(parts) == before and e["alt"] and (mine or e["page"] == page):
-            parts.append(e["alt"])
-
-    def flush(run: list[dict]) -> None:
-        if run:
-            breaks = [False] + [abs(a["y"] - b["y"]) > 0.5 * max(a["size"], b["size"]) for a, b in zip(run, run[1:])]
-            parts.append(_joined(run, breaks))
-            run.clear()
+        e = tree[node]
+        here, block = e["page"] is None or e["page"] == page, e["role"] in BLOCK_LEVEL
+        if block:
+            lines.block()
+        if e["actual_text"] is not None:
+            if here:
+                lines.replacement(e["actual_text"])
+                used.update(contents(node))
+        else:
+            before = len(lines.out)
+            for k in e["kids"]:
+                if k[0] == "element":
+                    walk(k[1])
+                elif k[1] == page and k[2] in held:
+                    used.add(k[2])
+                    for s in held[k[2]]:
+                        lines.span(s)
+            if here and e["alt"] is not None and not lines.out[before:].strip():
+                lines.replacement(e["alt"])
+        if block:
+            lines.block()
 
     for e in tree:
         if e["parent"] is None:
             walk(e["node"])
     rest = text([s for s in spans if s["mcid"] is None or s["mcid"] not in used])
-    return "\n".join([*(in_logical_order(x) for p in parts for x in p.split("\n")), *([rest] if rest else [])])
+    own = "\n".join(map(in_logical_order, lines.out.strip().split("\n")))
+    return "\n".join(x for x in (own, rest) if x)

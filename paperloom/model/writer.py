@@ -5,16 +5,40 @@ from __future__ import annotations
 import hashlib
 import zlib
 
-from .content import HELVETICA
 from .crypt import PAD, Handler, aes_cbc_encrypt, hash_r6, rc4
-from .document import Pdf
-from .objects import Keyword, Name, Ref, Stream
+from .document import Pdf, text_of
+from .fonts import BASES, HELVETICA, standard_width
+from .objects import Keyword, Name, PdfError, Ref, Stream
 
 MEDIA = (612, 792)
 
 
+#: Characters that the standard fonts' encoding writes and reads back; other texts get a two-byte font with a map to Unicode.
+WIN_ANSI = {c: bytes([code]) for code, c in sorted(BASES["WinAnsiEncoding"].items(), reverse=True) if code not in (0x7F, 0x81, 0x8D, 0x8F, 0x90, 0x9D, 0xA0, 0xAD)}
+
+
 def width(text: str, size: float) -> float:
-    return sum(HELVETICA[ord(c) - 32] if 32 <= ord(c) < 127 else 500 for c in text) / 1000 * size
+    return sum(standard_width("Helvetica", c) for c in text) / 1000 * size
+
+
+class Wide:
+    """A two-byte font whose codes are given to characters as they come, and its map back to Unicode."""
+
+    def __init__(self):
+        self.code: dict[str, int] = {}
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.code.setdefault(c, len(self.code) + 1).to_bytes(2, "big") for c in text)
+
+    def to_unicode(self) -> bytes:
+        each = [b"<%04X> <%s>" % (code, c.encode("utf-16-be", "surrogatepass").hex().upper().encode()) for c, code in self.code.items()]
+        blocks = [b"%d beginbfchar\n" % len(each[i : i + 100]) + b"\n".join(each[i : i + 100]) + b"\nendbfchar\n" for i in range(0, len(each), 100)]
+        return b"/CIDInit /ProcSet findresource begin\n12 dict begin\nbegincmap\n/CMapName /Own def\n1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange\n" + b"".join(blocks) + b"endcmap\nend\nend\n"
+
+    def add(self, o: Objects) -> Ref:
+        below = o.add({"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name("Own"), "CIDSystemInfo": {"Registry": "Adobe", "Ordering": "Identity", "Supplement": 0}, "DW": 500})
+        to = o.add(Stream({"Filter": Name("FlateDecode")}, zlib.compress(self.to_unicode())))
+        return o.add({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Own"), "Encoding": Name("Identity-H"), "DescendantFonts": [below], "ToUnicode": to})
 
 
 def serialise(o) -> bytes:
@@ -72,13 +96,13 @@ class Objects:
         return bytes(out + b"trailer\n" + serialise(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
-def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict] | None = None, links: list[dict] | None = None, labels: list[dict] | None = None, fields: list[dict] | None = None, files: list[dict] | None = None, compress: bool = True, tags: list[dict] | None = None, xmp: str | None = None, layers: list[dict] | None = None) -> bytes:
-    """A PDF in Helvetica.
+def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict] | None = None, links: list[dict] | None = None, labels: list[dict] | None = None, fields: list[dict] | None = None, files: list[dict] | None = None, compress: bool = True, tags: list[dict] | None = None, xmp: str | None = None, layers: list[dict] | None = None, graphics: dict[int, bytes] | None = None) -> bytes:
+    """A PDF in Helvetica; spans with characters that its encoding lacks are in a two-byte font that maps back to them.
 
     pages: per page (text, x, y, size); outline: {title, page, parent (index or None)}; links: {page, rect, uri or
     dest_page}; labels: {start, style, prefix, first}; fields: {name, value}; files: {name, data, description};
     tags: {role, page, spans (indices)} in reading order, each a marked content and a structure element;
-    xmp: a metadata packet; layers: {name, visible}.
+    xmp: a metadata packet; layers: {name, visible}; graphics: further content by page index.
     """
     o = Objects()
     tagged = {(t["page"], k): (n, t["role"]) for n, t in enumerate(tags or []) for k in t["spans"]}
@@ -91,10 +115,27 @@ def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict
 
     root, tree, font = o.add(), o.add(), o.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")})
     refs = [o.add() for _ in pages]
-    for i, (ref, spans) in enumerate(zip(refs, pages)):
-        body = b"BT\n" + b"".join(mark(i, k, b"/F0 %s Tf 1 0 0 1 %s %s Tm %s Tj\n" % (serialise(float(s)), serialise(float(x)), serialise(float(y)), serialise(t.encode("cp1252", "replace")))) for k, (t, x, y, s) in enumerate(spans)) + b"ET"
+    wide = Wide()
+    streams = []
+
+    def shown(text: str) -> tuple[bytes, bytes]:
+        """(font, string)."""
+        if all(c in WIN_ANSI for c in text):
+            return b"/F0", serialise(b"".join(map(WIN_ANSI.__getitem__, text)))
+        if len(wide.code) + len(set(text)) > 65_000:
+            raise PdfError("too many distinct characters for one font")
+        return b"/F1", b"<" + wide.encode(text).hex().encode() + b">"
+
+    for i, spans in enumerate(pages):
+        body = [b"BT\n"]
+        for k, (t, x, y, s) in enumerate(spans):
+            name, string = shown(t)
+            body.append(mark(i, k, name + b" %s Tf 1 0 0 1 %s %s Tm %s Tj\n" % (serialise(float(s)), serialise(float(x)), serialise(float(y)), string)))
+        streams.append(b"".join([*body, b"ET"]) + (b"\n" + graphics[i] if graphics and graphics.get(i) else b""))
+    fonts = {"F0": font} | ({"F1": wide.add(o)} if wide.code else {})
+    for i, (ref, body) in enumerate(zip(refs, streams)):
         stream = Stream({"Filter": Name("FlateDecode")}, zlib.compress(body)) if compress else Stream({}, body)
-        page = {"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, *MEDIA], "Resources": {"Font": {"F0": font}}, "Contents": o.add(stream)}
+        page = {"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, *MEDIA], "Resources": {"Font": fonts}, "Contents": o.add(stream)}
         own = [x for x in links or [] if x["page"] == i]
         if own:
             page["Annots"] = [o.add({"Type": Name("Annot"), "Subtype": Name("Link"), "Rect": list(x["rect"])} | ({"A": {"S": Name("URI"), "URI": x["uri"]}} if x.get("uri") else {"Dest": [refs[x["dest_page"]], Name("Fit")]})) for x in own]
@@ -141,41 +182,159 @@ def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict
     return o.file(root, o.add(dict(info)) if info else None)
 
 
+class Copier:
+    """Copies objects of one file into another one, each once, with the references they need renumbered."""
+
+    def __init__(self, pdf: Pdf, to: Objects):
+        self.pdf, self.to, self.done = pdf, to, {}
+
+    def copy(self, x):
+        if isinstance(x, Ref):
+            if x.num in self.done:
+                return self.done[x.num]
+            found = self.pdf.get(x)
+            if isinstance(found, dict) and found.get("Type") in ("Page", "Pages", "Catalog"):
+                return None  # a way back into the old tree
+            self.done[x.num] = self.to.add()
+            return self.to.set(self.done[x.num], self.copy(found))
+        if isinstance(x, dict):
+            return {k: self.copy(v) for k, v in x.items() if k not in ("Parent", "_ref")}
+        if isinstance(x, list):
+            return [self.copy(v) for v in x]
+        if isinstance(x, Stream):
+            return Stream({k: self.copy(v) for k, v in x.dict.items() if k != "Length"}, x.raw)
+        return x
+
+
 def assemble(parts: list[tuple[bytes, list[int]]]) -> bytes:
-    """A file of the chosen pages (by index) of each part, in order: merge, split, reorder and delete are choices.
+    """A file of the chosen pages (by index) of each part, in order: split, reorder and delete are choices.
 
-    Objects that pages need are copied once per part; document-level structures aren't.
+    Objects that pages need are copied once per part; document-level structures aren't, see merge().
     """
     o = Objects()
     root, tree, kids = o.add(), o.add(), []
     for data, chosen in parts:
         pdf = Pdf(data)
-        done: dict[int, Ref] = {}
-
-        def copy(x):
-            if isinstance(x, Ref):
-                if x.num in done:
-                    return done[x.num]
-                found = pdf.get(x)
-                if isinstance(found, dict) and found.get("Type") in ("Page", "Pages", "Catalog"):
-                    return None  # a way back into the old tree
-                done[x.num] = o.add()
-                return o.set(done[x.num], copy(found))
-            if isinstance(x, dict):
-                return {k: copy(v) for k, v in x.items() if k not in ("Parent", "_ref")}
-            if isinstance(x, list):
-                return [copy(v) for v in x]
-            if isinstance(x, Stream):
-                return Stream({k: copy(v) for k, v in x.dict.items() if k != "Length"}, x.raw)
-            return x
-
+        copier = Copier(pdf, o)
         for i in chosen:
-            kids.append(o.add({**copy(pdf.pages[i]), "Parent": tree}))
+            kids.append(o.add({**copier.copy(pdf.pages[i]), "Parent": tree}))
     o.set(tree, {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)})
     o.set(root, {"Type": Name("Catalog"), "Pages": tree})
     return o.file(root)
 
 
+def merge(parts: list[bytes]) -> bytes:
+    """All pages of the files in order, with their bookmarks, form fields and layers.
+
+    Destinations lead to the pages' new places. Of fields with the same name at the top the later ones are called name_2,
+    name_3 and so on. Layers keep their states. Page labels, structure trees and attachments aren't merged.
+    """
+    o = Objects()
+    root, tree, kids, top = o.add(), o.add(), [], o.add()
+    bookmarks: list[Ref] = []
+    fields: list[Ref] = []
+    named: dict[str, int] = {}
+    groups: list = []
+    off: list = []
+    for data in parts:
+        pdf = Pdf(data)
+        copier = Copier(pdf, o)
+        own = [o.add() for _ in pdf.pages]
+        copier.done |= {p["_ref"].num: new for p, new in zip(pdf.pages, own) if isinstance(p["_ref"], Ref)}
+        for p, new in zip(pdf.pages, own):
+            o.set(new, {**copier.copy({k: v for k, v in p.items() if k != "_ref"}), "Parent": tree})
+        kids += own
+        bookmarks += _copied_outline(pdf, o, own, top)
+        form = pdf.dict(pdf.root.get("AcroForm"))
+        for f in pdf.list(form.get("Fields")):
+            new = copier.copy(f)
+            d = o.all[new.num - 1] if isinstance(new, Ref) else new
+            if not isinstance(d, dict):
+                continue
+            name = text_of(pdf.get(d.get("T"))) or ""
+            named[name] = named.get(name, 0) + 1
+            renamed = name
+            while named[name] > 1 and (renamed := f"{name}_{named[name]}") in named:
+                named[name] += 1
+            named.setdefault(renamed, 1)
+            d = {**d, "T": renamed}
+            fields.append(o.set(new, d) if isinstance(new, Ref) else o.add(d))
+        for g, x in zip(pdf.list(pdf.dict(pdf.root.get("OCProperties")).get("OCGs")), pdf.layers()):
+            new = copier.copy(g)
+            groups.append(new)
+            off += [] if x["visible"] else [new]
+    o.set(tree, {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)})
+    catalog = {"Type": Name("Catalog"), "Pages": tree}
+    if bookmarks:
+        for i, ref in enumerate(bookmarks):
+            d = o.all[ref.num - 1]
+            o.set(ref, d | ({"Prev": bookmarks[i - 1]} if i else {}) | ({"Next": bookmarks[i + 1]} if i + 1 < len(bookmarks) else {}))
+        o.set(top, {"Type": Name("Outlines"), "First": bookmarks[0], "Last": bookmarks[-1]})
+        catalog["Outlines"] = top
+    if fields:
+        catalog["AcroForm"] = {"Fields": fields}
+    if groups:
+        catalog["OCProperties"] = {"OCGs": groups, "D": {"OFF": off}}
+    o.set(root, catalog)
+    return o.file(root)
+
+
+def _copied_outline(pdf: Pdf, o: Objects, pages: list[Ref], top: Ref) -> list[Ref]:
+    """New bookmarks of a file; the ones at the top, not yet tied to each other."""
+    rows = pdf.outline()
+    refs = [o.add() for _ in rows]
+    below: dict = {}
+    for r in rows:
+        below.setdefault(r["parent"], []).append(r["node"])
+    for r in rows:
+        d = {"Title": r["title"], "Parent": top if r["parent"] is None else refs[r["parent"]]}
+        if r["page"] is not None and 0 <= r["page"] < len(pages):
+            kind, *numbers = (r["view"] or "Fit").split(" ")
+            d["Dest"] = [pages[r["page"]], Name(kind), *(None if x == "null" else float(x) for x in numbers)]
+        elif r["uri"] is not None:
+            d["A"] = {"S": Name("URI"), "URI": r["uri"]}
+        kids = below.get(r["node"], [])
+        if kids:
+            d |= {"First": refs[kids[0]], "Last": refs[kids[-1]], "Count": len(kids) if r["open"] else -len(kids)}
+        if r["parent"] is not None:
+            own = below[r["parent"]]
+            k = own.index(r["node"])
+            d |= ({"Prev": refs[own[k - 1]]} if k else {}) | ({"Next": refs[own[k + 1]]} if k + 1 < len(own) else {})
+        o.set(refs[r["node"]], d)
+    return [refs[n] for n in below.get(None, [])]
+
+
+def rewrite(data: bytes, least: int = 64) -> bytes:
+    """The file with only the objects that its catalog and information reach, numbered anew; streams of ``least`` bytes or
+    more without a filter are compressed. An encrypted file that opens comes out without encryption."""
+    pdf, o = Pdf(data), Objects()
+    done: dict[int, Ref] = {}
+    todo: list[int] = []
+
+    def moved(x):
+        if isinstance(x, Ref):
+            if x.num not in done and pdf.get(x) is not None:
+                done[x.num] = o.add()
+                todo.append(x.num)
+            return done.get(x.num)
+        if isinstance(x, dict):
+            return {k: moved(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [moved(v) for v in x]
+        if isinstance(x, Stream):
+            d, raw = {k: moved(v) for k, v in x.dict.items() if k != "Length"}, x.raw
+            if "Filter" not in d and len(raw) >= least and len(small := zlib.compress(raw, 9)) < len(raw):
+                d, raw = {**d, "Filter": Name("FlateDecode")}, small
+            return Stream(d, raw)
+        return x
+
+    root, info = moved(pdf.trailer.get("Root")), moved(pdf.trailer.get("Info"))
+    while todo:
+        num = todo.pop()
+        o.set(done[num], moved(pdf.get(Ref(num, 0))))
+    return o.file(root if isinstance(root, Ref) else o.add(root), info if isinstance(info, Ref) else None)
+
+
 def encrypt(data: bytes, user: bytes = b"", owner: bytes = b"", aes: bool = True, permissions: int = -4) -> bytes:
     """The file encrypted with AES-256 (revision 6) or RC4 of 128 bits (revision 3). Salts and vectors are digests of the file, so bytes repeat."""
     pdf, salt = Pdf(data), lambda *x: hashlib.sha256(repr(x).encode() + data).digest()

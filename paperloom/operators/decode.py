@@ -73,36 +73,85 @@ def pages(df: DataFrame, **names) -> DataFrame:
     return _stage(df, "page int, x0 double, y0 double, x1 double, y1 double, rotate int, label string, n_annots int", rows, **names)
 
 
-def spans(df: DataFrame, **names) -> DataFrame:
+def _each_page(p: Pdf, rows: Callable[[int, dict, content_model.Found], Iterator[dict]]) -> Iterator[dict]:
+    """rows(index, page, content) of every page, with whether a limit cut the page. A page that fails gives none; its error
+    is in page_status()."""
+    for i, page in enumerate(p.pages):
+        try:
+            found = content_model.read(p, page)
+            out = [{"page": i, "truncated": found.truncated, **r} for r in rows(i, page, found)]
+        except ERRORS:
+            continue
+        yield from out
+
+
+def page_status(df: DataFrame, **names) -> DataFrame:
+    """A row per page: how many spans, rules and images its content gives, whether a limit cut it, and its error if it
+    can't be read."""
+
     def rows(p: Pdf):
         for i, page in enumerate(p.pages):
-            found, _, cut = content_model.interpret(p, page)
-            for s in found:
-                yield {"page": i, **s, "truncated": cut}
+            row = {"page": i, "spans": 0, "rules": 0, "images": 0, "truncated": False, "page_error": None}
+            try:
+                f = content_model.read(p, page)
+                row |= {"spans": len(f.spans), "rules": len(f.rules), "images": len(f.images), "truncated": f.truncated}
+            except ERRORS as e:
+                row["page_error"] = f"{type(e).__name__}: {e}"[:200]
+            yield row
 
-    return _stage(df, "page int, seq int, text string, x double, y double, size double, advance double, mcid int, truncated boolean", rows, **names)
+    return _stage(df, "page int, spans int, rules int, images int, truncated boolean, page_error string", rows, **names)
 
 
-def lines(df: DataFrame, **names) -> DataFrame:
+def spans(df: DataFrame, **names) -> DataFrame:
+    """A row per string shown, in the order of painting (seq)."""
+    return _stage(df, "page int, seq int, text string, x double, y double, size double, advance double, mcid int, truncated boolean", lambda p: _each_page(p, lambda i, page, f: f.spans), **names)
+
+
+def rules(df: DataFrame, **names) -> DataFrame:
+    """A row per ruled line, drawn as a stroke or as a thin rectangle."""
+    return _stage(df, "page int, seq int, vertical boolean, pos double, start double, end double, truncated boolean", lambda p: _each_page(p, lambda i, page, f: [{"seq": k, **r} for k, r in enumerate(f.rules)]), **names)
+
+
+def images(df: DataFrame, **names) -> DataFrame:
+    """A row per image painted, with its place; the same object may be painted several times. Inline images have no object."""
+    return _stage(df, "page int, seq int, name string, object int, inline boolean, width int, height int, bits int, color_space string, filters array<string>, mask boolean, soft_mask boolean, x0 double, y0 double, x1 double, y1 double, truncated boolean", lambda p: _each_page(p, lambda i, page, f: f.images), **names)
+
+
+def paints(df: DataFrame, **names) -> DataFrame:
+    """A row per path, string or image painted, in order: a display list. Paths are in the notation of SVG, in points with
+    y up; colours are red, green and blue from 0 to 255."""
+
     def rows(p: Pdf):
         for i, page in enumerate(p.pages):
-            for ln in layout.lines(content_model.interpret(p, page)[0]):
-                yield {"page": i, "line": ln["line"], "text": ln["text"], "y": ln["y"], "size": ln["size"]}
+            try:
+                found = content_model.read(p, page, paints=True)
+            except ERRORS:
+                continue
+            yield from ({"page": i, "truncated": found.truncated, **r} for r in found.paints)
+
+    return _stage(df, "page int, seq int, kind string, d string, fill array<int>, stroke array<int>, line_width double, even_odd boolean, text string, font string, size double, matrix array<double>, fill_alpha double, stroke_alpha double, blend string, clips array<string>, truncated boolean", rows, **names)
 
-    return _stage(df, "page int, line int, text string, y double, size double", rows, **names)
+
+def lines(df: DataFrame, **names) -> DataFrame:
+    def rows(i: int, page: dict, f: content_model.Found):
+        return [{k: ln[k] for k in ("line", "text", "y", "size")} for ln in layout.lines(f.spans)]
+
+    return _stage(df, "page int, line int, text string, y double, size double, truncated boolean", lambda p: _each_page(p, rows), **names)
 
 
 def text(df: DataFrame, structured: bool = False, dehyphenated: bool = True, **names) -> DataFrame:
     """A row per page: its text in reading order, or in the order of the structure tree."""
 
-    def rows(p: Pdf):
+    def own(p: Pdf):
         tree = p.structure() if structured else []
-        for i, page in enumerate(p.pages):
-            found = content_model.interpret(p, page)[0]
-            own = reading.structured(found, tree, i) if tree else reading.text(found)
-            yield {"page": i, "text": layout.dehyphenate(own) if dehyphenated else own}
 
-    return _stage(df, "page int, text string", rows, **names)
+        def rows(i: int, page: dict, f: content_model.Found):
+            found = reading.structured(f.spans, tree, i) if tree else reading.text(f.spans)
+            return [{"text": layout.dehyphenate(found) if dehyphenated else found}]
+
+        return _each_page(p, rows)
+
+    return _stage(df, "page int, text string, truncated boolean", own, **names)
 
 
 def structure(df: DataFrame, **names) -> DataFrame:
@@ -112,27 +161,29 @@ def structure(df: DataFrame, **names) -> DataFrame:
         for e in p.structure():
             yield {**{k: v for k, v in e.items() if k != "kids"}, "mcids": [k[2] for k in e["kids"] if k[0] == "content"]}
 
-    return _stage(df, "node int, parent int, depth int, role string, alt string, actual_text string, page int, mcids array<int>", rows, **names)
+    return _stage(df, "node int, parent int, depth int, role string, alt string, actual_text string, page int, mcids array<int>, truncated boolean", rows, **names)
 
 
-def search(df: DataFrame, query: str, ignore_case: bool = True, **names) -> DataFrame:
-    def rows(p: Pdf):
-        for i, page in enumerate(p.pages):
-            for h in layout.search(layout.lines(content_model.interpret(p, page)[0]), query, ignore_case):
-                x0, y0, x1, y1 = h["rect"] or (None,) * 4
-                yield {"page": i, "line": h["line"], "start": h["start"], "length": h["length"], "x0": x0, "y0": y0, "x1": x1, "y1": y1}
+def search(df: DataFrame, query: str, ignore_case: bool = True, pages: list[int] | None = None, **names) -> DataFrame:
+    """A row per hit, with its line's text; of all pages or of those named."""
 
-    return _stage(df, "page int, line int, start int, length int, x0 double, y0 double, x1 double, y1 double", rows, **names)
+    def rows(i: int, page: dict, f: content_model.Found):
+        if pages is not None and i not in pages:
+            return
+        own = layout.lines(f.spans)
+        for h in layout.search(own, query, ignore_case):
+            x0, y0, x1, y1 = h["rect"] or (None,) * 4
+            yield {"line": h["line"], "start": h["start"], "length": h["length"], "x0": x0, "y0": y0, "x1": x1, "y1": y1, "line_text": own[h["line"]]["text"].strip()}
+
+    return _stage(df, "page int, line int, start int, length int, x0 double, y0 double, x1 double, y1 double, line_text string, truncated boolean", lambda p: _each_page(p, rows), **names)
 
 
 def tables(df: DataFrame, **names) -> DataFrame:
-    def rows(p: Pdf):
-        for i, page in enumerate(p.pages):
-            found, rules, _ = content_model.interpret(p, page)
-            for k, t in enumerate(layout.tables(found, rules)):
-                yield {"page": i, "table": k, "cells": t["cells"], "col_x": t["col_x"], "row_y": t["row_y"]}
+    def rows(i: int, page: dict, f: content_model.Found):
+        for k, t in enumerate(layout.tables(f.spans, f.rules)):
+            yield {"table": k, "cells": t["cells"], "col_x": t["col_x"], "row_y": t["row_y"], "truncated": t["truncated"] or f.truncated}
 
-    return _stage(df, "page int, table int, cells array<array<string>>, col_x array<double>, row_y array<double>", rows, **names)
+    return _stage(df, "page int, table int, cells array<array<string>>, col_x array<double>, row_y array<double>, truncated boolean", lambda p: _each_page(p, rows), **names)
 
 
 def table_cells(found: DataFrame) -> DataFrame:
@@ -150,7 +201,7 @@ def info(df: DataFrame, **names) -> DataFrame:
 
 
 def outline(df: DataFrame, **names) -> DataFrame:
-    return _stage(df, "node int, parent int, ordinal int, depth int, title string, page int, uri string", lambda p: iter(p.outline()), **names)
+    return _stage(df, "node int, parent int, ordinal int, depth int, title string, page int, view string, uri string, file string, open boolean, truncated boolean", lambda p: iter(p.outline()), **names)
 
 
 def annotations(df: DataFrame, **names) -> DataFrame:
@@ -159,15 +210,15 @@ def annotations(df: DataFrame, **names) -> DataFrame:
             for k, a in enumerate(p.annotations(page)):
                 yield {"page": i, "ordinal": k, **a}
 
-    return _stage(df, "page int, ordinal int, subtype string, rect array<double>, contents string, dest_page int, uri string", rows, **names)
+    return _stage(df, "page int, ordinal int, subtype string, rect array<double>, contents string, dest_page int, uri string, file string, flags int, appearance boolean, viewable boolean, associated boolean", rows, **names)
 
 
 def form_fields(df: DataFrame, **names) -> DataFrame:
-    return _stage(df, "name string, kind string, value array<string>", lambda p: iter(p.fields()), **names)
+    return _stage(df, "field int, name string, kind string, value array<string>, flags int, display string, multiline boolean, password boolean, comb boolean, options array<string>, max_length int, widgets array<int>, truncated boolean", lambda p: iter(p.fields()), **names)
 
 
 def attachments(df: DataFrame, **names) -> DataFrame:
-    return _stage(df, "name string, description string, data binary", lambda p: iter(p.attachments()), **names)
+    return _stage(df, "name string, safe_name string, description string, relationship string, mime string, object int, data binary", lambda p: iter(p.attachments()), **names)
 
 
 def xmp(df: DataFrame, **names) -> DataFrame:

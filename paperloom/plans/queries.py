@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as tf
 from ..model import edit
 from ..operators import decode
-from ..runtime import table
+from ..runtime import table, written
 from ..sources import corpus
 from ..streaming.ingest import sessions
 
-PLAIN_SQL = r"regexp_full_match(text, '[\x20-\x7e\n]+')"
-LINES_SQL = f"""(select doc_id, (n - 1) // 50 as page, (n - 1) % 50 as pos, text as line
-    from (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where {PLAIN_SQL}) where trim(text) <> '')"""
+LINES_SQL = """(select doc_id, (n - 1) // 50 as page, (n - 1) % 50 as pos, line
+    from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n from documents) where trim(line) <> '')"""
+PAGES_SQL = "ceil(len(string_split(coalesce(text, ''), chr(10))) / 50)"
 QUERY = "ththe"
 
 
@@ -43,9 +43,9 @@ def span_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recovered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose cross-reference table is cut off still give their text."""
-    cut = _files(spark, sf_dir).withColumn("content", F.substring("content", F.lit(1), F.octet_length("content") - 60))
+    cut = written(_files(spark, sf_dir).withColumn("content", F.substring("content", F.lit(1), F.octet_length("content") - 60)), "cut-files")  # made once, read twice
     got = decode.lines(cut).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
-    return got.join(decode.files(cut).select("doc_id", "recovered"), "doc_id")
+    return decode.files(cut).select("doc_id", "recovered").join(got, "doc_id", "left").select("doc_id", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("chars", F.lit(0)).alias("chars"), "recovered")
 
 
 def _nation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ def filled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hit of the search gets a highlight in its file; the highlights of each page are counted after."""
-    files = _files(spark, sf_dir)
+    files = written(_files(spark, sf_dir), "files")  # made once, read twice
     hits = decode.search(files, QUERY).where("x0 is not null").groupBy("doc_id").agg(F.collect_list(F.struct("page", "x0", "y0", "x1", "y1")).alias("hits"))  # one file's hits
     marked = corpus.edited(files.join(hits, "doc_id"), lambda c, r: edit.annotate(c, [{"page": h["page"], "subtype": "Highlight", "rect": (h["x0"], h["y0"], h["x1"], h["y1"])} for h in r["hits"]]))
     return decode.annotations(marked).where("subtype = 'Highlight'").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("highlights"))
@@ -222,11 +222,11 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLE = {
     "extract_text_lines": f"select doc_id, page::int as page, (row_number() over (partition by doc_id, page order by pos) - 1)::int as line, line as line_text from {LINES_SQL}",
-    "page_count": f"select doc_id, ceil(len(string_split(text, chr(10))) / 50)::int as page_count, false as recovered from documents where {PLAIN_SQL}",
-    "search_count": f"""select doc_id, page::int as page, sum((length(line) - length(replace(lower(line), '{QUERY}', ''))) // {len(QUERY)})::bigint as hits, min(n)::int as first_line
+    "page_count": f"select doc_id, {PAGES_SQL}::int as page_count, false as recovered from documents",
+    "search_count": f"""select doc_id, page::int as page, sum((length(lower(line)) - length(replace(lower(line), '{QUERY}', ''))) // {len(QUERY)})::bigint as hits, min(n)::int as first_line
         from (select *, row_number() over (partition by doc_id, page order by pos) - 1 as n from {LINES_SQL}) where contains(lower(line), '{QUERY}') group by all""",
     "span_boxes": f"select doc_id, page::int as page, count(*) as spans, 40.0::double as x0, round(760 - 14 * max(pos) - 2, 3)::double as y0, round(760 - 14 * min(pos) + 8, 3)::double as y1 from {LINES_SQL} group by all",
-    "recovered_text": f"select doc_id, count(*) as lines, sum(length(line))::bigint as chars, true as recovered from {LINES_SQL} group by doc_id",
+    "recovered_text": f"select d.doc_id, count(l.line) as lines, coalesce(sum(length(l.line)), 0)::bigint as chars, true as recovered from documents d left join {LINES_SQL} l using (doc_id) group by d.doc_id",
     "detect_table_cells": """select (row_number() over (order by n_nationkey) - 1)::int as row, unnest([0, 1, 2])::int as col, unnest([n_nationkey::varchar, n_name, n_regionkey::varchar]) as cell from nation""",
     "table_csv": """select string_agg(n_nationkey || ',' || n_name || ',' || n_regionkey, chr(13) || chr(10) order by n_nationkey) as csv,
         string_agg(n_nationkey || chr(9) || n_name || chr(9) || n_regionkey, chr(10) order by n_nationkey) as tsv from nation""",
@@ -238,11 +238,11 @@ ORACLE = {
     "form_fields": "select o_orderkey, unnest(['status', 'priority']) as name, 'Tx' as kind, unnest([o_orderstatus, o_orderpriority]) as value from orders",
     "attachments": "select c_custkey, c_name || '.txt' as name, 'a name' as description, c_name as body from customer",
     "page_labels": "select r_regionkey::bigint as r_regionkey, unnest(range(8))::int as page, unnest(['i', 'ii', 'iii', 'p-5', 'p-6', 'p-7', 'A', 'B']) as label from region",
-    "merge_pages": f"""with p as (select doc_id, ceil(len(string_split(text, chr(10))) / 50)::bigint as n from documents where {PLAIN_SQL}),
+    "merge_pages": f"""with p as (select doc_id, {PAGES_SQL}::bigint as n from documents),
              o as (select doc_id, doc_id // 8 as g, coalesce(sum(n) over (partition by doc_id // 8 order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from p)
         select g as doc_id, (max(before + page) + 1)::bigint as last_page, count(*) as lines, sum(length(line))::bigint as chars from {LINES_SQL} join o using (doc_id) group by g""",
     "reverse_pages": f"""select l.doc_id, (p.n - 1 - page)::int as page, count(*) as lines from {LINES_SQL} l
-        join (select doc_id, ceil(len(string_split(text, chr(10))) / 50) as n from documents where {PLAIN_SQL}) p using (doc_id) group by all""",
+        join (select doc_id, {PAGES_SQL} as n from documents) p using (doc_id) group by all""",
     "line_gaps": f"""select doc_id, page::int as page, (sum(new) + 1)::bigint as bands, count(*) as lines
         from (select doc_id, page, (coalesce(14 * (pos - lag(pos) over (partition by doc_id, page order by pos)), 0) > 22)::int as new from {LINES_SQL}) group by all""",
     "reading_order": """select c_custkey, 0::int as page, concat_ws(chr(10), c_mktsegment, c_name || ' left 0', c_name || ' left 1', c_name || ' left 2',
@@ -251,7 +251,7 @@ ORACLE = {
         c_name || ' left 0', c_name || ' left 1', c_name || ' left 2', c_mktsegment) as page_text from customer""",
     "structure_roles": "select c_custkey, k::int as node, 'P' as role, k::int as mcid from customer, (select unnest([0, 1]) as k)",
     "filled_forms": "select s_suppkey, unnest(['name', 'kept']) as name, unnest([s_name, 'as is']) as value from supplier",
-    "annotated_hits": f"""select doc_id, page::int as page, sum((length(line) - length(replace(lower(line), '{QUERY}', ''))) // {len(QUERY)})::bigint as highlights
+    "annotated_hits": f"""select doc_id, page::int as page, sum((length(lower(line)) - length(replace(lower(line), '{QUERY}', ''))) // {len(QUERY)})::bigint as highlights
         from {LINES_SQL} where contains(lower(line), '{QUERY}') group by all""",
     "xmp_properties": "select p_partkey, unnest(['pdf:Producer', 'dc:title']) as name, 0::int as ordinal, unnest(['loom', p_name || ' & more']) as value from part",
     "layer_states": "select n_nationkey::bigint as n_nationkey, unnest([0, 1])::int as layer, unnest([n_name, 'base']) as name, unnest([n_regionkey > 1, true]) as visible from nation",

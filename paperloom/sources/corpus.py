@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model.objects import PdfError
-from ..model.writer import assemble, build, encrypt
+from ..model.writer import assemble, build, encrypt, merge
 from ..runtime import ship
 
 LINES_PER_PAGE = 50
+#: Bytes of the files of a group that are merged in one task.
+MOST_MERGED = 512 << 20
 TOP, LEADING, SIZE, LEFT = 760.0, 14.0, 10.0, 40.0
 
 
@@ -22,9 +24,9 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lay_out(lines: list[str], per_page: int = LINES_PER_PAGE) -> list[list[tuple]]:
-    """Pages of one span per line that isn't blank."""
+    """Pages of one span per line that isn't made of spaces alone."""
     chunks = [lines[i : i + per_page] for i in range(0, len(lines), per_page)] or [[]]
-    return [[(t, LEFT, TOP - LEADING * k, SIZE) for k, t in enumerate(c) if t.strip()] for c in chunks]
+    return [[(t, LEFT, TOP - LEADING * k, SIZE) for k, t in enumerate(c) if t.strip(" ")] for c in chunks]
 
 
 def make(rows: DataFrame, id_col: str, describe: Callable[[dict], dict]) -> DataFrame:
@@ -43,23 +45,30 @@ def make(rows: DataFrame, id_col: str, describe: Callable[[dict], dict]) -> Data
 
 
 def text_files(documents: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame:
-    """A file per document whose text is printable ASCII, one span per line."""
-    plain = documents.where(F.col("text").rlike(r"\A[\x20-\x7e\n]+\z")).select("doc_id", "text")
-    return make(plain, "doc_id", lambda r: {"pages": lay_out(r["text"].split("\n"), per_page)})
+    """A file per document, one span per line; null and empty texts give a file of one empty page."""
+    return make(documents.select("doc_id", "text"), "doc_id", lambda r: {"pages": lay_out((r["text"] or "").split("\n"), per_page)})
 
 
-def merged(files: DataFrame, group: F.Column, order: str = "doc_id") -> DataFrame:
-    """(doc_id, content): the files of each group as one, in order; groups must be of bounded size."""
+def merged(files: DataFrame, group: F.Column, most_bytes: int = MOST_MERGED) -> DataFrame:
+    """(doc_id, content, error): the files of each group as one, in the order of doc_id, with their bookmarks, fields and
+    layers. A group is merged in the memory of one task; one of over most_bytes gives an error and no content."""
     ship(files.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("doc_id")
-        from ..model.document import Pdf
-
-        parts = [(c, list(range(len(Pdf(c).pages)))) for c in t.column("content").to_pylist()]
-        return pa.table({"doc_id": pa.array([t.column("g")[0].as_py()], pa.int64()), "content": pa.array([assemble(parts)], pa.binary())})
-
-    return files.withColumn("g", group.cast("long")).groupBy("g").applyInArrow(run, "doc_id long, content binary")
+        g, content, error = t.column("g")[0].as_py(), None, None
+        if t.column("content").null_count:
+            error = f"a file is null, or the group has over {most_bytes} bytes"
+        else:
+            try:
+                content = merge(t.sort_by("doc_id").column("content").to_pylist())
+            except (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as e:
+                error = f"{type(e).__name__}: {e}"[:200]
+        return pa.table({"doc_id": pa.array([g], pa.int64()), "content": pa.array([content], pa.binary()), "error": pa.array([error], pa.string())})
+
+    total = F.sum(F.octet_length("content")).over(Window.partitionBy("g"))  # partitioned as the groups below: no exchange of its own
+    sized = files.select("doc_id", "content", group.cast("long").alias("g")).withColumn("total", total)
+    bounded = sized.select("doc_id", "g", F.when(F.col("total") <= most_bytes, F.col("content")).alias("content"))
+    return bounded.groupBy("g").applyInArrow(run, "doc_id long, content binary, error string")
 
 
 def rearranged(files: DataFrame, choose: Callable[[int], list[int]]) -> DataFrame:

@@ -78,7 +78,7 @@ def test_metadata():
     assert pdf.info()["Title"] == "Tïtle 漢"
     assert [(o["title"], o["depth"], o["page"], o["ordinal"]) for o in pdf.outline()] == [("A", 0, 0, 0), ("B", 1, 1, 0), ("C", 0, 1, 1)]
     assert pdf.attachments()[0]["data"] == b"body"
-    assert pdf.fields() == [{"name": "f", "kind": "Tx", "value": ["v"]}]
+    assert [(f["name"], f["kind"], f["value"], f["display"]) for f in pdf.fields()] == [("f", "Tx", ["v"], "v")]
     assert pdf.annotations(pdf.pages[0])[0]["dest_page"] == 1
 
 
