@@ -281,7 +281,8 @@ class Pdf:
 
     def info(self) -> dict[str, str | None]:
         d = self.dict(self.trailer.get("Info"))
-        return {k: text_of(self.get(d.get(k))) for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate", "Trapped")}
+        value = lambda v: str(v) if isinstance(v, Name) else text_of(v)
+        return {k: value(self.get(d.get(k))) for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate", "Trapped")}
 
     def xmp(self, most: int = 1024, longest: int = 8192, prefixes: str = "dc|xmp|pdf") -> list[dict]:
         """(name, ordinal, value) of the properties with these prefixes in the metadata stream; entities other than the five of XML stay as they are."""
@@ -480,7 +481,7 @@ class Pdf:
     def structure(self, most: int = 500_000) -> list[dict]:
         """Elements of the structure tree before their kids: node, parent, depth, role, alt, actual_text, and kids in order.
 
-        A kid is ("element", node) or ("content", page index, mcid). A role is looked up in the role map. Content directly
+        A kid is ("element", node), ("content", page index, mcid) or ("object", null, null). A role is looked up in the role map. Content directly
         under the root is left out; an element met twice counts once. truncated is set on all if there are more.
         """
         cut = False
@@ -506,7 +507,10 @@ class Pdf:
                     out[parent]["kids"].append(("content", page, found))
             elif isinstance(found, dict):
                 own = self.page_index(found["Pg"]) if isinstance(found.get("Pg"), Ref) else page
-                if found.get("Type") == "MCR" or "MCID" in found:
+                if found.get("Type") == "OBJR":
+                    if parent is not None:
+                        out[parent]["kids"].append(("object", None, None))
+                elif found.get("Type") == "MCR" or "MCID" in found:
                     walk(found.get("MCID"), parent, own, depth)
                 elif "S" in found and (depth >= MAX_TREE_DEPTH or len(out) >= most):
                     cut = True

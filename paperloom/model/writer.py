@@ -100,7 +100,7 @@ def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict
     """A PDF in Helvetica; spans with characters that its encoding lacks are in a two-byte font that maps back to them.
 
     pages: per page (text, x, y, size); outline: {title, page, parent (index or None)}; links: {page, rect, uri or
-    dest_page}; labels: {start, style, prefix, first}; fields: {name, value}; files: {name, data, description};
+    dest_page}; labels: {start, style, prefix, first}; fields: {name, value, kind, flags, options, max_length}; files: {name, data, description};
     tags: {role, page, spans (indices)} in reading order, each a marked content and a structure element;
     xmp: a metadata packet; layers: {name, visible}; graphics: further content by page index.
     """
@@ -162,7 +162,7 @@ def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict
             nums += [r["start"], ({"S": Name(r["style"])} if r.get("style") else {}) | ({"P": r["prefix"]} if r.get("prefix") else {}) | ({"St": r["first"]} if r.get("first", 1) != 1 else {})]
         catalog["PageLabels"] = {"Nums": nums}
     if fields:
-        catalog["AcroForm"] = {"Fields": [o.add({"FT": Name("Tx"), "T": f["name"], "V": f["value"]}) for f in fields]}
+        catalog["AcroForm"] = {"Fields": [o.add({"FT": Name(f.get("kind", "Tx")), "T": f["name"], "V": f["value"]} | ({"Ff": f["flags"]} if f.get("flags") else {}) | ({"Opt": [list(x) for x in f["options"]]} if f.get("options") else {}) | ({"MaxLen": f["max_length"]} if f.get("max_length") else {})) for f in fields]}
     if xmp is not None:
         catalog["Metadata"] = o.add(Stream({"Type": Name("Metadata"), "Subtype": Name("XML")}, xmp.encode()))
     if layers:

@@ -14,9 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..model import content as content_model
-from ..model import conformance, layout, reading
-from ..model.document import Pdf, page_label
-from ..model.objects import PdfError
+from ..model import conformance, convert, layout, reading
+from ..model.document import Pdf, page_label, text_of
+from ..model.objects import PdfError, Ref, Stream, decode_stream
 from ..runtime import ship
 
 ERRORS = (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError)
@@ -229,9 +229,86 @@ def layers(df: DataFrame, **names) -> DataFrame:
     return _stage(df, "layer int, name string, visible boolean", lambda p: iter(p.layers()), **names)
 
 
+def signatures(df: DataFrame, **names) -> DataFrame:
+    """A row per signed field, with what its byte range covers and whether the digest of these bytes is the one signed."""
+    return _stage(df, "field string, sub_filter string, signer string, signed_at string, location string, reason string, contact string, byte_range array<long>, whole_document boolean, bytes_after long, digest_algorithm string, digest string, security_store boolean", lambda p: iter(p.signatures()), **names)
+
+
+def objects(df: DataFrame, **names) -> DataFrame:
+    """A row per object in use, with its type: a scan to filter by type or to join references with."""
+    return _stage(df, "object int, generation int, compressed boolean, kind string, type string, subtype string, raw_bytes long", lambda p: iter(p.objects()), **names)
+
+
+def stream_data(df: DataFrame, object_col: str, decoded: bool = True, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """(doc_id, object, data, error): the data of the object that each file's row names."""
+    ship(df.sparkSession)
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(object_col).cast("int").alias("object"), F.col(content_col).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, errors = [], []
+            for num, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                out = error = None
+                try:
+                    p = Pdf(data or b"")
+                    s = p.get(Ref(num, 0)) if num is not None else None
+                    if isinstance(s, Stream):
+                        out = decode_stream(s, p.get) if decoded else s.raw
+                    else:
+                        error = "no stream"
+                except ERRORS as e:
+                    error = f"{type(e).__name__}: {e}"[:200]
+                found.append(out), errors.append(error)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "object", "data", "error"])
+
+    return own.mapInArrow(run, "doc_id long, object int, data binary, error string")
+
+
+def output_intents(df: DataFrame, **names) -> DataFrame:
+    return _stage(df, "page int, subtype string, identifier string, components int", lambda p: iter(p.output_intents()), **names)
+
+
+def label_ranges(df: DataFrame, **names) -> DataFrame:
+    """A row per range of page labels; relations.labelled_pages() joins them with pages."""
+    return _stage(df, "start int, style string, prefix string, first int", lambda p: iter(p.label_ranges()), **names)
+
+
+def summary(df: DataFrame, **names) -> DataFrame:
+    """A row per file that opens: version, counts of what it holds, and its metadata, the information dictionary first."""
+
+    def rows(p: Pdf):
+        facts = convert.metadata(p)
+        tree = p.structure()
+        yield {
+            "major": p.version[0], "minor": p.version[1], "pages": len(p.pages), "encrypted": "Encrypt" in p.trailer, "recovered": p.recovered, "tagged": p.tagged, "lang": text_of(p.get(p.root.get("Lang"))),
+            "bookmarks": len(p.outline()), "elements": len(tree), "fields": len(p.fields()), "attachments": len(p.attachments()), "layers": len(p.layers()), "signatures": len(p.signatures()), "objects": len(p.objects()),
+            "title": facts.get("Title"), "author": facts.get("Author"), "producer": facts.get("Producer"), "claim": "".join(conformance.claimed(p) or ()) or None,
+        }
+
+    return _stage(df, "major int, minor int, pages int, encrypted boolean, recovered boolean, tagged boolean, lang string, bookmarks int, elements int, fields int, attachments int, layers int, signatures int, objects int, title string, author string, producer string, claim string", rows, **names)
+
+
+def converted(df: DataFrame, form: str = "text", structured: bool = False, rich: bool = True, **names) -> DataFrame:
+    """A row per file: the whole of it as text, markdown or html."""
+    make = {"text": lambda p: convert.to_text(p, structured), "markdown": lambda p: convert.to_markdown(p, structured, rich), "html": lambda p: convert.to_html(p, structured, rich)}[form]
+    return _stage(df, "body string", lambda p: iter([{"body": make(p)}]), **names)
+
+
+def svg(df: DataFrame, **names) -> DataFrame:
+    """A row per page: its paths and strings as SVG."""
+    return _stage(df, "page int, svg string", lambda p: ({"page": i, "svg": convert.to_svg(p, i)} for i in range(len(p.pages))), **names)
+
+
 def violations(df: DataFrame, profile: str = "pdfa-2b", **names) -> DataFrame:
-    """A row per broken rule of pdfa-1b, pdfa-2b, pdfa-3b or pdfua-1, with a count; none for a file that conforms."""
-    if profile not in ("pdfa-1b", "pdfa-2b", "pdfa-3b", "pdfua-1"):
+    """A row per broken rule of a profile (conformance.PROFILES), with a count; none for a file that conforms."""
+    check = conformance.PROFILES.get(profile)
+    if check is None:
         raise ValueError(f"no profile {profile}")
-    check = conformance.accessible if profile == "pdfua-1" else lambda p: conformance.archive(p, int(profile[5]))
     return _stage(df, "rule string, count int", lambda p: iter(check(p)), **names)
+
+
+def conforming(df: DataFrame, profile: str = "pdfa-2b", id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """(doc_id, conforms): whether a file that opens breaks no rule of the profile; null for one that doesn't open."""
+    found = files(df, id_col, content_col).select("doc_id", F.col("open_error").isNull().alias("opens"))
+    broken = violations(df, profile, id_col=id_col, content_col=content_col).select("doc_id").distinct().withColumn("broken", F.lit(True))
+    return found.join(broken, "doc_id", "left").select("doc_id", F.when(F.col("opens"), F.col("broken").isNull()).alias("conforms"))

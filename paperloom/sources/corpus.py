@@ -29,8 +29,8 @@ def lay_out(lines: list[str], per_page: int = LINES_PER_PAGE) -> list[list[tuple
     return [[(t, LEFT, TOP - LEADING * k, SIZE) for k, t in enumerate(c) if t.strip(" ")] for c in chunks]
 
 
-def make(rows: DataFrame, id_col: str, describe: Callable[[dict], dict]) -> DataFrame:
-    """(doc_id, content): a file per row, from what describe() says of it (the arguments of build())."""
+def crafted(rows: DataFrame, id_col: str, write: Callable[[dict], bytes]) -> DataFrame:
+    """(doc_id, content): the bytes that write() gives for a row."""
     ship(rows.sparkSession)
     names, cores = rows.columns, rows.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() < cores:  # a table of few row groups; making files is far dearer than this exchange
@@ -38,12 +38,17 @@ def make(rows: DataFrame, id_col: str, describe: Callable[[dict], dict]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [build(**describe(dict(zip(names, r)))) for r in zip(*(c.to_pylist() for c in b.columns))]
+            made = [write(dict(zip(names, r))) for r in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(names.index(id_col)).cast(pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
     return rows.mapInArrow(run, "doc_id long, content binary")
 
 
+def make(rows: DataFrame, id_col: str, describe: Callable[[dict], dict]) -> DataFrame:
+    """(doc_id, content): a file per row, from what describe() says of it (the arguments of build())."""
+    return crafted(rows, id_col, lambda r: build(**describe(r)))
+
+
 def text_files(documents: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame:
     """A file per document, one span per line; null and empty texts give a file of one empty page."""
     return make(documents.select("doc_id", "text"), "doc_id", lambda r: {"pages": lay_out((r["text"] or "").split("\n"), per_page)})

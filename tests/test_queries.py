@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tf
 from paperloom.model.writer import build
 from paperloom.operators import decode
-from paperloom.plans import queries
+from paperloom.plans import more, queries
 from paperloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -29,12 +29,15 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+ALL, ORACLE = queries.QUERIES | more.QUERIES, queries.ORACLE | more.ORACLE
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query_matches_sql(spark, db, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = ALL[name](spark, SF)
     got = Counter(tuple(map(_norm, r)) for r in df.select(*sorted(df.columns)).collect())
     cols = ", ".join(sorted(df.columns))
-    assert got == Counter(tuple(map(_norm, r)) for r in db.execute(f"select {cols} from ({queries.ORACLE[name]})").fetchall())
+    assert got == Counter(tuple(map(_norm, r)) for r in db.execute(f"select {cols} from ({ORACLE[name]})").fetchall())
 
 
 def test_odd_files_do_not_fail_the_job(spark):
