@@ -12,6 +12,8 @@ import types
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import let
+
 #: The published quadratic approximation of a SWOP press. Per channel the coefficients of
 #: c*c, c*m, c*y, c*k, c, m*m, m*y, m*k, m, y*y, y*k, y, k*k, k, on a scale of 255.
 PRESS = (
@@ -27,7 +29,7 @@ D65 = (0.95047, 1.0, 1.08883)
 
 #: The operations that the formulas need, on numbers and on columns.
 _NUMBERS = types.SimpleNamespace(
-    clamp=lambda x: min(1.0, max(0.0, x)) if math.isfinite(x) else 0.0, pick=lambda test, yes, no: yes if test else no, power=lambda x, p: max(0.0, x) ** p, most=max, least=min, lit=float,
+    clamp=lambda x: min(1.0, max(0.0, x)) if math.isfinite(x) else 0.0, pick=lambda test, yes, no: yes if test else no, power=lambda x, p: max(0.0, x) ** p, let=lambda values, f: f(values),
 )
 
 
@@ -36,39 +38,53 @@ def _finite(x: Column) -> Column:
 
 
 _COLUMNS = types.SimpleNamespace(
-    clamp=lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), _finite(x))), pick=lambda test, yes, no: F.when(test, yes).otherwise(no), power=lambda x, p: F.pow(F.greatest(F.lit(0.0), x), F.lit(p)), most=F.greatest, least=F.least, lit=F.lit,
+    clamp=lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), _finite(x))), pick=lambda test, yes, no: F.when(test, yes).otherwise(no), power=lambda x, p: F.pow(F.greatest(F.lit(0.0), x), F.lit(p)), let=lambda values, f: let(F.array(*values), lambda v: F.array(*f([v[k] for k in range(len(values))]))),
 )
 
 
-def _press(o, c, m, y, k) -> list:
-    c, m, y, k = map(o.clamp, (c, m, y, k))
-    terms = (c * c, c * m, c * y, c * k, c, m * m, m * y, m * k, m, y * y, y * k, y, k * k, k)
-    return [o.clamp((255.0 + sum((w * t for w, t in zip(row[1:], terms[1:])), row[0] * terms[0])) / 255.0) for row in PRESS]
+def _press(o, c, m, y, k):
+    def channels(v):
+        c, m, y, k = v
+        terms = (c * c, c * m, c * y, c * k, c, m * m, m * y, m * k, m, y * y, y * k, y, k * k, k)
+        return [o.clamp((255.0 + sum((w * t for w, t in zip(row[1:], terms[1:])), row[0] * terms[0])) / 255.0) for row in PRESS]
+
+    return o.let(list(map(o.clamp, (c, m, y, k))), channels)
 
 
 def _times(matrix, v) -> list:
     return [row[0] * v[0] + row[1] * v[1] + row[2] * v[2] for row in matrix]
 
 
-def _srgb(o, x, y, z) -> list:
-    light = map(o.clamp, _times(TO_SRGB, (x, y, z)))
-    return [o.pick(v <= 0.0031308, 12.92 * v, 1.055 * o.power(v, 1 / 2.4) - 0.055) for v in light]
+def _encoded(o):
+    return lambda light: [o.pick(v <= 0.0031308, 12.92 * v, 1.055 * o.power(v, 1 / 2.4) - 0.055) for v in light]
 
 
-def _lab(o, l, a, b, white: tuple[float, float, float]) -> list:  # noqa: E741
-    fy = (l + 16.0) / 116.0
+def _srgb(o, x, y, z):
+    return o.let([o.clamp(v) for v in _times(TO_SRGB, (x, y, z))], _encoded(o))
+
+
+def _lab(o, l, a, b, white: tuple[float, float, float]):  # noqa: E741
     edge = 6.0 / 29.0
-    xyz = [w * o.pick(t >= edge, t * t * t, 3.0 * edge * edge * (t - 4.0 / 29.0)) for w, t in zip(white, (fy + a / 500.0, fy, fy - b / 200.0))]
     source = _times(TO_CONES, white)
-    if all(math.isfinite(s) and abs(s) >= 2.3e-16 for s in source):
-        cones = [v * (d / s) for v, d, s in zip(_times(TO_CONES, xyz), _times(TO_CONES, D65), source)]
-        xyz = _times(FROM_CONES, cones)
-    return _srgb(o, *xyz)
+    adapted = all(math.isfinite(s) and abs(s) >= 2.3e-16 for s in source)
+
+    def xyz(f):
+        return [w * o.pick(t >= edge, t * t * t, 3.0 * edge * edge * (t - 4.0 / 29.0)) for w, t in zip(white, f)]
+
+    def light(v):
+        if adapted:
+            v = _times(FROM_CONES, [c * (d / s) for c, d, s in zip(_times(TO_CONES, v), _times(TO_CONES, D65), source)])
+        return [o.clamp(x) for x in _times(TO_SRGB, v)]
+
+    fy = (l + 16.0) / 116.0
+    first = o.let([fy + a / 500.0, fy, fy - b / 200.0], xyz)
+    second = o.let([first[0], first[1], first[2]], light)
+    return o.let([second[0], second[1], second[2]], _encoded(o))
 
 
 def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
     """Array of red, green and blue, by the approximation of a press."""
-    return F.array(*_press(_COLUMNS, c, m, y, k))
+    return _press(_COLUMNS, c, m, y, k)
 
 
 def cmyk_to_rgb_plain(c: Column, m: Column, y: Column, k: Column) -> Column:
@@ -84,11 +100,11 @@ def rgb_to_cmyk_plain(r: Column, g: Column, b: Column) -> Column:
 
 
 def lab_to_rgb(l: Column, a: Column, b: Column, white: tuple[float, float, float] = (0.9643, 1.0, 0.8251)) -> Column:  # noqa: E741
-    return F.array(*_lab(_COLUMNS, l, a, b, white))
+    return _lab(_COLUMNS, l, a, b, white)
 
 
 def xyz_to_srgb(x: Column, y: Column, z: Column) -> Column:
-    return F.array(*_srgb(_COLUMNS, x, y, z))
+    return _srgb(_COLUMNS, x, y, z)
 
 
 def rgb(space: str, values: tuple) -> tuple[float, ...]:

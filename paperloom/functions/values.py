@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 #: Roman numerals from the largest.
 ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
-LETTER = (0.0, 0.0, 612.0, 792.0)
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it: expressions built on each other stay small."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 # Dates, as strings of the file format: D:YYYYMMDDHHmmSS and an offset, of which all behind the year may be missing.
@@ -105,9 +109,8 @@ def determinant(m: Column) -> Column:
 
 def inverse(m: Column) -> Column:
     """Null where the determinant is below 1e-12."""
-    d = determinant(m)
-    safe = F.when(F.abs(d) >= 1e-12, d)
-    return F.when(safe.isNotNull(), F.array(m[3] / safe, -m[1] / safe, -m[2] / safe, m[0] / safe, (m[2] * m[5] - m[3] * m[4]) / safe, (m[1] * m[4] - m[0] * m[5]) / safe))
+    parts = F.array(m[3], -m[1], -m[2], m[0], m[2] * m[5] - m[3] * m[4], m[1] * m[4] - m[0] * m[5])
+    return let(determinant(m), lambda d: F.when(F.abs(d) >= 1e-12, F.transform(parts, lambda x: x / d)))
 
 
 def normalised(box: Column) -> Column:
@@ -125,7 +128,7 @@ def height(box: Column) -> Column:
 def intersection(a: Column, b: Column) -> Column:
     """The common part of two normalised boxes; null if it has no area."""
     found = F.array(F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3]))
-    return F.when((found[2] > found[0]) & (found[3] > found[1]), found)
+    return let(found, lambda x: F.when((x[2] > x[0]) & (x[3] > x[1]), x))
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -135,12 +138,15 @@ def intersects(a: Column, b: Column) -> Column:
 
 def effective_box(media: Column, crop: Column) -> Column:
     """The crop box cut with the media box; the media box where they don't meet or there is no crop box."""
-    return F.coalesce(intersection(normalised(media), normalised(crop)), normalised(media))
+    return let(normalised(media), lambda m: F.coalesce(let(normalised(crop), lambda c: intersection(m, c)), m))
 
 
 def page_size(box: Column, rotate: Column, scale: float = 1.0) -> Column:
     """(columns, rows) of the page's raster, sides swapped for a quarter turn; null for boxes without a finite positive size."""
-    w, h = width(box) * scale, height(box) * scale
-    sound = (w > 0) & (h > 0) & (w < 1e9) & (h < 1e9)
-    turned = F.pmod(rotate, F.lit(180)) == 90
-    return F.when(sound, F.struct(F.ceil(F.when(turned, h).otherwise(w)).cast("int").alias("columns"), F.ceil(F.when(turned, w).otherwise(h)).cast("int").alias("rows")))
+
+    def size(w: Column, h: Column) -> Column:
+        sound = (w > 0) & (h > 0) & (w < 1e9) & (h < 1e9)
+        turned = F.pmod(rotate, F.lit(180)) == 90
+        return F.when(sound, F.struct(F.ceil(F.when(turned, h).otherwise(w)).cast("int").alias("columns"), F.ceil(F.when(turned, w).otherwise(h)).cast("int").alias("rows")))
+
+    return let(F.array(width(box) * scale, height(box) * scale), lambda s: size(s[0], s[1]))

@@ -9,10 +9,10 @@ from dataclasses import dataclass, field
 
 from .document import Pdf
 from .fonts import Font
-from .objects import END, Keyword, Name, Parser, PdfError, Ref, Stream, decode_stream
+from .objects import END, Keyword, Name, Parser, PdfError, Ref, Stream
 
 #: Limits of the format's readers. What is cut by one of them is marked as truncated.
-MAX_OPERATORS, MAX_OPERANDS, MAX_SAVED, MAX_MARKS, MAX_FORMS = 1_000_000, 10_000, 256, 128, 16
+MAX_OPERANDS, MAX_SAVED, MAX_MARKS, MAX_FORMS = 10_000, 256, 128, 16
 #: Ruled lines: at most so thick, so far off the axis, and at least so long.
 RULE_THICK, RULE_SKEW, RULE_LONG = 3.0, 0.5, 8.0
 IDENTITY = (1, 0, 0, 1, 0, 0)
@@ -59,8 +59,8 @@ STATE = {"ctm": IDENTITY, "font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "tz":
 class Interpreter:
     """Runs content streams over a graphics state. Forms run within the state of their caller and leave it as it was."""
 
-    def __init__(self, pdf: Pdf, most: int = MAX_OPERATORS, paints: bool = False):
-        self.pdf, self.left, self.want_paints = pdf, most, paints
+    def __init__(self, pdf: Pdf, most: int | None = None, paints: bool = False):
+        self.pdf, self.left, self.want_paints = pdf, pdf.limits.operators if most is None else most, paints
         self.out = Found()
         self.state = dict(STATE)
         self.stack: list[dict] = []
@@ -373,7 +373,7 @@ class Interpreter:
             if len(m) == 6:
                 self.state["ctm"] = concat(tuple(m), self.state["ctm"])
             try:
-                self.run(decode_stream(x, self.pdf.get), self.pdf.dict(x.dict.get("Resources")) or self.resources)
+                self.run(self.pdf.decoded(x), self.pdf.dict(x.dict.get("Resources")) or self.resources)
             except PdfError:
                 self.out.truncated = True
             finally:
@@ -443,12 +443,12 @@ def _build() -> dict[str, Callable]:
 OPERATORS = _build()
 
 
-def read(pdf: Pdf, page: dict, most: int = MAX_OPERATORS, paints: bool = False) -> Found:
+def read(pdf: Pdf, page: dict, most: int | None = None, paints: bool = False) -> Found:
     """Everything that the page's content gives; paints (a display list) only if asked for."""
     return Interpreter(pdf, most, paints).page(page)
 
 
-def interpret(pdf: Pdf, page: dict, most: int = MAX_OPERATORS) -> tuple[list[dict], list[dict], bool]:
+def interpret(pdf: Pdf, page: dict, most: int | None = None) -> tuple[list[dict], list[dict], bool]:
     """(spans, rules, truncated). A span per string shown: text, x, y, size, advance, mcid; coordinates in points, y up."""
     found = read(pdf, page, most)
     return found.spans, found.rules, found.truncated

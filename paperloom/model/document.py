@@ -9,9 +9,9 @@ import unicodedata
 from functools import cached_property
 
 from .crypt import Handler
-from .objects import Keyword, Name, Parser, PdfError, Ref, Stream, decode_stream
+from .objects import Budget, Keyword, Limits, Name, Parser, PdfError, Ref, Stream, decode_stream
 
-MAX_OBJECTS, MAX_PAGES, MAX_TREE_DEPTH, MAX_FIELD_DEPTH = 5_000_000, 1_000_000, 64, 50
+MAX_TREE_DEPTH, MAX_FIELD_DEPTH = 64, 50
 #: Flags of annotations and fields, and the numbers that each kind of view has.
 HIDDEN, NO_VIEW, PRINT = 1 << 1, 1 << 5, 1 << 2
 MULTILINE, PASSWORD, COMB = 1 << 12, 1 << 13, 1 << 24
@@ -28,9 +28,11 @@ def text_of(raw) -> str | None:
 
 
 class Pdf:
-    def __init__(self, data: bytes, password: bytes | str = b""):
-        self.data = data
-        self._password = password.encode() if isinstance(password, str) else password
+    """An open file. ``repair`` searches the whole file for objects instead of trusting its cross references."""
+
+    def __init__(self, data: bytes, password: bytes | str | None = b"", limits: Limits | None = None, repair: bool = False):
+        self.data, self.limits = data, limits or Limits()
+        self._password = password.encode() if isinstance(password, str) else password or b""
         self._handler: Handler | None = None
         m = re.search(rb"%PDF-(\d)\.(\d)", data[:1024])
         self.version = (int(m[1]), int(m[2])) if m else (1, 7)
@@ -42,6 +44,8 @@ class Pdf:
         self._fonts: dict = {}
         self._skipped: set[int] = set()
         try:
+            if repair:
+                raise PdfError("asked to repair")
             at = data.rfind(b"startxref")
             self._sections(Parser(data, at + 9).next() if at >= 0 else -1)
             self._unlock()
@@ -50,6 +54,8 @@ class Pdf:
         except (PdfError, ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError):
             self._recover()
             self._unlock()
+            if not self.pages:
+                raise PdfError("no pages")
 
     def _unlock(self) -> None:
         """Sets the handler of an encrypted file. Without a password, or with another handler, what can't be decrypted stays as it is."""
@@ -106,7 +112,9 @@ class Pdf:
         s = self._object_at(at)
         if not isinstance(s, Stream):
             raise PdfError("no xref stream")
-        w, data = s.dict["W"], decode_stream(s)
+        w, data = s.dict["W"], self.decoded(s, resolve=False)
+        if len(w) < 3 or any(not isinstance(x, int) or not 0 <= x <= 8 for x in w) or not sum(w):
+            raise PdfError("bad field widths")
         index = s.dict.get("Index") or [0, s.dict["Size"]]
         cell, i = sum(w), 0
         for start, n in zip(index[::2], index[1::2]):
@@ -125,7 +133,7 @@ class Pdf:
         self.recovered, self.xref, self._cache, self._members = True, {}, {}, {}
         for m in re.finditer(rb"(?<!\d)(\d{1,10})[\s\x00]+(\d{1,5})[\s\x00]+obj\b", self.data):
             self.xref[int(m[1])] = ("at", m.start(), int(m[2]))
-            if len(self.xref) > MAX_OBJECTS:
+            if len(self.xref) > self.limits.objects:
                 raise PdfError("too many objects")
         for num in list(self.xref):
             o = self.get(Ref(num, 0))
@@ -137,10 +145,11 @@ class Pdf:
             if isinstance(t, dict) and t.get("Root"):
                 self.trailer = t
         if not isinstance(self.get(self.trailer.get("Root")), dict):
-            roots = [n for n in self.xref if isinstance(o := self.get(Ref(n, 0)), dict) and o.get("Type") == "Catalog"]
-            if not roots:
+            dicts = {n: o for n in self.xref if isinstance(o := self.get(Ref(n, 0)), dict)}
+            roots = [n for n, o in dicts.items() if o.get("Type") == "Catalog"] or [n for n, o in dicts.items() if "Pages" in o and "Type" not in o]
+            if not roots and not any(o.get("Type") == "Page" for o in dicts.values()):
                 raise PdfError("not a PDF")
-            self.trailer = {**self.trailer, "Root": Ref(roots[-1], 0)}
+            self.trailer = {**self.trailer, "Root": Ref(roots[-1], 0)} if roots else self.trailer  # else pages without a root
         self.__dict__.pop("pages", None)
 
     # Objects.
@@ -169,7 +178,7 @@ class Pdf:
             s = self.get(Ref(num, 0))
             if not isinstance(s, Stream):
                 return []
-            data, p = decode_stream(s, self.get), None
+            data = self.decoded(s)
             p = Parser(data)
             heads = [(p.next(), p.next()) for _ in range(self.get(s.dict.get("N")) or 0)]
             first = self.get(s.dict.get("First")) or 0
@@ -218,7 +227,7 @@ class Pdf:
 
         def walk(ref, inherited: dict, depth: int, above: frozenset) -> None:
             node = self.dict(ref)
-            if depth > MAX_TREE_DEPTH or ref in above or len(out) >= MAX_PAGES:
+            if depth > MAX_TREE_DEPTH or ref in above or len(out) >= self.limits.pages:
                 return
             own = {**inherited, **{k: node[k] for k in ("MediaBox", "CropBox", "Rotate", "Resources") if k in node}}
             if "Kids" in node:
@@ -228,8 +237,15 @@ class Pdf:
                 out.append({**own, **node, "_ref": ref})
 
         walk(self.root.get("Pages"), {}, 0, frozenset())
+        if not out:  # no tree: all pages by type, or else all dictionaries of the shape of a page
+            dicts = [(Ref(n, 0), o) for n in sorted(self.xref) if isinstance(o := self.get(Ref(n, 0)), dict) and "Kids" not in o]
+            found = [x for x in dicts if x[1].get("Type") == "Page"] or [x for x in dicts if "Type" not in x[1] and "Contents" in x[1] and ("MediaBox" in x[1] or "Resources" in x[1])]
+            out += [{**o, "_ref": ref} for ref, o in found[: self.limits.pages]]
         return out
 
+    def decoded(self, s: Stream, resolve: bool = True) -> bytes:
+        return decode_stream(s, self.get if resolve else lambda x: x, Budget(self.limits.decoded))
+
     def _rect(self, o) -> list[float] | None:
         b = [self.get(x) for x in self.list(o)]
         if len(b) != 4 or not all(isinstance(x, (int, float)) and abs(x) < 1e9 for x in b):
@@ -253,7 +269,7 @@ class Pdf:
         for s in map(self.get, parts):
             if isinstance(s, Stream):
                 try:
-                    out.append(decode_stream(s, self.get))
+                    out.append(self.decoded(s))
                 except (PdfError, ValueError, TypeError):
                     self._skipped.add(id(page))
         return b"\n".join(out)
@@ -296,8 +312,9 @@ class Pdf:
         for m in re.finditer(rf"<((?:{prefixes}):\w+)(?:\s[^>]*)?(?<!/)>(.*?)</\1\s*>", packet, re.S):
             found.append((m.start(), m[1], re.findall(r"<rdf:li(?:\s[^>]*)?(?<!/)>(.*?)</rdf:li\s*>", m[2], re.S) or [m[2]]))
         for _, name, values in sorted(found):
-            out += [{"name": name, "ordinal": i, "value": plain(v)} for i, v in enumerate(values) if "<" not in v]
-        return out[:most]
+            out += [{"name": name, "ordinal": i, "value": plain(v), "truncated": len(v) > longest} for i, v in enumerate(values) if "<" not in v]
+        cut = len(out) > most
+        return [{**x, "truncated": x["truncated"] or cut} for x in out[:most]]
 
     def layers(self) -> list[dict]:
         """Optional content groups: name, and whether the default configuration shows them (OFF before ON before the base state)."""
@@ -423,10 +440,14 @@ class Pdf:
                 if isinstance(look, dict):  # one appearance for each state
                     look = self.get(look.get(self.get(d.get("AS"))))
                 kind = self.get(d.get("Subtype"))
+                measure = self.dict(d.get("Measure"))
+                points = [float(x) for x in map(self.get, self.list(measure.get("GPTS"))) if isinstance(x, (int, float))][:1024]
+                place = self.dict(measure.get("GCS"))
                 area = len(rect) == 4 and rect[0] != rect[2] and rect[1] != rect[3]
                 out.append({
                     "subtype": kind, "rect": rect, "contents": text_of(self.get(d.get("Contents"))), "dest_page": dest, "uri": uri, "file": file, "flags": flags, "appearance": isinstance(look, Stream),
                     "viewable": not flags & (HIDDEN | NO_VIEW) and kind != "Popup" and isinstance(look, Stream) and area and not self.hidden(d.get("OC")), "associated": bool(self.list(d.get("AF"))),
+                    "measure": str(self.get(measure.get("Subtype"))) if measure else None, "geo_points": points, "epsg": code if isinstance(code := self.get(place.get("EPSG")), int) else None, "wkt": (text_of(self.get(place.get("WKT"))) or "")[: 32 << 10] or None,
                 })
         return out
 
@@ -547,7 +568,7 @@ class Pdf:
         rows = []
         for x in out.values():
             try:
-                data = decode_stream(x["stream"], self.get)
+                data = self.decoded(x["stream"])
             except (PdfError, ValueError):
                 data = None
             rows.append({**{k: v for k, v in x.items() if k != "stream"}, "safe_name": safe_name(x["name"]), "data": data})
@@ -566,7 +587,7 @@ class Pdf:
     def signatures(self, most: int = 1024) -> list[dict]:
         """Signature fields with a value: what they say, what bytes they cover, and whether the digest of these bytes is
         the one that was signed: match, mismatch, or null where it can't be told (no detached signature of a known form)."""
-        from .signing import message_digest
+        from .signing import embedded, message_digest
 
         out: list[dict] = []
         seen: set = set()
@@ -591,6 +612,7 @@ class Pdf:
             end = sum(ranges[-1]) if ranges else 0
             form, signed = self.get(v.get("SubFilter")), self.get(v.get("Contents"))
             algorithm, wanted = message_digest(signed) if isinstance(signed, bytes) else (None, None)
+            certificates, stamped = embedded(signed) if isinstance(signed, bytes) else (0, False)
             state = None
             if form in ("adbe.pkcs7.detached", "ETSI.CAdES.detached") and wanted is not None and ranges:
                 state = hashlib.new(algorithm, b"".join(self.data[a : a + n] for a, n in ranges)).digest() == wanted
@@ -598,7 +620,7 @@ class Pdf:
             out.append({
                 "field": name, "sub_filter": str(form) if form else None, "signer": say("Name"), "signed_at": say("M"), "location": say("Location"), "reason": say("Reason"), "contact": say("ContactInfo"),
                 "byte_range": [x for r in ranges for x in r], "whole_document": bool(ranges) and ranges[0][0] == 0 and end == len(self.data), "bytes_after": max(0, len(self.data) - end),
-                "digest_algorithm": algorithm, "digest": None if state is None else "match" if state else "mismatch", "security_store": isinstance(self.get(self.root.get("DSS")), dict),
+                "digest_algorithm": algorithm, "digest": None if state is None else "match" if state else "mismatch", "security_store": isinstance(self.get(self.root.get("DSS")), dict), "certificates": certificates, "timestamp": stamped,
             })
 
         for f in self.list(self.dict(self.root.get("AcroForm")).get("Fields")):

@@ -17,6 +17,16 @@ class PdfError(ValueError):
     pass
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What reading a file may take. Beyond objects or decoded bytes something fails, beyond operators a page is cut."""
+
+    objects: int = 5_000_000
+    decoded: int = MAX_DECODED
+    operators: int = 1_000_000
+    pages: int = 1_000_000
+
+
 class Budget:
     """Counts what the filters of a stream give, and fails beyond the limit."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 #: Object identifiers, as in DER.
 DIGESTS = {bytes.fromhex("2b0e03021a"): "sha1", bytes.fromhex("608648016503040201"): "sha256", bytes.fromhex("608648016503040202"): "sha384", bytes.fromhex("608648016503040203"): "sha512"}
 MESSAGE_DIGEST = bytes.fromhex("2a864886f70d010904")
+SIGNED_DATA = bytes.fromhex("2a864886f70d010702")
+TIMESTAMP = bytes.fromhex("2a864886f70d010910020e")
 MAX_DEPTH = 24
 
 
@@ -42,3 +44,15 @@ def message_digest(data: bytes) -> tuple[str | None, bytes | None]:
         if depth < MAX_DEPTH:
             todo += [(a, b, depth + 1) for tag, a, b in reversed(inner) if tag & 0x20]
     return (algorithm, min(found)[1]) if algorithm and found else (algorithm, None)
+
+
+def embedded(data: bytes) -> tuple[int, bool]:
+    """(certificates, whether an attribute holds a timestamp)."""
+    stamped = data.find(b"\x06" + bytes([len(TIMESTAMP)]) + TIMESTAMP) >= 0
+    for tag, a, b in elements(data):
+        inner = list(elements(data, a, b))
+        if tag == 0x30 and len(inner) > 1 and inner[0][0] == 0x06 and data[slice(*inner[0][1:])] == SIGNED_DATA:
+            for _, c, d in elements(data, *inner[1][1:]):
+                sets = [x for x in elements(data, c, d) if x[0] == 0xA0]
+                return (len([x for x in elements(data, *sets[0][1:]) if x[0] == 0x30]) if sets else 0), stamped
+    return 0, stamped

@@ -16,22 +16,28 @@ from pyspark.sql.types import StructType
 from ..model import content as content_model
 from ..model import conformance, convert, layout, reading
 from ..model.document import Pdf, page_label, text_of
-from ..model.objects import PdfError, Ref, Stream, decode_stream
+from ..model.objects import Limits, PdfError, Ref, Stream, decode_stream
 from ..runtime import ship
 
 ERRORS = (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError)
 
 
-def _stage(files: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[dict]], id_col: str = "doc_id", content_col: str = "content", password: str = "") -> DataFrame:
+def each_file(files: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[dict]], id_col: str = "doc_id", content_col: str = "content", password: str = "", password_col: str | None = None, limits: Limits | None = None, repair: bool = False) -> DataFrame:
+    """A table of one's own: rows(file) of every file that opens, as doc_id and the columns of schema (DDL).
+
+    All tables here are made this way and take the same options: a password for all files or a column of passwords, limits
+    of what reading may take, and whether cross references are searched for instead of trusted. Rows are dictionaries;
+    missing keys are null. A file for which rows() fails gives none."""
     ship(files.sparkSession)
-    own = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).alias("content"))
+    key = F.col(password_col) if password_col else F.lit(password)
+    own = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).alias("content"), key.cast("string").alias("password"))
     arrow = to_arrow_schema(StructType.fromDDL(f"doc_id long, {schema}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, data, word in zip(*(b.column(k).to_pylist() for k in range(3))):
                 try:
-                    out = [{"doc_id": i, **r} for r in rows(Pdf(data or b"", password))]
+                    out = [{"doc_id": i, **r} for r in rows(Pdf(data or b"", word, limits, repair))]
                 except ERRORS:
                     out = []
                 if out:
@@ -40,20 +46,29 @@ def _stage(files: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[dict]],
     return own.mapInArrow(run, f"doc_id long, {schema}")
 
 
-def files(df: DataFrame, id_col: str = "doc_id", content_col: str = "content", password: str = "") -> DataFrame:
+_stage = each_file
+
+
+def each_page(files: DataFrame, schema: str, rows: Callable[[int, dict, content_model.Found], Iterator[dict]], **options) -> DataFrame:
+    """The same of every page: rows(index, page, content); page and truncated are columns too. A page that fails gives none."""
+    return each_file(files, f"page int, {schema}, truncated boolean", lambda p: _each_page(p, rows), **options)
+
+
+def files(df: DataFrame, id_col: str = "doc_id", content_col: str = "content", password: str = "", password_col: str | None = None, limits: Limits | None = None, repair: bool = False) -> DataFrame:
     """A row per file: version, page count, recovered, open_error."""
     ship(df.sparkSession)
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).alias("content"))
+    key = F.col(password_col) if password_col else F.lit(password)
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).alias("content"), key.cast("string").alias("password"))
     schema = "doc_id long, major int, minor int, page_count int, recovered boolean, open_error string"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, data, word in zip(*(b.column(k).to_pylist() for k in range(3))):
                 row = dict.fromkeys(arrow.names) | {"doc_id": i}
                 try:
-                    p = Pdf(data or b"", password)
+                    p = Pdf(data or b"", word, limits, repair)
                     row |= {"major": p.version[0], "minor": p.version[1], "page_count": len(p.pages), "recovered": p.recovered}
                 except ERRORS as e:
                     row["open_error"] = f"{type(e).__name__}: {e}"[:200]
@@ -210,7 +225,7 @@ def annotations(df: DataFrame, **names) -> DataFrame:
             for k, a in enumerate(p.annotations(page)):
                 yield {"page": i, "ordinal": k, **a}
 
-    return _stage(df, "page int, ordinal int, subtype string, rect array<double>, contents string, dest_page int, uri string, file string, flags int, appearance boolean, viewable boolean, associated boolean", rows, **names)
+    return _stage(df, "page int, ordinal int, subtype string, rect array<double>, contents string, dest_page int, uri string, file string, flags int, appearance boolean, viewable boolean, associated boolean, measure string, geo_points array<double>, epsg int, wkt string", rows, **names)
 
 
 def form_fields(df: DataFrame, **names) -> DataFrame:
@@ -222,7 +237,7 @@ def attachments(df: DataFrame, **names) -> DataFrame:
 
 
 def xmp(df: DataFrame, **names) -> DataFrame:
-    return _stage(df, "name string, ordinal int, value string", lambda p: iter(p.xmp()), **names)
+    return _stage(df, "name string, ordinal int, value string, truncated boolean", lambda p: iter(p.xmp()), **names)
 
 
 def layers(df: DataFrame, **names) -> DataFrame:
@@ -231,7 +246,7 @@ def layers(df: DataFrame, **names) -> DataFrame:
 
 def signatures(df: DataFrame, **names) -> DataFrame:
     """A row per signed field, with what its byte range covers and whether the digest of these bytes is the one signed."""
-    return _stage(df, "field string, sub_filter string, signer string, signed_at string, location string, reason string, contact string, byte_range array<long>, whole_document boolean, bytes_after long, digest_algorithm string, digest string, security_store boolean", lambda p: iter(p.signatures()), **names)
+    return _stage(df, "field string, sub_filter string, signer string, signed_at string, location string, reason string, contact string, byte_range array<long>, whole_document boolean, bytes_after long, digest_algorithm string, digest string, security_store boolean, certificates int, timestamp boolean", lambda p: iter(p.signatures()), **names)
 
 
 def objects(df: DataFrame, **names) -> DataFrame:

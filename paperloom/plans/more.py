@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, values
 from ..model import edit
-from ..model.objects import Keyword, Name, Ref, Stream
+from ..model.objects import Keyword, Limits, Name, Ref, Stream
 from ..model.writer import Objects, build
 from ..operators import decode, relations
 from ..operators.functions import evaluated
@@ -317,7 +317,8 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     inks = (part(3), part(5), part(7), part(11))
     press, plain = colour.cmyk_to_rgb(*inks), colour.cmyk_to_rgb_plain(*inks)
     lab = colour.lab_to_rgb(F.pmod("p_partkey", F.lit(101)).cast("double"), F.pmod("p_partkey", F.lit(64)) - F.lit(32.0), F.pmod("p_partkey", F.lit(90)) - F.lit(45.0))
-    return p.select("p_partkey", *[F.round(x[k], 5).alias(f"{n}_{c}") for n, x in (("press", press), ("plain", plain), ("lab", lab)) for k, c in enumerate("rgb")])
+    both = p.select("p_partkey", press.alias("press"), plain.alias("plain"), lab.alias("lab"))
+    return both.select("p_partkey", *[F.round(F.col(n)[k], 5).alias(f"{n}_{c}") for n in ("press", "plain", "lab") for k, c in enumerate("rgb")])
 
 
 def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,8 +342,8 @@ def effective_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     media = F.array(F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(200.0))
     crop = F.array(F.pmod("p_partkey", F.lit(150)).cast("double"), F.lit(50.0), F.lit(-20.0), F.col("p_size").cast("double") * 5)
-    box = values.effective_box(media, crop)
-    size = values.page_size(box, F.pmod("p_partkey", F.lit(4)) * 90)
+    p = p.select("p_partkey", values.effective_box(media, crop).alias("box"))
+    box, size = F.col("box"), values.page_size(F.col("box"), F.pmod("p_partkey", F.lit(4)) * 90)
     return p.select("p_partkey", box[0].alias("x0"), box[1].alias("y0"), box[2].alias("x1"), box[3].alias("y1"), size["columns"].alias("columns"), size["rows"].alias("rows"))
 
 
@@ -384,7 +385,47 @@ def distinct_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.distinct_uploads(d).select("sha256")
 
 
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose first page can't be read: its error is a row, and the other page's text is there."""
+
+    def write(r: dict) -> bytes:
+        o = Objects()
+        root, tree, font = o.add(), o.add(), o.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica")})
+        bodies = (b"[" * 300, b"BT /F0 10 Tf 72 700 Td (" + r["s_name"].encode() + b") Tj ET")
+        pages = [o.add({"Type": Name("Page"), "Parent": tree, "Resources": {"Font": {"F0": font}}, "Contents": o.add(Stream({}, body))}) for body in bodies]
+        o.set(tree, {"Type": Name("Pages"), "Kids": pages, "Count": 2})
+        o.set(root, {"Type": Name("Catalog"), "Pages": tree})
+        return o.file(root)
+
+    files = written(corpus.crafted(_suppliers(spark, sf_dir), "s_suppkey", write), "broken")
+    text = decode.lines(files).select("doc_id", "page", "text")
+    return decode.page_status(files).join(text, ["doc_id", "page"], "left").select(F.col("doc_id").alias("s_suppkey"), "page", F.col("page_error").isNotNull().alias("failed"), "text")
+
+
+def limited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading with limits: a page of five strings is cut after three, and says so."""
+    made = corpus.make(_suppliers(spark, sf_dir), "s_suppkey", lambda r: {"pages": [[(r["s_name"], 72.0, 700.0 - 20 * k, 12.0) for k in range(5)]]})
+    found = decode.page_status(made, limits=Limits(operators=10))  # BT, and Tf, Tm and Tj of each string
+    return found.select(F.col("doc_id").alias("s_suppkey"), "spans", "truncated")
+
+
+def opened_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files encrypted alike, opened by a password for each: the user's, the owner's, a wrong one."""
+    made = corpus.make(_suppliers(spark, sf_dir), "s_suppkey", lambda r: {"pages": [[]] * 2})
+    sealed = corpus.encrypted(made, "user", "owner", aes=False)
+    word = F.element_at(F.array(F.lit("user"), F.lit("owner"), F.lit("none")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return decode.files(sealed.withColumn("word", word), password_col="word").select(F.col("doc_id").alias("s_suppkey"), "page_count", F.col("open_error").isNotNull().alias("refused"))
+
+
+def own_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of one's own over pages: how many words each has."""
+    made = corpus.text_files(table(spark, sf_dir, "documents"))
+    found = decode.each_page(made, "words int", lambda i, page, f: [{"words": sum(len(s["text"].split(" ")) - s["text"].split(" ").count("") for s in f.spans)}])
+    return found.select("doc_id", "page", "words")
+
+
 QUERIES = {f.__name__: f for f in (
+    broken_pages, limited_files, opened_files, own_table,
     page_status, inline_images, font_encodings, form_font, form_values, merged_outlines, merged_fields, redacted_text, stamped_pages, tagged_parts, leftover_spans, inline_structure, prose_columns,
     markdown_files, html_files, svg_pages, file_summaries, objects_by_type, signature_digests, print_violations, reader_violations, label_join, cells_by_join, line_middles, overlapping_boxes, page_bounds,
     busy_times, free_stretches, image_compare, outline_reach, colours, escapes, date_strings, numerals, effective_boxes, matrices, tints, event_windows, document_revisions, distinct_uploads,
@@ -434,6 +475,11 @@ _XML = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]
 _ROMAN_SQL = "list_reduce([struct_pack(n := n, s := '')] || list_transform([" + ", ".join(f"struct_pack(n := {v}, s := '{x}')" for v, x in values.ROMAN) + "], lambda x: x), lambda a, x: struct_pack(n := a.n % x.n, s := a.s || repeat(x.s, a.n // x.n))).s"
 
 ORACLE = {
+    "broken_pages": "select s_suppkey, unnest([0, 1])::int as page, unnest([true, false]) as failed, unnest([null, s_name]) as text from supplier",
+    "limited_files": "select s_suppkey, 3::int as spans, true as truncated from supplier",
+    "opened_files": "select s_suppkey, case when s_suppkey % 3 < 2 then 2 end::int as page_count, s_suppkey % 3 = 2 as refused from supplier",
+    "own_table": f"""select d.doc_id, d.page, coalesce(sum(len(list_filter(string_split(l.line, ' '), lambda x: x <> ''))), 0)::int as words
+        from (select doc_id, unnest(range({PAGES_SQL}))::int as page from documents) d left join {LINES_SQL} l on l.doc_id = d.doc_id and l.page = d.page group by d.doc_id, d.page""",
     "page_status": f"""select d.doc_id, d.page, count(l.line)::int as spans, false as truncated, null::varchar as page_error
         from (select doc_id, unnest(range({PAGES_SQL}))::int as page from documents) d left join {LINES_SQL} l on l.doc_id = d.doc_id and l.page = d.page group by d.doc_id, d.page""",
     "inline_images": "select s_suppkey, true as inline, 4::int as width, 1::int as height, 'DeviceRGB' as color_space, 100.0::double as x0, 520.0::double as y1, s_name as after from supplier",

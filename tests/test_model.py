@@ -169,7 +169,7 @@ def test_updates_keep_the_old_bytes():
 def test_conformance():
     tags = [{"role": "H2", "page": 0, "spans": [0]}, {"role": "Figure", "page": 0, "spans": [1]}, {"role": "Odd", "page": 1, "spans": [0]}]
     rules = lambda found: {r["rule"]: r["count"] for r in found}
-    assert rules(conformance.accessible(Pdf(_sample(tags=tags)))) == {"lang": 1, "figure-alt": 1, "headings": 1, "role-unmapped": 1}
+    assert rules(conformance.accessible(Pdf(_sample(tags=tags)))) == {"lang": 1, "figure-alt": 1, "headings": 1, "role-unmapped": 1, "page-struct-parents": 2}
     assert {"tagged", "struct-tree"} <= set(rules(conformance.accessible(Pdf(_sample()))))
     assert "encryption" in rules(conformance.archive(Pdf(encrypt(_sample()))))
     assert conformance.claimed(Pdf(_sample(xmp="<pdfaid:part>2</pdfaid:part><pdfaid:conformance>B</pdfaid:conformance>"))) == ("2", "B")
@@ -193,3 +193,80 @@ def test_hidden_layers_are_left_out():
     o.set(tree, {"Type": Name("Pages"), "Kids": [page], "Count": 1})
     o.set(root, {"Type": Name("Catalog"), "Pages": tree, "OCProperties": {"OCGs": [on, off], "D": {"OFF": [off]}}})
     assert _lines(Pdf(o.file(root))) == ["on", "either", "•"]
+
+
+def test_filters_keep_their_budget_and_salvage():
+    from paperloom.model.objects import Budget
+
+    body = b"".join(b"%d, " % (k * k) for k in range(2000))
+    packed = zlib.compress(body)
+    flate = lambda raw, **x: decode_stream(Stream({"Filter": Name("FlateDecode")} | x, raw))
+    assert flate(packed[2:-4]) == body and flate(b"\x00\x01" + packed) == body  # no header, stray bytes before it
+    assert body.startswith(got := flate(packed[: len(packed) // 2])) and got
+    with pytest.raises(PdfError):
+        flate(b"no data at all")
+    for name, raw in (("FlateDecode", zlib.compress(bytes(10**6))), ("RunLengthDecode", b"\x81a" * 10**4 + b"\x80"), ("ASCII85Decode", b"z" * 10**5)):
+        with pytest.raises(PdfError):
+            decode_stream(Stream({"Filter": Name(name)}, raw), budget=Budget(10**4))
+    assert decode_stream(Stream({"Filter": Name("ASCII85Decode")}, b"87c\x00URD]i,\"Ebo80~>")) == b"Hello World!"
+    sub = bytes([1, 1, 1, 1, 1, 3, 10, 10, 10, 10, 4, 1, 0, 0, 0])
+    assert flate(zlib.compress(sub), DecodeParms={"Predictor": 15, "Columns": 4}) == bytes([1, 2, 3, 4, 10, 16, 19, 21, 11, 16, 19, 21])  # sums along the row, means and Paeth's predictor over the rows
+    assert flate(zlib.compress(bytes([1, 2, 250, 10])), DecodeParms={"Predictor": 2, "Columns": 4}) == bytes([1, 3, 253, 7])
+    assert flate(zlib.compress(bytes([0x1F])), DecodeParms={"Predictor": 2, "Columns": 2, "BitsPerComponent": 4}) == bytes([0x10])
+
+
+def test_limits_and_repair():
+    from paperloom.model.content import read
+    from paperloom.model.objects import Limits
+
+    data = _sample()
+    assert Pdf(data, repair=True).recovered and _lines(Pdf(data, repair=True)) == ["Hello world", "second line"]
+    few = Pdf(data, limits=Limits(operators=3))
+    assert read(few, few.pages[0]).truncated and not read(Pdf(data), Pdf(data).pages[0]).truncated
+    small = Pdf(data, limits=Limits(decoded=10))
+    found = read(small, small.pages[0])
+    assert found.spans == [] and found.truncated
+    rootless = b"1 0 obj <</Type /Page /Contents 2 0 R /MediaBox [0 0 9 9]>> endobj 2 0 obj <</Length 3>> stream\nq Q\nendstream endobj"
+    assert len(Pdf(rootless).pages) == 1
+
+
+def test_functions():
+    from paperloom.model.calc import calculator, function
+
+    pdf = Pdf(_sample())
+    assert calculator(b"{ 2 copy add 3 1 roll sub }")([5.0, 3.0]) == [8.0, 2.0]
+    assert calculator(b"{ 360 atan 1 index 0 eq { pop pop 7 } { 3 -1 roll pop } ifelse }")([0.0, 0.0]) == [7.0]
+    assert calculator(b"{ cvi 3 bitshift 5 xor -2 idiv }")([2.5]) == [-10.0]
+    for bad in (b"{ pop }", b"{ 1 0 div }", b"{ nothing }", b"{ 3 index }"):
+        with pytest.raises(PdfError):
+            calculator(bad)([])
+    two = function(pdf, Stream({"FunctionType": 0, "Domain": [0, 1, 0, 1], "Range": [0, 1], "Size": [2, 2], "BitsPerSample": 4}, bytes([0x0F, 0xF0])))
+    assert [two([0, 0]), two([1, 0]), two([0.5, 0.5])] == [[0.0], [1.0], [0.5]]
+    halves = {"FunctionType": 3, "Domain": [0, 1], "Bounds": [0.5], "Encode": [0, 1, 1, 0], "Functions": [{"FunctionType": 2, "Domain": [0, 1], "N": 1}] * 2}
+    assert [function(pdf, halves)([x])[0] for x in (0.25, 0.5, 0.75, 2)] == [0.5, 1.0, 0.5, 0.0]
+    with pytest.raises(PdfError):
+        function(pdf, {"FunctionType": 2})
+
+
+def test_forms_of_edits():
+    data = _sample(links=[{"page": 0, "rect": (60, 690, 200, 720), "uri": "https://x"}], outline=[{"title": "A", "page": 1, "parent": None}])
+    moved = Pdf(edit.edit_annotations(data, [{"page": 0, "ordinal": 0, "rect": (1, 2, 3, 4), "contents": "new"}]))
+    assert moved.annotations(moved.pages[0])[0]["rect"] == [1, 2, 3, 4] and moved.annotations(moved.pages[0])[0]["contents"] == "new"
+    gone = Pdf(edit.edit_annotations(data, [{"page": 0, "ordinal": 0, "delete": True}]))
+    assert gone.annotations(gone.pages[0]) == []
+    dark = edit.redact(data, [{"page": 0, "rect": (70, 695, 300, 715)}])
+    assert _lines(Pdf(dark)) == ["second line"] and b"Hello" not in dark and Pdf(dark).annotations(Pdf(dark).pages[0]) == [] and Pdf(dark).outline()[0]["page"] == 1
+    whole = Pdf(edit.set_info(data, {"Title": "T"}, modified="D:20260101000000Z")).info()
+    assert whole["Title"] == "T" and whole["ModDate"] == "D:20260101000000Z"
+    from paperloom.model.writer import rewrite
+
+    loose = build([[("x" * 200, 10, 10, 5)]], compress=False)
+    assert len(rewrite(loose)) < len(loose) and _lines(Pdf(rewrite(loose))) == ["x" * 200]
+    assert Pdf(rewrite(encrypt(data, b"", b"o"))).trailer.get("Encrypt") is None
+
+
+def test_safe_names():
+    from paperloom.model.document import safe_name
+
+    for name, want in [("../../etc/passwd", "passwd"), ("..\\..\\evil.dll", "evil.dll"), ("C:\\x\\y.txt", "y.txt"), ("a:b?.txt", "a_b_.txt"), ("con.txt", "_con.txt"), ("LPT1", "_LPT1"), ("x. . ", "x"), ("..", None), ("___", None), ("", None)]:
+        assert safe_name(name) == want
