@@ -83,7 +83,7 @@ class Codebooks:
 
 def fit(sample: np.ndarray, n: int, k: int, recall: float = RECALL, probes: int = 128) -> Codebooks:
     """Codebooks for n vectors, and the share of entries to walk that finds ``recall`` of the sample's own neighbours."""
-    size = int(min(MOST_CENTROIDS, max(2, round((n / 2) ** 0.5)), max(2, len(sample) // 4)))  # about two entries a cell, as far as codebooks go
+    size = int(min(MOST_CENTROIDS, max(2, round((n / 8) ** 0.5)), max(2, len(sample) // 4)))  # about eight entries a cell, as far as codebooks go
     half = max(1, sample.shape[1] // 2)
     books = Codebooks(kmeans(sample[:, :half], size), kmeans(sample[:, half:], size, seed=4) if sample.shape[1] > 1 else np.zeros((1, 0)), 1.0)
     if len(sample) <= k + 1:
