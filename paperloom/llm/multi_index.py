@@ -186,7 +186,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cells, pa.list_(pa.int32())), b.column("part").take(take), b.column("id").take(take), b.column("v").take(take)], names=["block", "cells", "part", "id", "v"])
 
     parted = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
-    probes = written(parted.select("part", "id", "v").mapInArrow(probe, "block int, cells array<int>, part int, id long, v array<double>"), "probes")
+    wide = max(query_blocks, spark.sparkContext.defaultParallelism)  # a walk is dear and a query small: tasks by number, not by bytes
+    probes = written(parted.select("part", "id", "v").repartition(wide, "id").mapInArrow(probe, "block int, cells array<int>, part int, id long, v array<double>"), "probes")
     asked_for = written(probes.select("block", "part").distinct(), "asked-for")
     by_cell = spark.createDataFrame([(int(c), int(first[c]), int(pieces[c])) for c in np.flatnonzero(held)], "cell int, first int, pieces int")
     block = (F.col("first") + F.pmod(F.xxhash64("v"), F.col("pieces"))).cast("int")
