@@ -150,3 +150,14 @@ def page_size(box: Column, rotate: Column, scale: float = 1.0) -> Column:
         return F.when(sound, F.struct(F.ceil(F.when(turned, h).otherwise(w)).cast("int").alias("columns"), F.ceil(F.when(turned, w).otherwise(h)).cast("int").alias("rows")))
 
     return let(F.array(width(box) * scale, height(box) * scale), lambda s: size(s[0], s[1]))
+
+
+def page_matrix(box: Column, rotate: Column) -> Column:
+    """The matrix from page space to a page whose lower left corner is the origin once it is turned clockwise."""
+    x0, y0, x1, y1 = (box[k] for k in range(4))
+    turned = F.pmod(rotate, F.lit(360))
+    one, none = F.lit(1.0), F.lit(0.0)
+    return (
+        F.when(turned == 90, F.array(none, -one, one, none, -y0, x1)).when(turned == 180, F.array(-one, none, none, -one, x1, y1))
+        .when(turned == 270, F.array(none, one, -one, none, y1, -x0)).otherwise(F.array(one, none, none, one, -x0, -y0))
+    )

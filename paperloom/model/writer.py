@@ -96,13 +96,15 @@ class Objects:
         return bytes(out + b"trailer\n" + serialise(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
-def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict] | None = None, links: list[dict] | None = None, labels: list[dict] | None = None, fields: list[dict] | None = None, files: list[dict] | None = None, compress: bool = True, tags: list[dict] | None = None, xmp: str | None = None, layers: list[dict] | None = None, graphics: dict[int, bytes] | None = None) -> bytes:
+def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict] | None = None, links: list[dict] | None = None, labels: list[dict] | None = None, fields: list[dict] | None = None, files: list[dict] | None = None, compress: bool = True, tags: list[dict] | None = None, xmp: str | None = None, layers: list[dict] | None = None, graphics: dict[int, bytes] | None = None, images: list[dict] | None = None) -> bytes:
     """A PDF in Helvetica; spans with characters that its encoding lacks are in a two-byte font that maps back to them.
 
     pages: per page (text, x, y, size); outline: {title, page, parent (index or None)}; links: {page, rect, uri or
     dest_page}; labels: {start, style, prefix, first}; fields: {name, value, kind, flags, options, max_length}; files: {name, data, description};
     tags: {role, page, spans (indices)} in reading order, each a marked content and a structure element;
-    xmp: a metadata packet; layers: {name, visible}; graphics: further content by page index.
+    xmp: a metadata packet; layers: {name, visible}; graphics: further content by page index;
+    images: {page, x, y, width, height (in points), columns, rows, channels (1, 3 or 4), pixels (rows of bytes from the
+    top)}, whose fourth channel becomes a soft mask.
     """
     o = Objects()
     tagged = {(t["page"], k): (n, t["role"]) for n, t in enumerate(tags or []) for k in t["spans"]}
@@ -133,9 +135,12 @@ def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict
             body.append(mark(i, k, name + b" %s Tf 1 0 0 1 %s %s Tm %s Tj\n" % (serialise(float(s)), serialise(float(x)), serialise(float(y)), string)))
         streams.append(b"".join([*body, b"ET"]) + (b"\n" + graphics[i] if graphics and graphics.get(i) else b""))
     fonts = {"F0": font} | ({"F1": wide.add(o)} if wide.code else {})
+    for k, x in enumerate(images or []):
+        streams[x["page"]] += b"\nq %s 0 0 %s %s %s cm /I%d Do Q" % (*(serialise(float(x[n])) for n in ("width", "height", "x", "y")), k)
     for i, (ref, body) in enumerate(zip(refs, streams)):
         stream = Stream({"Filter": Name("FlateDecode")}, zlib.compress(body)) if compress else Stream({}, body)
-        page = {"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, *MEDIA], "Resources": {"Font": fonts}, "Contents": o.add(stream)}
+        drawn = {f"I{k}": _image(o, x) for k, x in enumerate(images or []) if x["page"] == i}
+        page = {"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, *MEDIA], "Resources": {"Font": fonts} | ({"XObject": drawn} if drawn else {}), "Contents": o.add(stream)}
         own = [x for x in links or [] if x["page"] == i]
         if own:
             page["Annots"] = [o.add({"Type": Name("Annot"), "Subtype": Name("Link"), "Rect": list(x["rect"])} | ({"A": {"S": Name("URI"), "URI": x["uri"]}} if x.get("uri") else {"Dest": [refs[x["dest_page"]], Name("Fit")]})) for x in own]
@@ -182,6 +187,19 @@ def build(pages: list[list[tuple]], info: dict | None = None, outline: list[dict
     return o.file(root, o.add(dict(info)) if info else None)
 
 
+def _image(o: Objects, x: dict) -> Ref:
+    head = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": x["columns"], "Height": x["rows"], "BitsPerComponent": 8, "Filter": Name("FlateDecode")}
+    space = lambda n: {"ColorSpace": Name("DeviceGray" if n == 1 else "DeviceRGB")}
+    body, n = x["pixels"], x["channels"]
+    if len(body) != x["columns"] * x["rows"] * n or n not in (1, 3, 4):
+        raise PdfError("an image of another size than its pixels")
+    if n < 4:
+        return o.add(Stream(head | space(n), zlib.compress(body)))
+    plain = b"".join(body[k : k + 3] for k in range(0, len(body), 4))
+    mask = o.add(Stream(head | space(1), zlib.compress(body[3::4])))
+    return o.add(Stream(head | space(3) | {"SMask": mask}, zlib.compress(plain)))
+
+
 class Copier:
     """Copies objects of one file into another one, each once, with the references they need renumbered."""
 

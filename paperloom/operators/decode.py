@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..model import content as content_model
-from ..model import conformance, convert, layout, reading
+from ..model import conformance, convert, layout, raster, reading
 from ..model.document import Pdf, page_label, text_of
 from ..model.objects import Limits, PdfError, Ref, Stream, decode_stream
 from ..runtime import ship
@@ -279,6 +279,27 @@ def stream_data(df: DataFrame, object_col: str, decoded: bool = True, id_col: st
     return own.mapInArrow(run, "doc_id long, object int, data binary, error string")
 
 
+def image_pixels(df: DataFrame, **names) -> DataFrame:
+    """A row per image object: its size, its red, green and blue bytes from the top, or why there are none (a codec)."""
+
+    def rows(p: Pdf):
+        for o in p.objects():
+            if o["subtype"] == "Image":
+                row = {"object": o["object"], "columns": None, "rows": None, "pixels": None, "image_error": None}
+                try:
+                    row["columns"], row["rows"], row["pixels"] = raster.pixels(p, p.get(Ref(o["object"], 0)))
+                except ERRORS as e:
+                    row["image_error"] = f"{type(e).__name__}: {e}"[:200]
+                yield row
+
+    return _stage(df, "object int, columns int, rows int, pixels binary, image_error string", rows, **names)
+
+
+def slides(df: DataFrame, **names) -> DataFrame:
+    """A row per file: a presentation of its pages."""
+    return _stage(df, "pptx binary", lambda p: iter([{"pptx": raster.to_slides(p)}]), **names)
+
+
 def output_intents(df: DataFrame, **names) -> DataFrame:
     return _stage(df, "page int, subtype string, identifier string, components int", lambda p: iter(p.output_intents()), **names)
 

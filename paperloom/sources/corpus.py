@@ -23,6 +23,15 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
 
 
+def read_anchors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ordinal, der, sha256) of the certificates in PEM or DER files below path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    text = F.decode("content", "ISO-8859-1")
+    blocks = F.regexp_extract_all(text, F.lit("(?s)-----BEGIN CERTIFICATE-----(.*?)-----END CERTIFICATE-----"), 1)
+    der = F.when(F.size(blocks) > 0, F.transform(blocks, lambda b: F.unbase64(F.regexp_replace(b, r"\s", "")))).otherwise(F.array("content"))
+    return files.select("path", F.posexplode(der).alias("ordinal", "der")).withColumn("sha256", F.sha2("der", 256))
+
+
 def lay_out(lines: list[str], per_page: int = LINES_PER_PAGE) -> list[list[tuple]]:
     """Pages of one span per line that isn't made of spaces alone."""
     chunks = [lines[i : i + per_page] for i in range(0, len(lines), per_page)] or [[]]

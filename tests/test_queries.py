@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tf
 from paperloom.model.writer import build
 from paperloom.operators import decode
-from paperloom.plans import more, queries
+from paperloom.plans import engine, more, queries
 from paperloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def db():
     return c
 
 
-ALL, ORACLE = queries.QUERIES | more.QUERIES, queries.ORACLE | more.ORACLE
+ALL, ORACLE = queries.QUERIES | more.QUERIES | engine.QUERIES, queries.ORACLE | more.ORACLE | engine.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
