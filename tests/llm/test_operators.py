@@ -119,6 +119,20 @@ def test_multi_index_recall_and_scores(spark):
     assert hit / (10 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [30, 300])
+def test_multi_index_recall_of_small_tables(spark, n):
+    r = np.random.default_rng(n)
+    x = np.round(r.normal(size=(n, 6)), 3)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for row in multi_index.nearest(df, df.where("vec_id % 10 = 0"), k=5).collect():
+        got[row["query_id"]].add(row["vec_id"])
+    hit = 0
+    for q, found in got.items():
+        hit += len(found & {i for _, i in sorted((math.dist(x[q], x[i]), i) for i in range(n) if i != q)[:5]})
+    assert len(got) == n // 10 and hit / (5 * len(got)) >= 0.9
+
+
 def test_multi_index_odd_vectors(spark):
     bad = [(3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (None, [1.0, 2.0])]
     same = [(10 + i, [1.0, 1.0]) for i in range(30)]
@@ -307,6 +321,42 @@ def test_language_accuracy_and_odd_texts(spark, odd):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
+def test_language_and_toxicity_queries_equal_a_plain_loop(spark, sample_docs):
+    """The queries' rows against the fitted models applied text by text on the driver, and the folds against zlib's crc32."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in sample_docs.collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    learned = sample_docs.where(F.col("doc_id").isin([i for i, out in fold.items() if not out]))
+    languages = langid.train(learned, "doc_id", "text", "lang")
+    got = {r["doc_id"]: r for r in queries.op5_hierarchical_language_id(spark, sf).collect()}
+    assert {i: r["held_out"] for i, r in got.items()} == fold
+    for i, t in texts.items():
+        lang, score = languages.predict(t)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-6
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(F.col("doc_id").isin([i for i, out in fold.items() if not out]))
+    model = toxicity.train(sample_docs, labels)
+    got = {r["doc_id"]: r for r in queries.op6_weak_supervision_toxicity(spark, sf).collect()}
+    assert {i: r["held_out"] for i, r in got.items()} == fold
+    for i, t in texts.items():
+        score = model.score(t)
+        assert abs(got[i]["score"] - score) < 1e-9 and got[i]["predicted"] == int(score >= 0.5)
+
+
+def test_names_that_clash(spark):
+    inner = ["id", "v", "r", "ids", "one", "cell", "block", "part", "cells", "query_id", "rank", "score"]
+    emb = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(12)], "vec_id long, embedding array<double>").select("*", *[F.col("vec_id").alias(c) for c in inner])
+    out = rows(multi_index.nearest(emb, emb.where("vec_id = 0"), k=3, recall=1.0).orderBy("rank"))
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in out] == [(1, 1, 1.0), (2, 2, 2.0), (3, 3, 3.0)]
+    docs = spark.createDataFrame([(1, "der Hund und die Katze", "de", "x"), (2, "the dog and the cat", "en", "y")], "doc_id long, text string, lang string, lang_pred string").withColumns({"held_out": F.lit("h"), "score": F.lit("s"), "t": F.lit(1), "y": F.lit(2)})
+    out = langid.identify(docs)
+    assert out.columns.count("lang_pred") == out.columns.count("score") == 1 and out.schema["score"].dataType.simpleString() == "double" and out.count() == 2
+    names = ["id", "digest", "body", "hit", "mark", "stays", "key", "n", "bands", "rep", "component", "ids", "start", "class", "salt", "spans", "found"]
+    odd_names = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in names])
+    for run in (pii.find_pii, secret_scan.find_secrets, exact_dedup.exact_duplicates, minhash.near_duplicates):
+        assert run(odd_names).count() == 2
+    assert bpe.round_trip(odd_names, RANKS, PATTERN).count() == 2 and packing.pack(odd_names, JSON, PATTERN, 1).count() == 2
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op6_weak_supervision_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
