@@ -270,3 +270,32 @@ def test_safe_names():
 
     for name, want in [("../../etc/passwd", "passwd"), ("..\\..\\evil.dll", "evil.dll"), ("C:\\x\\y.txt", "y.txt"), ("a:b?.txt", "a_b_.txt"), ("con.txt", "_con.txt"), ("LPT1", "_LPT1"), ("x. . ", "x"), ("..", None), ("___", None), ("", None)]:
         assert safe_name(name) == want
+
+
+def test_pixels_and_dashes():
+    from paperloom.model import raster
+
+    pdf = Pdf(_sample())
+    image = lambda raw, **d: raster.pixels(pdf, Stream({"Width": 2, "Height": 1} | d, raw))
+    assert image(b"\x00\x80", ColorSpace=Name("DeviceGray"), BitsPerComponent=8) == (2, 1, bytes([0, 0, 0, 128, 128, 128]))
+    assert image(b"\x40", ImageMask=True) == (2, 1, bytes([0, 0, 0, 255, 255, 255]))
+    assert image(b"\xf0", ColorSpace=Name("DeviceGray"), BitsPerComponent=4, Decode=[1, 0])[2] == bytes([0, 0, 0, 255, 255, 255])
+    assert image(b"\x40", ColorSpace=[Name("Indexed"), Name("DeviceRGB"), 1, bytes([9, 8, 7, 1, 2, 3])], BitsPerComponent=1)[2] == bytes([9, 8, 7, 1, 2, 3])
+    assert image(b"\xff\xff\x00\x00", ColorSpace=Name("DeviceGray"), BitsPerComponent=16)[2] == bytes([255] * 3 + [0] * 3)
+    assert image(bytes(8), ColorSpace=Name("DeviceCMYK"), BitsPerComponent=8)[2] == bytes([255] * 6)
+    for bad in ({"Filter": Name("DCTDecode")}, {"ColorSpace": Name("Lab"), "BitsPerComponent": 8}, {"ColorSpace": Name("DeviceGray"), "BitsPerComponent": 3}, {"Width": 0}):
+        with pytest.raises(PdfError):
+            image(b"", **bad)
+    assert raster.dashes([(0, 0), (10, 0)], [4, 2], 5) == [[(1.0, 0.0), (5.0, 0.0)], [(7.0, 0.0), (10, 0)]]
+    assert raster.dashes([(0, 0), (10, 0)], []) == raster.dashes([(0, 0), (10, 0)], [0, 0]) == [[(0, 0), (10, 0)]]
+
+
+def test_fonts_by_code():
+    from paperloom.model.fonts import BASES, CMap, standard_width
+
+    assert BASES["MacRomanEncoding"][0x8E] == "é" and BASES["Symbol"][0x61] == "α" and BASES["ZapfDingbats"][0x33] == "✓" and BASES["PDFDocEncoding"][0x92] == "™" and BASES["StandardEncoding"][0xD0] == "—"
+    m = CMap(b"2 begincodespacerange <00> <7F> <8140> <9FFC> endcodespacerange 1 begincidrange <8140> <817E> 633 endcidrange 1 begincidchar <20> 1 endcidchar")
+    assert m.split(b"\x20\x81\x40\x41") == [(1, 0x20), (2, 0x8140), (1, 0x41)] and m.cid(0x8141) == 634 and m.cid(0x20) == 1 and m.cid(0x41) == 0
+    t = CMap(b"2 beginbfrange <01> <02> [<0041> <00410042>] <10> <12> <D83DDE00> endbfrange 1 beginbfchar <20> /bullet endbfchar")
+    assert t.text[1, 2] == "AB" and t.text[1, 0x12] == "\U0001f602" and t.text[1, 0x20] == "•"
+    assert standard_width("Courier-Bold", "x") == 600 and standard_width("Times-Roman", "W") == 944 and standard_width("Helvetica", "É") == 667
