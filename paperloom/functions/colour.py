@@ -27,59 +27,50 @@ TO_CONES = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.06
 FROM_CONES = ((0.9869929, -0.1470543, 0.1599627), (0.4323053, 0.5183603, 0.0492912), (-0.0085287, 0.0400428, 0.9684867))
 D65 = (0.95047, 1.0, 1.08883)
 
-#: The operations that the formulas need, on numbers and on columns.
-_NUMBERS = types.SimpleNamespace(
-    clamp=lambda x: min(1.0, max(0.0, x)) if math.isfinite(x) else 0.0, pick=lambda test, yes, no: yes if test else no, power=lambda x, p: max(0.0, x) ** p, let=lambda values, f: f(values),
-)
-
-
-def _finite(x: Column) -> Column:
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
+def _clamped(x: Column) -> Column:
+    inside = lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))
+    return let(x, inside)
 
 
+#: The operations that the formulas need, on numbers and on columns. bind() works a row out once for all its uses.
+_NUMBERS = types.SimpleNamespace(
+    row=list, bind=lambda row, f: f(row), dot=lambda row, weights: sum(w * x for w, x in zip(weights, row)), clamp=lambda x: min(1.0, max(0.0, x)) if math.isfinite(x) else 0.0,
+    pick=lambda test, yes, no: yes if test else no, power=lambda x, p: max(0.0, x) ** p,
+)
 _COLUMNS = types.SimpleNamespace(
-    clamp=lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), _finite(x))), pick=lambda test, yes, no: F.when(test, yes).otherwise(no), power=lambda x, p: F.pow(F.greatest(F.lit(0.0), x), F.lit(p)), let=lambda values, f: let(F.array(*values), lambda v: F.array(*f([v[k] for k in range(len(values))]))),
+    row=lambda xs: F.array(*xs), bind=let, dot=lambda row, weights: F.aggregate(F.zip_with(row, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), clamp=_clamped,
+    pick=lambda test, yes, no: F.when(test, yes).otherwise(no), power=lambda x, p: F.pow(F.greatest(F.lit(0.0), x), F.lit(p)),
 )
 
 
 def _press(o, c, m, y, k):
-    def channels(v):
-        c, m, y, k = v
-        terms = (c * c, c * m, c * y, c * k, c, m * m, m * y, m * k, m, y * y, y * k, y, k * k, k)
-        return [o.clamp((255.0 + sum((w * t for w, t in zip(row[1:], terms[1:])), row[0] * terms[0])) / 255.0) for row in PRESS]
+    def terms(v):
+        c, m, y, k = (v[i] for i in range(4))
+        return o.row([c * c, c * m, c * y, c * k, c, m * m, m * y, m * k, m, y * y, y * k, y, k * k, k])
 
-    return o.let(list(map(o.clamp, (c, m, y, k))), channels)
+    channels = lambda t: o.row([o.clamp((255.0 + o.dot(t, row)) / 255.0) for row in PRESS])
+    return o.bind(o.bind(o.row(list(map(o.clamp, (c, m, y, k)))), terms), channels)
 
 
-def _times(matrix, v) -> list:
-    return [row[0] * v[0] + row[1] * v[1] + row[2] * v[2] for row in matrix]
+def _times(o, matrix, v):
+    return o.bind(v, lambda x: o.row([o.dot(x, row) for row in matrix]))
 
 
-def _encoded(o):
-    return lambda light: [o.pick(v <= 0.0031308, 12.92 * v, 1.055 * o.power(v, 1 / 2.4) - 0.055) for v in light]
-
-
-def _srgb(o, x, y, z):
-    return o.let([o.clamp(v) for v in _times(TO_SRGB, (x, y, z))], _encoded(o))
+def _srgb(o, xyz):
+    light = o.bind(_times(o, TO_SRGB, xyz), lambda v: o.row([o.clamp(v[k]) for k in range(3)]))
+    return o.bind(light, lambda v: o.row([o.pick(v[k] <= 0.0031308, 12.92 * v[k], 1.055 * o.power(v[k], 1 / 2.4) - 0.055) for k in range(3)]))
 
 
 def _lab(o, l, a, b, white: tuple[float, float, float]):  # noqa: E741
     edge = 6.0 / 29.0
-    source = _times(TO_CONES, white)
-    adapted = all(math.isfinite(s) and abs(s) >= 2.3e-16 for s in source)
-
-    def xyz(f):
-        return [w * o.pick(t >= edge, t * t * t, 3.0 * edge * edge * (t - 4.0 / 29.0)) for w, t in zip(white, f)]
-
-    def light(v):
-        if adapted:
-            v = _times(FROM_CONES, [c * (d / s) for c, d, s in zip(_times(TO_CONES, v), _times(TO_CONES, D65), source)])
-        return [o.clamp(x) for x in _times(TO_SRGB, v)]
-
     fy = (l + 16.0) / 116.0
-    first = o.let([fy + a / 500.0, fy, fy - b / 200.0], xyz)
-    second = o.let([first[0], first[1], first[2]], light)
-    return o.let([second[0], second[1], second[2]], _encoded(o))
+    from_f = lambda f: o.row([w * o.pick(f[k] >= edge, f[k] * f[k] * f[k], 3.0 * edge * edge * (f[k] - 4.0 / 29.0)) for k, w in enumerate(white)])
+    xyz = o.bind(o.row([fy + a / 500.0, fy, fy - b / 200.0]), from_f)
+    source, target = _times(_NUMBERS, TO_CONES, white), _times(_NUMBERS, TO_CONES, D65)
+    if all(math.isfinite(s) and abs(s) >= 2.3e-16 for s in source):
+        cones = o.bind(_times(o, TO_CONES, xyz), lambda c: o.row([c[k] * (target[k] / source[k]) for k in range(3)]))
+        xyz = _times(o, FROM_CONES, cones)
+    return _srgb(o, xyz)
 
 
 def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
@@ -104,7 +95,7 @@ def lab_to_rgb(l: Column, a: Column, b: Column, white: tuple[float, float, float
 
 
 def xyz_to_srgb(x: Column, y: Column, z: Column) -> Column:
-    return _srgb(_COLUMNS, x, y, z)
+    return _srgb(_COLUMNS, F.array(x, y, z))
 
 
 def rgb(space: str, values: tuple) -> tuple[float, ...]:
