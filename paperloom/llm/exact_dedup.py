@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship, written
+from ..runtime import ship, sliced, written
 
 #: A-Z to a-z; all other bytes stay.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -148,7 +148,7 @@ class DigestIndex:
             from pyspark import TaskContext
 
             part, flushed, mem = TaskContext.get().partitionId(), 0, {}
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     d = hashlib.sha256(normalised(t)).digest()
                     if i is None:
@@ -196,7 +196,7 @@ class DigestIndex:
 
 def _digested(docs: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             body = [normalised(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).digest() for x in body], pa.binary()), pa.array(body, pa.binary())], names=["id", "digest", "body"])
 

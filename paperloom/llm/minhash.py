@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import forget, ship, written
+from ..runtime import forget, ship, sliced, written
 from .exact_dedup import ASCII_LOWER
 
 BANDS, ROWS = 40, 5
@@ -118,7 +118,7 @@ def least_agreement(threshold: float, bits: int) -> int:
 def _hashed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mm, cache = MinMax(bands, rows), {}
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n, key, band, sketch = [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, width, cache)
@@ -139,7 +139,7 @@ def _hashed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = [shingle_set(t, width, cache) for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "key", "shingles"])

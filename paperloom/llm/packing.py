@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ..runtime import ship, written
+from ..runtime import ship, sliced, written
 
 CAPACITY = 2048
 FINE = 16
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "d
         from pyspark import TaskContext
 
         t, bins, kind = tokenizer(path, pattern), Bins(0, TaskContext.get().partitionId()), None
-        for b in batches:
+        for b in sliced(batches, 1):
             kind, out = b.schema.field(0).type, []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.append(t.ids(text or ""), np.uint32(end_id)).astype("<u4")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import ship, sliced
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 STATES = ("O", *KINDS)
@@ -455,7 +455,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in sliced(batches, 1):
             texts = b.column(1).to_pylist()
             counts, digest, spans, found, clean = ([], [], [], []), [], [], [], []
             for t, (base, every) in zip(texts, scan(model, texts)):
@@ -480,7 +480,7 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in sliced(batches, at):
             texts = b.column(at).to_pylist()
             clean = [t if t is None or not every else masked(t, every) for t, (_, every) in zip(texts, scan(model, texts))]
             columns = list(b.columns)

@@ -7,12 +7,18 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where no checkpoint folder is set and the driver is the only machine, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/paperloom"
+#: A batch of Spark has up to 10,000 rows whatever their size; a worker takes so many bytes of text from it at a time.
+SLICE_BYTES = 1_000_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -69,5 +75,23 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, without copies, in parts whose texts in column take up to most bytes; a longer text is alone in its part.
+
+    So a worker holds the objects that it makes of texts, and their results, for one part and not for a whole batch.
+    """
+    for b in batches:
+        texts = b.column(column)
+        if not len(texts) or pa.types.is_null(texts.type):
+            yield b
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = done = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield b.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,15 +8,18 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paperloom.llm import bpe, exact_dedup, langid, minhash, multi_index, packing, pii, queries, secret_scan, sharding, toxicity
+from paperloom.runtime import sliced
 
 JSON, PATTERN, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -586,6 +589,43 @@ def test_scans_on_odd_tables(odd, run):
     assert run(odd.limit(0)).count() == 0
 
 
+def test_sliced():
+    texts = ["a" * 600, "é" * 300, None, "", "b" * 5000, "c", None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    assert [p.column(0).to_pylist() for p in sliced(iter([b, b.slice(1, 3)]), 1, 1200)] == [[0, 1, 2, 3], [4], [5, 6], [1, 2, 3]]
+    assert [p.column(0).to_pylist() for p in sliced([b], 1, 1)] == [[0], [1], [2, 3], [4], [5, 6]]
+    empty = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.nulls(2)], names=["id", "text"])
+    assert [p.num_rows for p in sliced([empty, b.slice(0, 0)], 1)] == [2, 0]
+
+
+@pytest.mark.parametrize("stage", ["language", "digests", "hashes", "sets", "mask", "spans", "pack"])
+def test_workers_hold_a_part_of_a_batch(spark, monkeypatch, stage):
+    """A batch of 4 MB of text goes through in parts of 1 MB, with the rows that batches of one row give."""
+    words = [f"word{i} number {i * 7} of x{i}@y{i}.org" for i in range(4000)]
+    texts = [" ".join(words[i * 13 % 300 : i * 13 % 300 + 3600])[:100_000] for i in range(40)]
+    df = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    found = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, *a, f=type(df).mapInArrow: found.append(run) or f(self, run, *a))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    if stage == "language":
+        langid.identify(df, model=langid.LanguageModel())
+    elif stage == "digests":
+        exact_dedup._digested(df)
+    elif stage in ("hashes", "sets"):
+        minhash._hashed(df, 5, minhash.BANDS, minhash.ROWS) if stage == "hashes" else minhash._sets(df, 5)
+    elif stage == "pack":
+        packing.pack(df, JSON, PATTERN, 1)
+    else:
+        pii.mask(df) if stage == "mask" else pii.find_pii(df)
+    before = [pa.array([False] * 40)] if stage == "language" else []
+    kind = pa.string() if stage in ("language", "mask", "spans", "pack") else pa.binary()
+    arrays = [*before, pa.array(range(40), pa.int64()), pa.array([t.encode() for t in texts], pa.binary()).cast(kind)]
+    whole = pa.RecordBatch.from_arrays(arrays, names=["held_out", "doc_id", "text"][-len(arrays) :])
+    out = list(found[0](iter([whole])))
+    assert len(out) >= 4
+    assert pa.Table.from_batches(out) == pa.Table.from_batches(list(found[0](whole.slice(i, 1) for i in range(40))))
+
+
 def test_bpe_and_packing_on_odd_tables(odd):
     assert bpe.round_trip(odd, RANKS, PATTERN).count() == odd.count()
     assert packing.pack(odd, JSON, PATTERN, 1).select("id", "doc_tokens").distinct().count() == odd.selectExpr("doc_id", "coalesce(text, '') t").distinct().count()
