@@ -17,7 +17,7 @@ from ..model import content as content_model
 from ..model import conformance, convert, layout, raster, reading
 from ..model.document import Pdf, page_label, text_of
 from ..model.objects import Limits, PdfError, Ref, Stream, decode_stream
-from ..runtime import ship
+from ..runtime import batched, ship, sliced
 
 ERRORS = (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError)
 
@@ -33,15 +33,17 @@ def each_file(files: DataFrame, schema: str, rows: Callable[[Pdf], Iterator[dict
     own = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).alias("content"), key.cast("string").alias("password"))
     arrow = to_arrow_schema(StructType.fromDDL(f"doc_id long, {schema}"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        for b in sliced(batches, 1):
             for i, data, word in zip(*(b.column(k).to_pylist() for k in range(3))):
                 try:
                     out = [{"doc_id": i, **r} for r in rows(Pdf(data or b"", word, limits, repair))]
                 except ERRORS:
-                    out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    continue
+                yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(each(batches), arrow)
 
     return own.mapInArrow(run, f"doc_id long, {schema}")
 
@@ -63,7 +65,7 @@ def files(df: DataFrame, id_col: str = "doc_id", content_col: str = "content", p
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             out = []
             for i, data, word in zip(*(b.column(k).to_pylist() for k in range(3))):
                 row = dict.fromkeys(arrow.names) | {"doc_id": i}
@@ -260,7 +262,7 @@ def stream_data(df: DataFrame, object_col: str, decoded: bool = True, id_col: st
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(object_col).cast("int").alias("object"), F.col(content_col).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2):
             found, errors = [], []
             for num, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 out = error = None

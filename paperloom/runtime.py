@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -75,12 +75,17 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: int | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in order, without copies, in parts whose texts in column take up to most bytes; a longer text is alone in its part.
+    Without a column all bytes of a batch count, its rows as if they had equal shares of them.
 
     So a worker holds the objects that it makes of texts, and their results, for one part and not for a whole batch.
     """
     for b in batches:
+        if column is None:
+            step = max(1, b.num_rows * most // max(1, b.nbytes))
+            yield from (b.slice(at, step) for at in range(0, b.num_rows, step))
+            continue
         texts = b.column(column)
         if not len(texts) or pa.types.is_null(texts.type):
             yield b
@@ -93,5 +98,25 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYT
             at, done = to, int(ends[to - 1])
 
 
+def batched(rows: Iterable[list[dict]], schema: pa.Schema, most_rows: int = 1000, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows that each file gives, of several files at a time: a batch a file costs more than most files' rows.
+
+    A batch ends once it has so many rows, or so many bytes (or members) in the columns that may be long."""
+    long = [f.name for f in schema if pa.types.is_string(f.type) or pa.types.is_binary(f.type) or pa.types.is_list(f.type)]
+    out: list[dict] = []
+    size = 0
+    for own in rows:
+        out += own
+        for r in own:
+            for name in long:
+                if v := r.get(name):
+                    size += len(v)
+        if len(out) >= most_rows or size >= most:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..model.objects import PdfError
 from ..model.writer import assemble, build, encrypt, merge
-from ..runtime import ship
+from ..runtime import ship, sliced
 
 LINES_PER_PAGE = 50
 #: Bytes of the files of a group that are merged in one task.
 MOST_MERGED = 512 << 20
+#: Rows of which a task makes files: some seconds of work, however large the table and however few its row groups.
+ROWS_PER_TASK = 5_000
 TOP, LEADING, SIZE, LEFT = 760.0, 14.0, 10.0, 40.0
 
 
@@ -39,14 +41,18 @@ def lay_out(lines: list[str], per_page: int = LINES_PER_PAGE) -> list[list[tuple
 
 
 def crafted(rows: DataFrame, id_col: str, write: Callable[[dict], bytes]) -> DataFrame:
-    """(doc_id, content): the bytes that write() gives for a row."""
+    """(doc_id, content): the bytes that write() gives for a row.
+
+    Rows are counted first (of a table in storage that reads its footers) and dealt to tasks of up to ROWS_PER_TASK each,
+    and to all cores: a row group may hold a million rows, and making files is far dearer than this exchange."""
     ship(rows.sparkSession)
     names, cores = rows.columns, rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # a table of few row groups; making files is far dearer than this exchange
-        rows = rows.repartition(cores)
+    tasks = max(cores, -(-rows.count() // ROWS_PER_TASK))
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = rows.repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             made = [write(dict(zip(names, r))) for r in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(names.index(id_col)).cast(pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
@@ -92,7 +98,7 @@ def rearranged(files: DataFrame, choose: Callable[[int], list[int]]) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..model.document import Pdf
 
-        for b in batches:
+        for b in sliced(batches, 1):
             made = [assemble([(c, choose(len(Pdf(c).pages)))]) for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
@@ -104,7 +110,7 @@ def encrypted(files: DataFrame, user: str = "", owner: str = "", aes: bool = Tru
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             made = [encrypt(c, user.encode(), owner.encode(), aes) for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
@@ -120,7 +126,7 @@ def edited(files: DataFrame, change: Callable[[bytes, dict], bytes], id_col: str
     names = files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, names.index(content_col)):
             made, errors = [], []
             for values in zip(*(c.to_pylist() for c in b.columns)):
                 row = dict(zip(names, values))
