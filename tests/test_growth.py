@@ -1,4 +1,6 @@
-"""What keeps tasks bounded as tables grow: their rows, their batches."""
+"""What keeps tasks bounded as tables grow: their rows, their batches, and pairs that are counted and not listed."""
+
+import random
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -9,11 +11,36 @@ from paperloom.model.fonts import Font
 from paperloom.model.layout import lines, search
 from paperloom.model.objects import Parser, PdfError, Ref
 from paperloom.model.writer import build
-from paperloom.operators import decode
+from paperloom.operators import decode, relations
+from paperloom.plans import more
 from paperloom.runtime import batched, sliced
 from paperloom.sources import corpus
 
 
+def _random_boxes(spark, seed: int):
+    r, rows = random.Random(seed), []
+    for i in range(400):
+        x, y = r.choice([0, 8, 15.5, 16, 24, 31]) + r.randint(-20, 20), r.choice([0, 16, 32]) + r.randint(-9, 9)
+        rows.append((r.randint(0, 1), r.randint(0, 2), i, float(x), float(y), float(x + r.randint(-1, 30)), float(y + r.randint(0, 20))))
+    return spark.createDataFrame(rows, "doc_id long, page int, id long, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_pairs_of_boxes_are_counted_without_listing_them(spark, tmp_path):
+    b = _random_boxes(spark, 3)
+    left, right = b.where("id % 3 > 0"), b.where("id % 3 < 2")  # a third is on both sides
+    listed = relations.overlaps(left, right, 16.0).groupBy("doc_id", "page").agg(F.count(F.lit(1)), F.sum("left_id"), F.sum("right_id"))
+    counted = relations.overlap_sums(left, right, 16.0)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.collect())) != []
+    # 2 x 3,000 boxes at two places that meet: nine million pairs in one cell
+    odd = next(r for r in range(7, 54_600, 14) if r * 37 % 600 < 50 and r * 91 % 780 < 20)
+    p = spark.range(6000).select((F.floor(F.col("id") / 2) * 54_600 + F.col("id") % 2 * odd).alias("p_partkey"), F.lit(50).alias("p_size"))
+    p.write.parquet(f"{tmp_path}/part.parquet")
+    found = more.overlapping_boxes(spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = 54_600 * sum(range(3000)) * 3000
+    assert [tuple(r) for r in found.collect()] == [(0, 9_000_000, 7 * (whole + odd * 9_000_000) + whole)]
+
+
 def test_rows_of_a_long_row_group_are_dealt_to_tasks(spark):
     rows = spark.range(3 * corpus.ROWS_PER_TASK * 4).coalesce(1)
     made = corpus.crafted(rows, "id", lambda r: b"x")
