@@ -183,6 +183,11 @@ def structure(df: DataFrame, **names) -> DataFrame:
 
 def search(df: DataFrame, query: str, ignore_case: bool = True, pages: list[int] | None = None, **names) -> DataFrame:
     """A row per hit, with its line's text; of all pages or of those named."""
+    return _stage(df, "page int, line int, start int, length int, x0 double, y0 double, x1 double, y1 double, line_text string, truncated boolean", lambda p: hits(p, query, ignore_case, pages), **names)
+
+
+def hits(p: Pdf, query: str, ignore_case: bool = True, pages: list[int] | None = None) -> Iterator[dict]:
+    """The rows of search() for one open file."""
 
     def rows(i: int, page: dict, f: content_model.Found):
         if pages is not None and i not in pages:
@@ -192,7 +197,7 @@ def search(df: DataFrame, query: str, ignore_case: bool = True, pages: list[int]
             x0, y0, x1, y1 = h["rect"] or (None,) * 4
             yield {"line": h["line"], "start": h["start"], "length": h["length"], "x0": x0, "y0": y0, "x1": x1, "y1": y1, "line_text": own[h["line"]]["text"].strip()}
 
-    return _stage(df, "page int, line int, start int, length int, x0 double, y0 double, x1 double, y1 double, line_text string, truncated boolean", lambda p: _each_page(p, rows), **names)
+    return _each_page(p, rows)
 
 
 def tables(df: DataFrame, **names) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tf
 from ..model import edit
+from ..model.document import Pdf
 from ..operators import decode
 from ..runtime import table, written
 from ..sources import corpus
@@ -180,10 +181,15 @@ def filled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hit of the search gets a highlight in its file; the highlights of each page are counted after."""
-    files = written(_files(spark, sf_dir), "files")  # made once, read twice
-    hits = decode.search(files, QUERY).where("x0 is not null").groupBy("doc_id").agg(F.collect_list(F.struct("page", "x0", "y0", "x1", "y1")).alias("hits"))  # one file's hits
-    marked = corpus.edited(files.join(hits, "doc_id"), lambda c, r: edit.annotate(c, [{"page": h["page"], "subtype": "Highlight", "rect": (h["x0"], h["y0"], h["x1"], h["y1"])} for h in r["hits"]]))
+    """Every hit of the search gets a highlight in its file; the highlights of each page are counted after.
+
+    A file is searched and marked where it is, so no file goes through storage or a join; those without hits aren't read again."""
+
+    def mark(content: bytes, row: dict) -> bytes | None:
+        found = [{"page": h["page"], "subtype": "Highlight", "rect": tuple(h[k] for k in ("x0", "y0", "x1", "y1"))} for h in decode.hits(Pdf(content), QUERY) if h["x0"] is not None]
+        return edit.annotate(content, found) if found else None
+
+    marked = corpus.edited(_files(spark, sf_dir), mark).where("content is not null")
     return decode.annotations(marked).where("subtype = 'Highlight'").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("highlights"))
 
 

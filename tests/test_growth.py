@@ -12,7 +12,7 @@ from paperloom.model.layout import lines, search
 from paperloom.model.objects import Parser, PdfError, Ref
 from paperloom.model.writer import build
 from paperloom.operators import decode, relations
-from paperloom.plans import more
+from paperloom.plans import more, queries
 from paperloom.runtime import batched, sliced
 from paperloom.sources import corpus
 
@@ -90,3 +90,16 @@ def test_fonts_and_search_share_their_tables():
     assert a.table is b.table and a.show(b"A\x00B") == ("AB", 667 + 667 + 500, 3, 0)
     own = lines(read(pdf, pdf.pages[0]).spans)
     assert [h["start"] for h in search(own, "AB")] == [0, 3] and [h["line"] for h in search(own, "σας")] == [] and len(search(own, "σασ")) == 1
+
+
+def test_hits_are_marked_where_they_are_found(spark):
+    """Files went through storage and a join with their hits."""
+    plan = queries.annotated_hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 3
+
+
+def test_numbers_with_their_operator():
+    """Too many numbers, a constant as an operand, a zero byte as white space, and operators without a space before or after."""
+    body = b"BT /F0 10 Tf 9 9 1 0 0 1 4 5. Tm (a) Tj 1 0 0 1 .5 -2 Tm\x00(b) Tj true Tj 7 8 Td(c)Tj 1 0 0 1 9 9 Tm5 (d) Tj"
+    pdf = Pdf(build([[]], graphics={0: body}))
+    assert [(s["text"], s["x"], s["y"]) for s in read(pdf, pdf.pages[0]).spans] == [("a", 0, 0), ("b", 0.5, -2), ("c", 7.5, 6), ("d", 12.5, 6)]
